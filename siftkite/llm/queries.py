@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftkite.llm.common import documents
 from siftkite.llm.packing import pack_documents
 from siftkite.llm.records import write_and_read
+from siftkite.llm.sharding import stratified_shards
+from siftkite.llm.simhash import near_duplicates
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,12 +19,21 @@ def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(documents(spark, sf_dir), WORD_BPE)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stratified_shards(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), WORD_BPE)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_records, op9_packing)}
+    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
