@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftkite.llm.common import documents
+from siftkite.llm.langid import language_id
+from siftkite.llm.lmscore import lm_scores
 from siftkite.llm.packing import pack_documents
 from siftkite.llm.records import write_and_read
 from siftkite.llm.sharding import stratified_shards
@@ -28,12 +30,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), WORD_BPE)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op6_language, op7_lm, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
