@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftkite.llm.common import documents
+from siftkite.llm.decontam import find_leaks
 from siftkite.llm.langid import language_id
 from siftkite.llm.lmscore import lm_scores
 from siftkite.llm.packing import pack_documents
@@ -30,6 +31,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -43,7 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op6_language, op7_lm, op9_packing)}
+    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op5_decontamination, op6_language, op7_lm, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
