@@ -11,6 +11,7 @@ from siftkite.llm.decontam import find_leaks
 from siftkite.llm.langid import language_id
 from siftkite.llm.lmscore import lm_scores
 from siftkite.llm.packing import pack_documents
+from siftkite.llm.pii import find_pii
 from siftkite.llm.records import write_and_read
 from siftkite.llm.sharding import stratified_shards
 from siftkite.llm.simhash import near_duplicates
@@ -47,8 +48,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), WORD_BPE)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op5_decontamination, op6_language, op7_lm, op9_packing)}
+    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op5_decontamination, op6_language, op7_lm, op9_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
