@@ -15,6 +15,8 @@ from siftkite.llm.pii import find_pii
 from siftkite.llm.records import write_and_read
 from siftkite.llm.sharding import stratified_shards
 from siftkite.llm.simhash import near_duplicates
+from siftkite.llm.urlfilter import host_of, judge, suffixes
+from siftkite.llm.winnow import edited_fingerprints, likeness, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +34,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_fingerprints(documents(spark, sf_dir))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        written("marks").alias("fingerprint"),
+        written("edited_marks").alias("edited_fingerprint"),
+        likeness("marks", "edited_marks").alias("near_edited"),
+        likeness("marks", "next_marks").alias("near_next"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -44,6 +59,57 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+FIRST_DAY = "2024-01-01"
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch date, which the table lacks: a day of 2024 by the page's id."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return pages.withColumn("fetched", F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("page_id") % 366).cast("int")))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' hosts and their parent domains of two labels or more: each is listed, lifted and listed again on days that its md5 gives."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    names = hosts.select(F.explode(suffixes(F.col("host"))).alias("pattern")).filter("pattern like '%.%'").distinct()
+    number = lambda at: F.conv(F.substring(F.md5("pattern"), at, 2), 16, 10).cast("int")
+    names = names.select("pattern", number(1).alias("x"), number(3).alias("y"), number(5).alias("z"))
+    entry = lambda seq, day, action: F.struct(F.lit(seq).alias("seq"), day.alias("day"), action.alias("action"))
+    x, y, z = F.col("x"), F.col("y") % 60, F.col("z")
+    made = F.array(entry(1, x, F.when(z % 4 == 0, "allow").otherwise("block")), entry(2, x + 10 + y, F.lit("lift")), entry(3, x + 40 + y + z % 60, F.lit("block")))
+    return names.select("pattern", F.explode(made).alias("e")).select("pattern", F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("e.day")).alias("effective"), "e.seq", "e.action")
+
+
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = captures(spark, sf_dir)
+    return judge(pages, list_entries(pages))
+
+
+OP8_SQL = r"""
+with hosts as (
+    select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as fetched,
+        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') as host
+    from pages),
+labels as (select distinct host, string_split(host, '.') as l from hosts where host is not null),
+tails as (select host, array_to_string(l[i:], '.') as pattern from (select host, l, unnest(range(1, len(l) + 1)) as i from labels)),
+names as (
+    select distinct pattern, ('0x' || md5(pattern)[1:2])::int as x, ('0x' || md5(pattern)[3:4])::int % 60 as y, ('0x' || md5(pattern)[5:6])::int as z
+    from tails where pattern like '%.%'),
+entries as (
+    select pattern, date '2024-01-01' + x as effective, 1 as seq, case when z % 4 = 0 then 'allow' else 'block' end as action from names
+    union all select pattern, date '2024-01-01' + (x + 10 + y), 2, 'lift' from names
+    union all select pattern, date '2024-01-01' + (x + 40 + y + z % 60), 3, 'block' from names),
+spans as (
+    select pattern, action, cast(effective as date) as since, lead(cast(effective as date)) over (partition by pattern order by effective, seq) as until from entries),
+hits as (
+    select h.page_id, t.pattern, s.action, s.since, row_number() over (partition by h.page_id order by length(t.pattern) desc) as nth
+    from hosts h join tails t on h.host = t.host join spans s on s.pattern = t.pattern
+    where s.action <> 'lift' and cast(h.fetched as date) >= s.since and (s.until is null or cast(h.fetched as date) < s.until))
+select h.page_id, h.url, cast(h.fetched as date) as fetched, h.host, x.pattern, coalesce(x.action, 'none') as action, x.since
+from hosts h left join hits x on x.page_id = h.page_id and x.nth = 1
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), WORD_BPE)
 
@@ -53,8 +119,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op5_decontamination, op6_language, op7_lm, op9_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_urlfilter": OP8_SQL}
