@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: Text bytes that numpy code handles at once; an Arrow batch is cut into runs of rows of about this size.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from siftkite.llm.common import held_out, row_runs, stage, text_buffer, word_has
 #: Symbols of the byte model; its tree has SYMBOLS ** (ORDER + 1) cells whatever the corpus (21 MB), the proven bound of what is broadcast.
 SYMBOLS = 48
 #: Text bytes of a block. A block's words are looked up together.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 _TABLES: dict[str, np.ndarray] = {}
 
