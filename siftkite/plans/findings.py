@@ -71,7 +71,7 @@ def _distinct_on(keys: str, order: str, table: str = "finding", columns: str = "
 query("deduplicate", _distinct_on("rule_id, file_path, line, substr(code_snippet, 1, 50)", "pos"))(lambda t: O.deduplicate(t.finding).select("pos"))
 query("deduplicate_confident", _distinct_on("rule_id, file_path, line, severity", "confidence desc, pos"))(lambda t: O.most_confident(t.finding).select("pos"))
 query("merge_verified", _distinct_on("rule_id, file_path", f"verified desc, {_SEV}, pos"))(lambda t: O.merge_verified(t.finding).select("pos"))
-query("smart_deduplicate", f"with near as ({_distinct_on(f'{RULE_SQL}, file_path, floor(line / 5)', 'confidence desc, pos', columns='*')}) {_distinct_on(KEY_SQL, 'confidence desc, pos', 'near')}")(lambda t: O.smart_deduplicate(t.finding).select("pos"))
+query("smart_deduplicate", f"with near as ({_distinct_on(f'{RULE_SQL}, file_path, floor(line / 5)', 'confidence desc, pos', columns='* exclude (nth)')}) {_distinct_on(KEY_SQL, 'confidence desc, pos', 'near')}")(lambda t: O.smart_deduplicate(t.finding).select("pos"))
 
 
 @query("merge_lists", "with a as (select * from (select *, row_number() over (partition by rule_id, line order by pos desc) n from finding where source = 'ai') where n = 1), u as (select pos, rule_id, line, confidence, 0 as side from a union all select pos, rule_id, line, confidence, 1 from finding where source = 'tool') select pos from (select *, row_number() over (partition by rule_id, line order by confidence desc, side, pos) n from u) where n = 1")

@@ -1 +1,145 @@
-"""."""
+"""Queries of text search, vectors and near-duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftkite.operators import findings as O
+from siftkite.operators import retrieval as R
+from siftkite.plans.registry import query
+
+_TERMS = ["the", "tion", "que", "token"]
+
+
+def _bm25_sql(terms: list[str], k: int) -> str:
+    t = ", ".join(f"('{x}')" for x in terms)
+    return f"""with d as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+'), lambda x: x <> '') as w from documents),
+    f as (select doc_id, len(w) as n, term, len(list_filter(w, lambda x: x = term)) as f from d, (values {t}) q(term)),
+    c as (select (select count(*) from d) as n, (select avg(len(w)) from d) as l),
+    raw as (select term, ln((c.n - count(*) filter (f > 0) + 0.5) / (count(*) filter (f > 0) + 0.5)) as idf from f, c group by term, c.n),
+    e as (select term, case when idf >= 0 then idf else 0.25::double * abs((select avg(idf) from raw)) end as idf from raw)
+    select doc_id, sum(idf * f * 2.5::double / (f + 1.5::double * (0.25::double + 0.75::double * f.n / l))) as score from f join e on e.term = f.term, c group by doc_id order by round(score, 9) desc, doc_id limit {k}"""
+
+
+@query("bm25", _bm25_sql(_TERMS, 20))
+def _(t):
+    return R.bm25(t.documents, _TERMS, "doc_id", "text", top_k=20)
+
+
+def _vector(t, vec_id: int) -> list[float]:
+    return list(t.embeddings.filter(F.col("vec_id") == vec_id).first()["embedding"])
+
+
+_DOT = "list_dot_product(e.embedding::double[], q.embedding::double[])"
+_COS = f"({_DOT} / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))))"
+
+
+@query("nearest", f"select e.vec_id, {_COS} as similarity from embeddings e, embeddings q where q.vec_id = 3 order by similarity desc, e.vec_id limit 10")
+def _(t):
+    return R.nearest(t.embeddings, _vector(t, 3))
+
+
+@query("nearest_l2", "select e.vec_id, 1 - list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as similarity from embeddings e, embeddings q where q.vec_id = 5 order by similarity desc, e.vec_id limit 10")
+def _(t):
+    return R.nearest(t.embeddings, _vector(t, 5), metric="l2")
+
+
+@query("nearest_post_filter", f"select vec_id, similarity from (select e.vec_id, e.label, {_COS} as similarity from embeddings e, embeddings q where q.vec_id = 3 order by similarity desc, e.vec_id limit 30) where label < 5")
+def _(t):
+    return R.nearest(t.embeddings, _vector(t, 3), k=30, where=F.col("label") < 5)
+
+
+@query("nearest_pre_filter", f"select e.vec_id, {_COS} as similarity from embeddings e, embeddings q where q.vec_id = 3 and e.label < 5 order by similarity desc, e.vec_id limit 30")
+def _(t):
+    return R.nearest(t.embeddings, _vector(t, 3), k=30, where=F.col("label") < 5, prefilter=True)
+
+
+_EACH = f"r as (select q.vec_id as query, e.vec_id, round({_COS}, 9) as similarity, row_number() over (partition by q.vec_id order by round({_COS}, 9) desc, e.vec_id) as nth from embeddings e join embeddings q on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id % 50 = 0)"
+
+
+@query("nearest_each", f"with {_EACH} select query, vec_id, similarity, nth from r where nth <= 5")
+def _(t):
+    return R.nearest_each(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"))
+
+
+@query("recall_and_mrr", f"with {_EACH}, f as (select query, min(nth) filter (vec_id % 2 = 0) as f from r where nth <= 5 group by 1) select avg(case when f <= 3 then 1.0::double else 0 end) as recall, avg(coalesce(1 / f, 0)) as mrr from f")
+def _(t):
+    ranked = R.nearest_each(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"))
+    return R.recall_and_mrr(ranked, "query", "nth", F.col("vec_id") % 2 == 0, 3)
+
+
+@query("mean_vectors", "select label, list(m order by i) as mean from (select label, i, avg(x) as m from (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings) group by 1, 2) group by 1")
+def _(t):
+    return R.mean_vectors(t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>")), "label")
+
+
+@query("fit_dimension", "select vec_id, len(embedding) as n, true as valid, list_sum(embedding[1:16]::double[]) as head from embeddings")
+def _(t):
+    fitted = R.fit_dimension(F.col("embedding"), 16)
+    total = F.aggregate(fitted, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return t.embeddings.select("vec_id", F.size("embedding").alias("n"), R.valid_vector(F.col("embedding")).alias("valid"), total.alias("head"))
+
+
+@query("hash_embedding", "with h as (select page_id, list_transform(range(1, 65), lambda i: ('0x' || sha256(url)[i:i])::int / 15) as v from pages) select page_id, round(v[1] / sqrt(list_dot_product(v, v)), 9) as first, 256 as n from h")
+def _(t):
+    e = R.hash_embedding(F.col("url"))
+    return t.pages.select("page_id", F.round(F.get(e, F.lit(0)), 9).alias("first"), F.size(e).alias("n"))
+
+
+@query("hybrid_search")
+def _(t):
+    text = R.bm25(t.documents, _TERMS, "doc_id", "text", top_k=30)
+    near = R.nearest(t.embeddings, _vector(t, 3), k=30).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
+    listed = t.labels.select("doc_id", F.col("quality").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(30)
+    return R.fuse_scores({"embedding": (near, 0.5), "bm25": (text, 0.3), "rule": (listed, 0.2)}, "doc_id", 10)
+
+
+@query("rerank", "select doc_id, len(list_intersect(['que', 'the', 'und'], list_distinct(regexp_split_to_array(lower(text), '\\s+')))) / 3 as relevance from documents order by relevance desc, doc_id limit 25")
+def _(t):
+    return R.rerank(t.documents, ["the", "que", "und"], "text", "doc_id", 25).select("doc_id", "relevance")
+
+
+@query("similar_pairs", "with s as (select list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) as w, min(page) as id from (select conv_id * 1000 + turn as page, text from conversations) group by 1) select a.id as a, b.id as b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as similarity from s a join s b on a.id < b.id where len(a.w) > 0 and len(b.w) > 0 and len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.5")
+def _(t):
+    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), "text")
+    return R.similar_pairs(rows, "page", "text", 0.5)
+
+
+@query("greedy_clusters")
+def _(t):
+    return R.greedy_clusters(t.documents, "source", "doc_id", "text", 0.6)
+
+
+@query("vote_clusters")
+def _(t):
+    f = t.finding.select(F.col("file_path").alias("file"), "pos", F.col("line").cast("long").alias("line"), F.concat(F.lit("F"), (F.col("pos") % 97).cast("string")).alias("finding_id"), "description")
+    return R.vote_clusters(f)
+
+
+@query("snippet_similarity")
+def _(t):
+    pairs = t.part.select("p_partkey", "p_name", "p_brand").join(t.part.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("o_name"), "p_brand"), "p_brand").filter("p_partkey < other and p_partkey % 7 = 0")
+    return R.sequence_similarity(pairs, "p_name", "o_name").select("p_partkey", "other", "ratio")
+
+
+@query("trace_origin", """with a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem where l_orderkey % 13 = 0 group by 1, 2, 3),
+    s as (select distinct l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var from lineitem where l_orderkey % 29 = 0),
+    h1 as (select s.file, s.line, s.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from s join a on a.file = s.file and a.var = s.var and a.line < s.line and a.line >= s.line - 50 group by 1, 2, 3),
+    h2 as (select h1.file, h1.line, h1.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from h1 join a on a.file = h1.file and a.var = h1.origin and a.line < h1.at and a.line >= h1.at - 50 group by 1, 2, 3)
+    select *, 1 as hop from h1 union all select *, 2 from h2""")
+def _(t):
+    l, v = t.lineitem, lambda c: F.concat(F.lit("v"), c.cast("string"))
+    at = [F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 500).alias("line"), v(F.col("l_partkey") % 4).alias("var")]
+    a = l.filter("l_orderkey % 13 = 0").groupBy(*at).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, v(F.col("l_orderkey") % 4))).alias("source"))
+    return R.trace_origin(a, l.filter("l_orderkey % 29 = 0").select(*at).distinct(), depth=2)
+
+
+@query("merge_cluster", "select source, count(*) as n, avg(n_chars) as mean_chars, list_sort(list(distinct lang)) as langs, arg_max(doc_id, doc_id) as last from documents group by 1")
+def _(t):
+    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.array_sort(F.collect_set("lang")).alias("langs"), F.max_by("doc_id", "doc_id").alias("last"))
+
+
+@query("best_per_key", "select cwe_id, pos, similarity from (select cwe_id, pos, round(confidence, 6) as similarity, row_number() over (partition by cwe_id order by round(confidence, 6) desc, pos) n from finding where cwe_id is not null and confidence >= 0.6) where n = 1 order by similarity desc, pos limit 5")
+def _(t):
+    hit = t.finding.filter("cwe_id is not null and confidence >= 0.6").withColumn("similarity", F.round("confidence", 6))
+    return O.first_of(hit, ["cwe_id"], [F.desc("similarity"), "pos"]).orderBy(F.desc("similarity"), "pos").limit(5).select("cwe_id", "pos", "similarity")
