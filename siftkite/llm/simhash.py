@@ -10,6 +10,7 @@ Tasks build and search the trees of thousands of small shards at once, as one fo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ RADIUS = 3
 TREE_SIZE = 20_000
 #: Shingles hashed before their bits are summed.
 _STEP = 1 << 16
+_LOWER_TEXT = {c: c + 32 for c in range(65, 91)}
 _FLAT = LOWER.copy()
 _FLAT[list(SPACES)] = 0x20
 
@@ -41,43 +43,58 @@ def fold(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets
 
 
-def simhash_rows(buf: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The fingerprint of each row as uint64."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from each hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def simhash_rows(buf: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS, parts: int = 1) -> np.ndarray:
+    """The fingerprint of each row as `parts` uint64, [row, part]; the parts after the first come from mixed hashes."""
     from xxhash import xxh64_intdigest
 
     buf, offsets = fold(buf, offsets)
     starts, ends = word_spans(buf, offsets)
     first = np.searchsorted(starts, offsets)
-    data, out = memoryview(buf.tobytes()), np.zeros(len(offsets) - 1, np.uint64)
+    data, out = memoryview(buf.tobytes()), np.zeros((len(offsets) - 1, parts), np.uint64)
     for row, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if a == b:
             continue
         n = max(1, b - a - words + 1)
-        ones = np.zeros(64, np.int64)
+        ones = np.zeros((parts, 64), np.int64)
         for low in range(a, a + n, _STEP):
             high = min(low + _STEP, a + n)
             last = ends[low + words - 1 : high + words - 1] if b - a >= words else ends[b - 1 : b]
             hashes = np.array([xxh64_intdigest(data[x:y], 42) for x, y in zip(starts[low:high].tolist(), last.tolist(), strict=True)], "<u8")
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[row] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+            for k in range(parts):
+                hashes = hashes if not k else _mixed(hashes)
+                ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[row] = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row. A null text is empty; no words: 0."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, parts: int = 1) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a signed long; with two parts fp and fp1) of every row. A null text is empty; no words: 0."""
+    names = ["fp", *[f"fp{k}" for k in range(1, parts)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for low, high in row_runs(texts):
-                fp = simhash_rows(*text_buffer(texts.slice(low, high - low)), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(fp)], names=["doc_id", "fp"])
+                fp = simhash_rows(*text_buffer(texts.slice(low, high - low)), words, parts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(parts)]], names=["doc_id", *names])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of points [n, parts]."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
-    """BK-trees over the points of many groups; points of a group are distinct."""
+    """BK-trees over the points [n, parts] of many groups; points of a group are distinct."""
 
     def __init__(self, groups: np.ndarray, points: np.ndarray):
         """groups: 0, 1, ... ascending, none missing."""
@@ -90,8 +107,8 @@ class Forest:
         rest[heads] = False
         rest = np.flatnonzero(rest)
         while len(rest):
-            gap = np.bitwise_count(points[rest] ^ points[self.at[place[rest]]]).astype(np.int64)
-            key, first, which = np.unique(place[rest] << 7 | gap, return_index=True, return_inverse=True)
+            gap = _gap(points[rest], points[self.at[place[rest]]])
+            key, first, which = np.unique(place[rest] << 8 | gap, return_index=True, return_inverse=True)
             nodes.append(rest[first])
             self.at[made : made + len(key)] = rest[first]
             keys.append(key)
@@ -108,11 +125,11 @@ class Forest:
         """(query number, point number) of all pairs at most radius apart; roots: each query's tree."""
         q, node, found = np.arange(len(queries)), roots, []
         while len(q):
-            gap = np.bitwise_count(queries[q] ^ self.points[self.at[node]]).astype(np.int64)
+            gap = _gap(queries[q], self.points[self.at[node]])
             near = gap <= radius
             found.append((q[near], self.at[node[near]]))
-            low = np.searchsorted(self.keys, node << 7 | np.maximum(gap - radius, 0))
-            count = np.searchsorted(self.keys, node << 7 | np.minimum(gap + radius, 64), "right") - low
+            low = np.searchsorted(self.keys, node << 8 | np.maximum(gap - radius, 0))
+            count = np.searchsorted(self.keys, node << 8 | np.minimum(gap + radius, 255), "right") - low
             q, node = np.repeat(q, count), self.to[gather_runs(low, count)]
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
@@ -130,8 +147,9 @@ def spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, work: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the points within radius of each other in a group: each point with its class's first one.
+def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, *, nearest: bool = False, work: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the points [n, parts] within radius of each other in a group: spanning ones, each point with its class's first; with `nearest` each point with the
+    nearest one before it, a direct neighbour. At most one link for each point either way.
 
     side 0: in the tree; 1: a query only. A group without queries of side 1 is searched with its own points. groups: sorted, side within.
     """
@@ -150,40 +168,49 @@ def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: i
     grown = (roots < len(planted)) & (planted[np.minimum(roots, len(planted) - 1)] == groups[ask])
     ask, roots = ask[grown], roots[grown]
     labels = np.arange(len(points))
+    best = np.full(len(points), np.iinfo(np.int64).max)
     cost = np.cumsum(sizes[groups[ask]])
     low = 0
     while low < len(ask):  # so many queries at once that the search's front stays small
         high = max(low + 1, int(np.searchsorted(cost, (cost[low - 1] if low else 0) + work)))
         q, hit = forest.within(roots[low:high], points[ask[low:high]], radius)
-        labels = spanning(labels, ask[low:high][q], tree[hit])
+        q, hit = ask[low:high][q], tree[hit]
+        if nearest:
+            before = hit < q
+            q, hit = q[before], hit[before]
+            np.minimum.at(best, q, _gap(points[q], points[hit]) << 40 | hit)
+        else:
+            labels = spanning(labels, q, hit)
         low = high
+    if nearest:
+        child = np.flatnonzero(best != np.iinfo(np.int64).max)
+        return points[child], points[best[child] & ((1 << 40) - 1)]
     child = np.flatnonzero(labels != np.arange(len(points)))
     return points[child], points[labels[child]]
 
 
-def near_links(distinct: DataFrame, *, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Links (a, b) that span the classes of the distinct fingerprints in column fp within each shard: at most one for each point and shard."""
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    shard = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]).alias("value")) for i in range(blocks)]
-    keyed = distinct.select("fp", F.explode(F.array(*shard)).alias("s")).select("fp", "s.block", "s.value")
-    # shards over the bound are few: at most (rows * blocks / tree_size)
-    hot = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > tree_size).withColumn("pieces", F.ceil(F.col("n") / tree_size).cast("int")).drop("n")
-    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+def shard_links(keyed: DataFrame, keys: list[str], point: list[str], radius: int, tree_size: int, *, nearest: bool = False) -> DataFrame:
+    """Distinct links (a, b; with more parts a, a1, b, b1) of the points within each shard: a shard is the rows that agree in `keys` (longs or ints)."""
+    # shards over the bound are few: at most (rows / tree_size)
+    hot = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > tree_size).withColumn("pieces", F.ceil(F.col("n") / tree_size).cast("int")).drop("n")
+    piece = F.pmod(F.xxhash64(*point), F.col("pieces")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda other: F.struct(F.least(F.col("piece"), other).alias("low"), F.greatest(F.col("piece"), other).alias("high"), (F.col("piece") > other).cast("int").alias("side")))
-    placed = keyed.join(hot, ["block", "value"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", piece)
-    placed = placed.select("block", "value", "fp", F.explode(units).alias("u")).select("block", "value", "u.*", "fp")
-    count = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(count, "block", "value", "low", "high").sortWithinPartitions("block", "value", "low", "high", "side")
+    placed = keyed.join(hot, keys, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", piece)
+    placed = placed.select(*keys, *point, F.explode(units).alias("u")).select(*keys, "u.*", *point)
+    count = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [*keys, "low", "high"]
+    placed = placed.repartition(count, *group).sortWithinPartitions(*group, "side", *point)
+    wide, names = len(group), [*[f"a{k or ''}" for k in range(len(point))], *[f"b{k or ''}" for k in range(len(point))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def give(rows: np.ndarray) -> pa.RecordBatch:
-            key = rows[:, :4]
+            key = rows[:, :wide]
             new = np.concatenate([[False], (key[1:] != key[:-1]).any(axis=1)])
-            a, b = links_of(np.cumsum(new), rows[:, 4], rows[:, 5].astype(np.int64).view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = links_of(np.cumsum(new), rows[:, wide], np.ascontiguousarray(rows[:, wide + 1 :]).view(np.uint64), radius, nearest=nearest)
+            both = np.concatenate([a, b], axis=1).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(both.shape[1])], names=names)
 
         size = 0
         for batch in batches:
@@ -191,14 +218,23 @@ def near_links(distinct: DataFrame, *, radius: int = RADIUS, tree_size: int = TR
             size += batch.num_rows
             if size >= 100_000:  # all whole groups so far; the last one may go on
                 rows = np.concatenate(held)
-                cut = int(np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1)).max(initial=-1)) + 1
+                cut = int(np.flatnonzero((rows[:, :wide] != rows[-1, :wide]).any(axis=1)).max(initial=-1)) + 1
                 if cut:
                     yield give(rows[:cut])
                 held, size = [rows[cut:]], len(rows) - cut
         if size:
             yield give(np.concatenate(held))
 
-    return placed.select("block", "value", "low", "high", "side", "fp").mapInArrow(run, "a long, b long").distinct()
+    return placed.select(*group, "side", *point).mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+
+
+def near_links(distinct: DataFrame, *, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Links (a, b) that span the classes of the distinct fingerprints in column fp within each shard, a shard for each value of each of radius + 1 blocks."""
+    blocks = radius + 1
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    shard = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]).alias("value")) for i in range(blocks)]
+    keyed = distinct.select("fp", F.explode(F.array(*shard)).alias("s")).select("fp", "s.block", "s.value")
+    return shard_links(keyed, ["block", "value"], ["fp"], radius, tree_size)
 
 
 def star_labels(links: DataFrame) -> DataFrame:
@@ -244,3 +280,79 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = members.join(lows, "root").select("fp", "least")
     known = points.join(joined, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Copies by similarity: the same trees over 128 bits, shards by sampled bits, and an exact check.
+
+#: Words of a shingle and least Jaccard similarity of the shingle sets of a copy.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: Chance of missing a pair of just that similarity in all samples of bits.
+MISS = 0.05
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing SimHash bits of two equally large sets with that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bit_samples(points: int, similarity: float, miss: float = MISS) -> np.ndarray:
+    """[table, bit] positions out of 128: as many bits as shards of a few points take, as many tables as the chance of a miss asks for."""
+    bits = max(10, math.ceil(math.log2(max(points, 1))) - 2)
+    tables = math.ceil(math.log(1 / miss) / (1 - differing_share(similarity)) ** bits)
+    rng = np.random.Generator(np.random.PCG64(11))
+    return np.stack([rng.choice(128, bits, replace=False) for _ in range(tables)])
+
+
+def jaccard(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the shingle sets; a text of fewer words is one shingle, two without words are alike."""
+
+    def shingles(text: str) -> set:
+        own = text.translate(_LOWER_TEXT).split()
+        return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, tree_size: int = TREE_SIZE) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of every row with an id: groups of texts whose shingle sets are at least `similarity` alike, directly or over others.
+
+    Shards are samples of a 128-bit fingerprint's bits, so many that a pair of just that similarity is in none of them with chance MISS. In each shard every point's
+    nearest earlier one within the radius is found through BK-trees; those pairs, at most one for each point and shard, are checked exactly on the texts.
+    Equal fingerprints are one point. Rows without an id are left out; null and wordless texts are alike.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    prints = stage(fingerprints(rows, words=words, parts=2), "prints")
+    points = stage(prints.groupBy("fp", "fp1").agg(F.min("doc_id").alias("low")), "points")
+    samples = bit_samples(points.count(), similarity)
+    share = differing_share(similarity)
+    radius = math.ceil(128 * (share + 1.7 * math.sqrt(share * (1 - share) / 128)))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fp = np.stack([np.asarray(c) for c in part.columns[:2]], axis=1)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+                for table, positions in enumerate(samples):
+                    value = bits[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), table, np.int32)), pa.array(value), *part.columns[:2]], names=["block", "value", "fp", "fp1"])
+
+    keyed = points.select("fp", "fp1").mapInArrow(keys, "block int, value long, fp long, fp1 long")
+    links = shard_links(keyed, ["block", "value"], ["fp", "fp1"], radius, tree_size, nearest=True)
+    ids = lambda a, b, name: points.select(F.col("fp").alias(a), F.col("fp1").alias(b), F.col("low").alias(name))
+    pairs = links.join(ids("a", "a1", "x"), ["a", "a1"]).join(ids("b", "b1", "y"), ["b", "b1"])
+    pairs = stage(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
+    texts = rows.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, s, t = batch.columns
+            good = [jaccard(x, y, words) >= similarity for x, y in zip(s.to_pylist(), t.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    links = both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
+    labels = star_labels(links)
+    known = points.join(labels.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp1", F.coalesce("root", "low").alias("component_id"))
+    return prints.join(known, ["fp", "fp1"]).select("doc_id", "component_id")

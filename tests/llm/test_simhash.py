@@ -43,17 +43,17 @@ def clustered(n, seed):
 
 
 def test_forest_finds_what_brute_force_finds():
-    points = np.array(clustered(300, 1), np.uint64)
+    points = np.array(clustered(300, 1), np.uint64)[:, None]
     groups = np.sort(np.random.default_rng(2).integers(0, 5, len(points)))
     a, b = simhash.links_of(groups, np.zeros(len(points), int), points, 3, work=500)
     want = set()
     for g in range(5):
-        own = [int(p) for p in points[groups == g]]
+        own = [int(p) for p in points[groups == g, 0]]
         classes = {}
         for p, r in brute_components(own).items():
             classes.setdefault(r, set()).add(p)
         want |= {frozenset(c) for c in classes.values() if len(c) > 1}
-    got = brute_classes(zip(a.tolist(), b.tolist(), strict=True))
+    got = brute_classes(zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True))
     assert got == want
 
 
@@ -98,3 +98,39 @@ def test_documents(spark):
         ids = [i for g in prints if root[g] == root[f] for i in prints[g] if i is not None]
         assert r.component_id == min(ids, default=None)
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nearest_links_are_direct():
+    points = np.array(clustered(200, 7), np.uint64)[:, None]
+    a, b = simhash.links_of(np.zeros(len(points), int), np.zeros(len(points), int), points, 3, nearest=True)
+    place = {int(p): i for i, p in enumerate(points[:, 0])}
+    want = {}
+    for i, p in enumerate(points[:, 0].tolist()):
+        near = [((p ^ q).bit_count(), j) for j, q in enumerate(points[:i, 0].tolist()) if (p ^ q).bit_count() <= 3]
+        if near:
+            want[i] = min(near)[1]
+    assert {place[x]: place[y] for x, y in zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True)} == want
+
+
+def test_near_copies(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for g in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(120, 300))]
+        rows.append((g * 10, " ".join(words), "c"))
+        want[g * 10] = g * 10
+        for c in range(1, 4):  # one to three words changed: five to fifteen shingles of over a hundred
+            own = list(words)
+            for i in rng.sample(range(len(own)), min(c, len(own) // 100)):
+                own[i] = "changed"
+            rows.append((g * 10 + c, " ".join(own).upper() if c == 2 else " ".join(own), "c"))
+            want[g * 10 + c] = g * 10
+        half = words[: len(words) // 2] + [f"z{rng.randrange(10**6)}" for _ in range(len(words) // 2)]
+        rows.append((g * 10 + 5, " ".join(half), "c"))  # a third alike: no copy
+        want[g * 10 + 5] = g * 10 + 5
+    rows += [(900, None, "c"), (901, "", "c"), (902, "a b", "c"), (903, "A  b", "c"), (None, "a b", "c"), (904, "x" * 100_000, "c")]
+    want |= {900: 900, 901: 900, 902: 902, 903: 902, 904: 904}
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(3)
+    for size in (simhash.TREE_SIZE, 3):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(df, tree_size=size).collect()} == want
+    assert simhash.near_copies(df.limit(0)).count() == 0
