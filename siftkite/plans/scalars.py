@@ -178,7 +178,7 @@ _CVSS = "case when {0} >= 80 then 9.0 + ({0} - 80) / 20 when {0} >= 55 then 7.0
 
 
 @query("risk_scores", f"""with b as (select event_id, case event_id % 4 when 0 then 30.0 when 1 then 22.0 when 2 then 12.0 else 5.0 end + case event_id % 3 when 0 then 20.0 when 1 then 12.0 else 5.0 end + case when event_id % 2 = 0 then 6.0 else 20.0 end + case when event_id % 5 = 0 then 5.0 else 15.0 end + 7.0 as x,
-        round_even((case event_id % 4 when 0 then 1.0::double when 1 then 0.6::double when 2 then 0.3::double else 0 end + 0.6::double + 0.3::double) / 3 * 50 + event_id % 40, 2) as i, 30.0 + least(event_id % 5 * 3.0, 10.0) + case when event_id % 7 = 0 then 5.0 else 0 end as p, 40.0 + case when event_id % 9 <= 1 then 15.0 when event_id % 9 <= 3 then 11.0 when event_id % 9 <= 6 then 7.0 else 3.0 end + 5.0 as d from events),
+        round_even((case event_id % 4 when 0 then 1.0::double when 1 then 0.6::double when 2 then 0.3::double else 0 end + 0.6::double + 0.3::double) / 3 * 50 + (event_id % 40 + 0.06::double), 2) as i, 30.0 + least(event_id % 5 * 3.0, 10.0) + case when event_id % 7 = 0 then 5.0 else 0 end as p, 40.0 + case when event_id % 9 <= 1 then 15.0 when event_id % 9 <= 3 then 11.0 when event_id % 9 <= 6 then 7.0 else 3.0 end + 5.0 as d from events),
     c as (select *, round_even(0.3::double * x + 0.35::double * i + 0.15::double * p + 0.2::double * d, 2) as score from b)
     select event_id, x as exploitability, i as impact, p as prevalence, d as detectability, score, round(round_even({_CVSS.format('score')}, 1), 1) as cvss, case when score >= 80 then 'critical' when score >= 55 then 'high' when score >= 25 then 'medium' when score >= 1 then 'low' else 'info' end as band from c""")
 def _(t):
@@ -187,7 +187,7 @@ def _(t):
     rows = t.events.select(
         "event_id",
         S.exploitability(pick(4, "network", "adjacent", "local", "physical"), pick(3, "low", "medium", "high"), e % 2 == 0, e % 5 == 0, lit("proof_of_concept")).alias("exploitability"),
-        S.impact(pick(4, "high", "medium", "low", "none"), lit("medium"), lit("low"), factors=e % 40).alias("impact"),
+        S.impact(pick(4, "high", "medium", "low", "none"), lit("medium"), lit("low"), factors=e % 40 + 0.06).alias("impact"),
         S.prevalence(lit(None).cast("double"), e % 5, e % 7 == 0).alias("prevalence"),
         S.detectability(lit(20.0), lit(10.0), lit(10.0), e % 9, lit(None).cast("double")).alias("detectability"),
     )
@@ -195,9 +195,9 @@ def _(t):
     return rows.withColumn("cvss", S.to_cvss(F.col("score"))).withColumn("band", S.composite_band(F.col("score")))
 
 
-@query("real_risk", "select pos, round(s, 6) as risk, case when round(s, 6) >= 0.7 then 'P0' when round(s, 6) >= 0.5 then 'P1' when round(s, 6) >= 0.3 then 'P2' else 'P3' end as tier from (select pos, line % 11 / 10 * confidence * (0.5::double + col / 24) * (1 - col / 40) as s from finding)")
+@query("real_risk", "select pos, s as risk, case when s >= 0.7 then 'P0' when s >= 0.5 then 'P1' when s >= 0.3 then 'P2' else 'P3' end as tier from (select pos, line % 11 / 10 * confidence * (0.5::double + col / 24) * (1 - col / 40) as s from finding)")
 def _(t):
-    score = F.round(S.real_risk(F.col("line") % 11, F.col("confidence"), 0.5 + F.col("col") / 24, 1 - F.col("col") / 40), 6)
+    score = S.real_risk(F.col("line") % 11, F.col("confidence"), 0.5 + F.col("col") / 24, 1 - F.col("col") / 40)
     return t.finding.select("pos", score.alias("risk"), S.priority_tier(score).alias("tier"))
 
 
