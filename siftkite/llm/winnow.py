@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words of a gram, and grams of a window (a power of two). Shared passages of K + W - 1 = 12 words are found.
-K, W = 5, 8
+#: Words of a gram, and grams of a window (a power of two). Shared passages of K + W - 1 = 6 words are found; short, so that texts of a line or two have marks to compare.
+K, W = 3, 4
 #: Neighbouring ids form a block of 2 ** BLOCK_BITS ids, the rows that stand together in a task's window.
 BLOCK_BITS = 9
 #: Blocks are ordered in groups of 2 ** ORDER_BITS by three levels, so that no task orders more keys than that.
