@@ -14,12 +14,13 @@ from pyspark.sql.window import Window
 from siftkite.llm import ppm
 from siftkite.llm.common import held_out, row_runs, stage, text_buffer, word_hashes
 
-#: Symbols of the byte model; its tree has SYMBOLS ** (ORDER + 1) cells whatever the corpus (21 MB), the proven bound of what is broadcast.
+#: Symbols of the byte model, and the symbols of its longest contexts. Its tree has at most SYMBOLS ** ORDER contexts whatever the corpus, the bound of what is broadcast.
 SYMBOLS = 48
+ORDER = ppm.ORDER + 1
 #: Text bytes of a block. A block's words are looked up together.
 BLOCK_BYTES = 12 << 20
 
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict[str, ppm.DeepTable] = {}
 
 
 def _plain_runs(texts: pa.Array):
@@ -44,33 +45,34 @@ def byte_counts(rows: DataFrame) -> np.ndarray:
 
 
 def learn_bytes(train: DataFrame, size: int = SYMBOLS) -> dict:
-    """The byte model of the rows' texts: counts of all contexts in all of them; at most size ** (ORDER + 1) counts come to the driver."""
+    """The byte model of the rows' texts: counts of all contexts in all of them. What comes to the driver is the tree's nodes, whose number the alphabet and the order bound."""
     seen = byte_counts(train)
     symbols = ppm.symbols_of(seen, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size ** (ppm.ORDER + 1), np.int64)
+        cell, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, (buf, rows, *_) in _plain_runs(batch.column(0)):
-                total += np.bincount(ppm.contexts(buf, rows, symbols, size), minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+                own, times = np.unique(ppm.contexts(buf, rows, symbols, size, ORDER), return_counts=True)
+                cell, which = np.unique(np.concatenate([cell, own]), return_inverse=True)
+                n = np.bincount(which, np.concatenate([n, times]), len(cell)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
     cells = train.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     index, n = (np.asarray(cells.column(c).combine_chunks()) for c in ("cell", "n"))
     return {"id": uuid.uuid4().hex, "size": size, "symbols": symbols, "index": index, "count": n.astype(np.int64), "rare": ppm.rare_lengths(seen, symbols)}
 
 
-def _table(model: dict) -> np.ndarray:
+def _table(model: dict) -> ppm.DeepTable:
     if model["id"] not in _TABLES:
         _TABLES.clear()
-        _TABLES[model["id"]] = ppm.code_lengths(model["index"], model["count"], model["size"])
+        _TABLES[model["id"]] = ppm.DeepTable(model["index"], model["count"], model["size"])
     return _TABLES[model["id"]]
 
 
 def bytes_score(model: dict, buf: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log10 P of each plain row, its END included."""
-    cost = _table(model)[ppm.contexts(buf, rows, model["symbols"], model["size"])]
+    cost = _table(model)[ppm.contexts(buf, rows, model["symbols"], model["size"], ORDER)]
     cost += model["rare"][buf]
     return -ppm.row_sums(cost, rows) / np.log(10)
 

@@ -54,27 +54,25 @@ def symbols_of(byte_counts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def contexts(buf: np.ndarray, rows: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
-    """For each byte the index of (its ORDER symbols before, its symbol); before a row stand END symbols."""
+def contexts(buf: np.ndarray, rows: np.ndarray, symbols: np.ndarray, size: int, order: int = ORDER) -> np.ndarray:
+    """For each byte the index of (its `order` symbols before, its symbol); before a row stand END symbols."""
     s = symbols[buf].astype(np.int32)
     out = s.copy()
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         out[k:] += s[:-k] * size**k
     edge = int(symbols[END])
     starts, ends = rows[:-1], rows[1:]
-    for j in range(ORDER):
+    for j in range(order):
         at = starts[starts + j < ends] + j
         fixed = s[at].copy()
-        for k in range(1, ORDER + 1):
+        for k in range(1, order + 1):
             fixed += (s[at - k] if k <= j else edge) * size**k
         out[at] = fixed
     return out
 
 
-def code_lengths(index: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """-ln P(symbol | context) for every context of ORDER symbols and symbol, flat, from the sparse counts."""
-    full = np.zeros(size ** (ORDER + 1), np.float64)
-    np.add.at(full, index, count)
+def _probabilities(full: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From counts of (ORDER symbols, symbol): P, the counts, and P after an escape from the whole context, each [context, symbol]."""
     levels = [full.reshape(size**ORDER, size)]
     for k in range(ORDER - 1, -1, -1):
         levels.append(levels[-1].reshape(size, size**k, size).sum(axis=0))
@@ -83,19 +81,63 @@ def code_lengths(index: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     left = np.where(seen, np.inf, max(1, size - int(seen.sum())))
     after = (1.0 / left).astype(np.float32)  # P of a symbol not seen at order k, after the escape from order k
     for k in range(1, ORDER + 1):
-        n = levels[k - 1].astype(np.float32)[None]
-        free = levels[k].reshape(size, size ** (k - 1), size) == 0  # not excluded
-        total = (n * free).sum(axis=2, keepdims=True, dtype=np.float32)
-        kinds = ((n > 0) & free).sum(axis=2, keepdims=True, dtype=np.float32)
-        none = kinds == 0
-        escape = np.where(none, 1, kinds / np.maximum(total + kinds, 1))
-        here = np.where(n > 0, n / np.maximum(total + kinds, 1), escape * after[None])
-        after = np.where(free, here, 0).reshape(size**k, size).astype(np.float32)
+        shorter = levels[k - 1].astype(np.float32)[None]
+        longer = levels[k].reshape(size, size ** (k - 1), size)
+        after = _escaped(longer, shorter, after[None]).reshape(size**k, size)
     top = levels[ORDER].astype(np.float32)
-    total, kinds = top.sum(axis=1, keepdims=True), (top > 0).sum(axis=1, keepdims=True, dtype=np.float32)
+    return _top(top, after), top, after
+
+
+def _escaped(longer: np.ndarray, shorter: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """P after an escape from the longer context: by the shorter one's counts without the symbols seen in the longer."""
+    free = longer == 0
+    total = (shorter * free).sum(axis=-1, keepdims=True, dtype=np.float32)
+    kinds = ((shorter > 0) & free).sum(axis=-1, keepdims=True, dtype=np.float32)
+    escape = np.where(kinds == 0, 1, kinds / np.maximum(total + kinds, 1))
+    return np.where(free, np.where(shorter > 0, shorter / np.maximum(total + kinds, 1), escape * after), 0).astype(np.float32)
+
+
+def _top(counts: np.ndarray, after: np.ndarray) -> np.ndarray:
+    total, kinds = counts.sum(axis=1, keepdims=True, dtype=np.float32), (counts > 0).sum(axis=1, keepdims=True, dtype=np.float32)
     escape = np.where(kinds == 0, 1, kinds / np.maximum(total + kinds, 1))
-    p = np.where(top > 0, top / np.maximum(total + kinds, 1), escape * after)
-    return -np.log(np.maximum(p, 1e-30), dtype=np.float32).reshape(-1)
+    return np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * after)
+
+
+def _lengths(p: np.ndarray) -> np.ndarray:
+    return -np.log(np.maximum(p, 1e-30), dtype=np.float32)
+
+
+def code_lengths(index: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """-ln P(symbol | context) for every context of ORDER symbols and symbol, flat, from the sparse counts."""
+    full = np.zeros(size ** (ORDER + 1), np.float64)
+    np.add.at(full, index, count)
+    return _lengths(_probabilities(full, size)[0]).reshape(-1)
+
+
+class DeepTable:
+    """Code lengths for contexts of ORDER + 1 symbols: a row for each such context that was seen, and for all others the row of their last ORDER symbols.
+
+    Rows are at most size ** (ORDER + 1) + size ** ORDER; those of contexts that occur are far fewer.
+    """
+
+    def __init__(self, index: np.ndarray, count: np.ndarray, size: int):
+        index = index.astype(np.int64)
+        full = np.zeros(size ** (ORDER + 1), np.float64)
+        np.add.at(full, index % size ** (ORDER + 1), count)
+        p, shorter, after = _probabilities(full, size)
+        known, row = np.unique(index // size, return_inverse=True)
+        counts = np.zeros((len(known), size), np.float32)
+        counts[row, index % size] = count
+        parent = known % size**ORDER
+        deep = _top(counts, _escaped(counts, shorter[parent], after[parent]))
+        self.size = size
+        self.lengths = np.concatenate([_lengths(deep), _lengths(p)]).reshape(-1)
+        self.rows = (np.arange(size ** (ORDER + 1), dtype=np.int64) % size**ORDER + len(known)).astype(np.int32)
+        self.rows[known] = np.arange(len(known), dtype=np.int32)
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        context, symbol = np.divmod(cells, self.size)
+        return self.lengths[self.rows[context].astype(np.int64) * self.size + symbol]
 
 
 def rare_lengths(byte_counts: np.ndarray, symbols: np.ndarray) -> np.ndarray:

@@ -24,11 +24,11 @@ def plain(text):
 class BrutePpm:
     """PPM by walking the tree for one symbol after another."""
 
-    def __init__(self, rows, size):
+    def __init__(self, rows, size, order=ppm.ORDER):
         self.size, self.counts = size, defaultdict(Counter)
         for row in rows:
-            for i in range(ppm.ORDER, len(row)):
-                for k in range(ppm.ORDER + 1):
+            for i in range(order, len(row)):
+                for k in range(order + 1):
                     self.counts[tuple(row[i - k : i])][row[i]] += 1
 
     def p(self, context, symbol):
@@ -60,6 +60,19 @@ def test_table_is_ppm():
         assert table[cell] == pytest.approx(-math.log(brute.p(digits[:-1], digits[-1])), rel=1e-4)
 
 
+def test_deep_table_is_ppm():
+    rng = random.Random(5)
+    size, order = 4, ppm.ORDER + 1
+    rows = [[3] * order + [rng.choice([0, 1, 1, 2]) for _ in range(rng.randrange(1, 40))] + [3] for _ in range(5)]
+    cells = Counter(sum(s * size**k for k, s in enumerate(reversed(row[i - order : i + 1]))) for row in rows for i in range(order, len(row)))
+    table = ppm.DeepTable(np.array(list(cells)), np.array(list(cells.values())), size)
+    brute = BrutePpm(rows, size, order)
+    every = np.arange(size ** (order + 1))
+    for cell, length in zip(every.tolist(), table[every], strict=True):
+        digits = [cell // size**k % size for k in range(order, -1, -1)]
+        assert length == pytest.approx(-math.log(brute.p(digits[:-1], digits[-1])), rel=1e-4)
+
+
 def test_plain_rows():
     texts = ["  A b\t\nC ", None, "", " ", "é  É x", "abc", " z"]
     buf, rows, starts, ends = ppm.plain_rows(*text_buffer(pa.array(texts)))
@@ -124,15 +137,15 @@ def test_lm_scores(spark):
     seen = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
     symbols = ppm.symbols_of(seen, lmscore.SYMBOLS)
     edge = int(symbols[ppm.END])
-    brute = BrutePpm([[edge] * ppm.ORDER + [int(symbols[x]) for x in t] for t in texts], lmscore.SYMBOLS)
+    brute = BrutePpm([[edge] * lmscore.ORDER + [int(symbols[x]) for x in t] for t in texts], lmscore.SYMBOLS, lmscore.ORDER)
     rare = ppm.rare_lengths(seen, symbols)
 
     def expected(i, t):
         words = plain(t)
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in [*words, None])
         row = " ".join(words).encode() + b"\n"
-        coded = [edge] * ppm.ORDER + [int(symbols[x]) for x in row]
-        own = sum(math.log10(brute.p(coded[k : k + ppm.ORDER], coded[k + ppm.ORDER])) for k in range(len(row))) - sum(rare[x] for x in row) / math.log(10)
+        coded = [edge] * lmscore.ORDER + [int(symbols[x]) for x in row]
+        own = sum(math.log10(brute.p(coded[k : k + lmscore.ORDER], coded[k + lmscore.ORDER])) for k in range(len(row))) - sum(rare[x] for x in row) / math.log(10)
         return i, is_held(i, 5), len(words) + 1, sum(counts[w] > 0 for w in [*words, None]), total, base, own
 
     key = lambda r: (r[0] is None, r[0])
