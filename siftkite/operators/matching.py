@@ -132,3 +132,19 @@ def weighted_fields(samples: DataFrame, by: str, numbers: list[str], texts: list
         best = votes.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_w"), c))).filter("_n = 1").select(by, c)
         out = out.join(best, by, "left")
     return out
+
+
+def typosquats(names: DataFrame, known: DataFrame, swaps: list[tuple[str, str]], *, name: str = "name", well_known: str = "known") -> DataFrame:
+    """(name, known): names one edit from a well-known one, or equal to it with one of the swaps made throughout.
+
+    Two strings one edit apart share a form with at most one character left out, so both sides are joined on those forms and no pair is formed that shares none.
+    """
+    left_out = lambda c: F.array_union(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
+    a = names.select(F.lower(name).alias(name)).distinct()
+    b = known.select(F.lower(well_known).alias(well_known)).distinct()
+    forms = a.withColumn("_f", F.explode(left_out(F.col(name)))).join(b.withColumn("_f", F.explode(left_out(F.col(well_known)))), "_f")
+    out = forms.filter(F.levenshtein(name, well_known) == 1).select(name, well_known)
+    for old, new in swaps:
+        swapped = b.withColumn("_f", F.replace(F.col(well_known), F.lit(old), F.lit(new)))
+        out = out.union(a.join(swapped, F.col(name) == F.col("_f")).filter(F.col(name) != F.col(well_known)).select(name, well_known))
+    return out.distinct()

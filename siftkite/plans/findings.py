@@ -256,9 +256,9 @@ def _(t):
     return t.finding.select("pos", F.try_divide("confidence", F.max("confidence").over(Window.partitionBy("file_path"))).alias("relative"))
 
 
-@query("conflicts", "select a.signal_id, a.pos as pos_a, b.pos as pos_b, k as kind from signal a join signal b on a.signal_id = b.signal_id and a.pos < b.pos, (values ('state_conflict'), ('confidence_conflict')) x(k) where a.pos % 9 = 0 and b.pos % 9 = 0 and ((k = 'state_conflict' and a.state <> b.state) or (k = 'confidence_conflict' and abs(a.confidence - b.confidence) > 0.3))")
+@query("conflicts", "select a.signal_id, a.pos as pos_a, b.pos as pos_b, k as kind from signal a join signal b on a.signal_id = b.signal_id and a.pos < b.pos, (values ('state_conflict'), ('confidence_conflict')) x(k) where ((k = 'state_conflict' and a.state <> b.state) or (k = 'confidence_conflict' and abs(a.confidence - b.confidence) > 0.3))")
 def _(t):
-    return O.conflicts(t.signal.filter("pos % 9 = 0"))
+    return O.conflicts(t.signal)
 
 
 @query("consensus", "select signal_id, count(*) as n, max(confidence) - min(confidence) <= 0.2 + 1e-12 as agreed from signal group by 1")

@@ -36,13 +36,13 @@ def _(t):
 
 
 @query("match_lines", """with l as (select path, generate_subscripts(string_split(content, chr(10)), 1) as line, unnest(string_split(content, chr(10))) as text from file),
-    s as (select path || ':' || line as key, path, '  ' || text as snippet, line + (length(text) % 3) as reported from l where line % 5 = 1 union all select path || ':none', path, 'no such line', 3 from file),
+    s as (select path || ':' || line as key, path, '  ' || text as snippet, line + (length(text) % 3) as reported from l union all select path || ':none', path, 'no such line', 3 from file),
     m as (select s.key, min(abs(l.line - s.reported)) as d, arg_min(l.line, (abs(l.line - s.reported), l.line)) as line from s join l on l.path = s.path and trim(l.text) = trim(s.snippet) and abs(l.line - s.reported) <= 20 group by 1)
     select s.key, coalesce(m.line, s.reported) as line, case when m.key is null then 'NOT_FOUND' when m.d = 0 then 'EXACT' else 'ADJUSTED' end as status from s left join m on m.key = s.key""")
 def _(t):
     lines = P.lines_of(t.file)
     key = F.concat("path", F.lit(":"), F.col("line").cast("string"))
-    own = lines.filter("line % 5 = 1").select(key.alias("key"), "path", F.concat(F.lit("  "), "text").alias("snippet"), (F.col("line") + F.length("text") % 3).alias("reported"))
+    own = lines.select(key.alias("key"), "path", F.concat(F.lit("  "), "text").alias("snippet"), (F.col("line") + F.length("text") % 3).alias("reported"))
     none = t.file.select(F.concat("path", F.lit(":none")).alias("key"), "path", F.lit("no such line").alias("snippet"), F.lit(3).alias("reported"))
     return M.match_lines(own.union(none), lines, 20)
 
@@ -60,17 +60,17 @@ def _(t):
     return M.merge_keyed(parts, "rule_id", ["line"], ["verified"], ["tags"])
 
 
-@query("incremental_feed", "with b as (select cve_id, last_modified, 'recent' as feed, 0 as p from cve where cve_id like '%1' union all select cve_id, last_modified + interval 1 day, 'modified', 1 from cve where cve_id like '%11'), r as (select *, row_number() over (partition by cve_id order by last_modified desc, p desc) n from b) select cve_id, last_modified, feed from r where n = 1 and last_modified >= timestamp '1996-01-01'")
+@query("incremental_feed", "with b as (select cve_id, last_modified, 'recent' as feed, 0 as p from cve where description like 'O %' union all select cve_id, last_modified + interval 1 day, 'modified', 1 from cve where description like '%URGENT'), r as (select *, row_number() over (partition by cve_id order by last_modified desc, p desc) n from b) select cve_id, last_modified, feed from r where n = 1 and last_modified >= timestamp '1996-01-01'")
 def _(t):
-    recent = t.cve.filter("cve_id like '%1'").select("cve_id", "last_modified", F.lit("recent").alias("feed"))
-    modified = t.cve.filter("cve_id like '%11'").select("cve_id", (F.col("last_modified") + F.expr("interval 1 day")).alias("last_modified"), F.lit("modified").alias("feed"))
+    recent = t.cve.filter("description like 'O %'").select("cve_id", "last_modified", F.lit("recent").alias("feed"))
+    modified = t.cve.filter("description like '%URGENT'").select("cve_id", (F.col("last_modified") + F.expr("interval 1 day")).alias("last_modified"), F.lit("modified").alias("feed"))
     return M.incremental(recent, modified, "cve_id", "last_modified", F.lit("1996-01-01").cast("timestamp_ntz"))
 
 
-@query("reuse_unchanged", "select path, case when pos % 4 = 0 then 'work' else 'cached' end as part from file")
+@query("reuse_unchanged", "select path, case when lang = 'fr' then 'work' else 'cached' end as part from file")
 def _(t):
-    files = t.file.select("pos", "path", F.md5("content").alias("digest"))
-    cache = files.withColumn("digest", F.when(F.col("pos") % 4 == 0, "old").otherwise(F.col("digest")))
+    files = t.file.select("lang", "path", F.md5("content").alias("digest"))
+    cache = files.withColumn("digest", F.when(F.col("lang") == "fr", "old").otherwise(F.col("digest")))
     work, held = M.reuse_unchanged(files, cache, "path", "digest")
     return work.select("path", F.lit("work").alias("part")).union(held.select("path", F.lit("cached")))
 
@@ -141,9 +141,9 @@ def _(t):
     return t.finding.groupBy(priority_tier(F.col("confidence")).alias("tier")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))
 
 
-@query("download_check", "select distinct path, sha256(content) as digest from file where path in (select path from file where pos % 6 = 0)")
+@query("download_check", "select distinct path, sha256(content) as digest from file where path in (select path from file where lang = 'de')")
 def _(t):
-    seen = t.file.filter("pos % 6 = 0").select("path")
+    seen = t.file.filter("lang = 'de'").select("path")
     return t.file.join(seen, "path", "left_semi").select("path", F.sha2("content", 256).alias("digest")).distinct()
 
 

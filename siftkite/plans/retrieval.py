@@ -118,20 +118,20 @@ def _(t):
 
 @query("snippet_similarity")
 def _(t):
-    pairs = t.part.select("p_partkey", "p_name", "p_brand").join(t.part.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("o_name"), "p_brand"), "p_brand").filter("p_partkey < other and p_partkey % 7 = 0")
+    pairs = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size").join(t.part.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("o_name"), "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"]).filter("p_partkey < other")
     return R.sequence_similarity(pairs, "p_name", "o_name").select("p_partkey", "other", "ratio")
 
 
-@query("trace_origin", """with a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem where l_orderkey % 13 = 0 group by 1, 2, 3),
-    s as (select distinct l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var from lineitem where l_orderkey % 29 = 0),
+@query("trace_origin", """with a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem group by 1, 2, 3),
+    s as (select distinct l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var from lineitem),
     h1 as (select s.file, s.line, s.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from s join a on a.file = s.file and a.var = s.var and a.line < s.line and a.line >= s.line - 50 group by 1, 2, 3),
     h2 as (select h1.file, h1.line, h1.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from h1 join a on a.file = h1.file and a.var = h1.origin and a.line < h1.at and a.line >= h1.at - 50 group by 1, 2, 3)
     select *, 1 as hop from h1 union all select *, 2 from h2""")
 def _(t):
     l, v = t.lineitem, lambda c: F.concat(F.lit("v"), c.cast("string"))
     at = [F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 500).alias("line"), v(F.col("l_partkey") % 4).alias("var")]
-    a = l.filter("l_orderkey % 13 = 0").groupBy(*at).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, v(F.col("l_orderkey") % 4))).alias("source"))
-    return R.trace_origin(a, l.filter("l_orderkey % 29 = 0").select(*at).distinct(), depth=2)
+    a = l.groupBy(*at).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, v(F.col("l_orderkey") % 4))).alias("source"))
+    return R.trace_origin(a, l.select(*at).distinct(), depth=2)
 
 
 @query("merge_cluster", "select source, count(*) as n, avg(n_chars) as mean_chars, list_sort(list(distinct lang)) as langs, arg_max(doc_id, doc_id) as last from documents group by 1")

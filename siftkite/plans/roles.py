@@ -15,12 +15,12 @@ _SEV = "case {0} % 5 when 0 then 'critical' when 1 then 'high' when 2 then 'medi
 
 ROLES: dict[str, str] = {
     "cve": "select 'CVE-2020-' || cast(1000000 + o_orderkey as string) as cve_id, o_orderstatus || ' issue of priority ' || o_orderpriority as description, o_orderdate as published_date, o_orderdate as last_modified from orders",
-    "cvss": "select 'CVE-2020-' || cast(1000000 + o_orderkey as string) as cve_id, cast(cast(floor(o_totalprice) as bigint) % 101 as double) / 10 as score, case when cast(floor(o_totalprice) as bigint) % 101 >= 90 then 'CRITICAL' when cast(floor(o_totalprice) as bigint) % 101 >= 70 then 'HIGH' when cast(floor(o_totalprice) as bigint) % 101 >= 40 then 'MEDIUM' else 'LOW' end as severity, '3.1' as version from orders where o_orderkey % 10 <> 3",
-    "kev": "select 'CVE-2020-' || cast(1000000 + o_orderkey as string) as cve_id, o_orderkey % 34 = 0 as exploited, cast(o_orderdate as date) as due_date from orders where o_orderkey % 17 = 0",
-    "exploit": "select l_orderkey * 10 + l_linenumber as id, 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, l_returnflag as platform, l_linestatus as exploit_type, l_linenumber = 1 as verified from lineitem where l_linenumber <= 2 and l_orderkey % 4 = 0",
-    "poc": "select l_orderkey * 10 + l_linenumber as id, 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, 'https://code.example.com/r' || cast(l_partkey as string) as repo_url, cast(l_quantity as int) as stars, l_returnflag as language from lineitem where l_linenumber >= 5",
-    "cwe": "select 'CWE-' || cast(p_partkey as string) as cwe_id, p_name as name, p_type as status, p_name || ' weakness in ' || p_brand as description from part where p_partkey < 60",
-    "cve_cwe": "select distinct 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, 'CWE-' || cast(l_partkey % 40 as string) as cwe_id, l_linenumber = 1 as is_primary from lineitem where l_linenumber <= 3",
+    "cvss": "select 'CVE-2020-' || cast(1000000 + o_orderkey as string) as cve_id, cast(cast(floor(o_totalprice) as bigint) % 101 as double) / 10 as score, case when cast(floor(o_totalprice) as bigint) % 101 >= 90 then 'CRITICAL' when cast(floor(o_totalprice) as bigint) % 101 >= 70 then 'HIGH' when cast(floor(o_totalprice) as bigint) % 101 >= 40 then 'MEDIUM' else 'LOW' end as severity, '3.1' as version from orders where o_orderstatus <> 'P'",
+    "kev": "select 'CVE-2020-' || cast(1000000 + o_orderkey as string) as cve_id, o_totalprice > 200000 as exploited, cast(o_orderdate as date) as due_date from orders where o_orderpriority = '1-URGENT'",
+    "exploit": "select l_orderkey * 10 + l_linenumber as id, 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, l_returnflag as platform, l_linestatus as exploit_type, l_linenumber = 1 as verified from lineitem where l_returnflag = 'R'",
+    "poc": "select l_orderkey * 10 + l_linenumber as id, 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, 'https://code.example.com/r' || cast(l_partkey as string) as repo_url, cast(l_quantity as int) as stars, l_returnflag as language from lineitem where l_linestatus = 'O'",
+    "cwe": "select 'CWE-' || cast(p_partkey as string) as cwe_id, p_name as name, p_type as status, p_name || ' weakness in ' || p_brand as description from part",
+    "cve_cwe": "select distinct 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, 'CWE-' || cast(l_partkey as string) as cwe_id, l_linenumber = 1 as is_primary from lineitem",
     "cpe": "select l_orderkey * 10 + l_linenumber as id, 'CVE-2020-' || cast(1000000 + l_orderkey as string) as cve_id, 'vendor' || cast(l_suppkey % 20 as string) as vendor, 'product' || cast(l_partkey % 50 as string) as product, case when l_linenumber % 2 = 0 then cast(l_linenumber as string) || '.' || cast(l_partkey % 12 as string) else '' end as version_start, case when l_partkey % 3 = 0 then cast(l_linenumber + 2 as string) || '.' || cast(l_suppkey % 13 as string) || '.1' end as version_end, case when l_partkey % 2 = 0 then 'including' else 'excluding' end as version_start_type, case when l_suppkey % 2 = 0 then 'including' else 'excluding' end as version_end_type from lineitem",
     "finding": f"select event_id as pos, case event_id % 9 when 0 then 'SQL_INJECTION_' || cast(event_id % 3 + 1 as string) when 1 then 'RemoteTokenServices_SSRF' when 2 then 'RULE_windows' when 3 then 'Spring_Cloud_Vulnerability' when 4 then 'PORT-' || cast(user_id % 4 as string) when 5 then 'API-' || event_type when 6 then 'Hardcoded_secret' when 7 then 'CFG-weakness' else upper(event_type) || '_' || cast(user_id % 3 as string) || '_7' end as rule_id, event_type || ' sql injection near ' || cast(user_id % 7 as string) || ' in config' as description, {_SEV.format('(event_id * 7)')} as severity, './repo/src/d' || cast(user_id % 10 as string) || '/F' || cast(user_id as string) || '.py' as file_path, cast(event_id % 60 as int) as line, cast(event_id % 13 as int) as col, {_CONF} as confidence, 'x = ' || event_type || cast(event_id % 11 as string) as code_snippet, case event_id % 4 when 0 then 'ai' when 1 then 'static' when 2 then 'tool' end as source, event_id % 3 = 0 as verified, case event_id % 5 when 0 then 'CONFIRMED' when 1 then 'REFINED' when 2 then 'REJECTED' when 3 then 'UNCERTAIN' end as status, case event_id % 6 when 0 then 'triple_verified' when 1 then 'double_verified' when 2 then 'single_verified' when 3 then 'unverified' when 4 then 'unknown' end as verification_level, event_id % 7 = 0 as is_hallucination, case when event_id % 8 = 0 then 'UNVERIFIED_RISK' else event_type end as title, case when event_id % 3 = 0 then 'CWE-' || cast(event_id % 40 as string) end as cwe_id from events",
     "vote": f"select event_id as pos, 'A' || cast(user_id % 7 as string) as agent_id, 'F' || cast(event_id % 499 as string) as finding_id, case event_id % 7 when 0 then 'REJECTED' when 1 then 'REFINED' when 2 then 'REJECTED' else 'CONFIRMED' end as decision, {_CONF} as confidence, {_SEV.format('event_id')} as severity, cast(floor(value * 10) as bigint) as execution_time_ms, cast(user_id as bigint) as token_cost from events",

@@ -9,6 +9,7 @@ from siftkite.functions import findings as X
 from siftkite.functions import scoring as S
 from siftkite.functions import text as T
 from siftkite.functions import versions as V
+from siftkite.operators import matching as M
 from siftkite.operators import patterns as P
 from siftkite.plans.registry import query
 
@@ -57,12 +58,11 @@ def _(t):
     return rows.select("p_partkey", "other", T.edit_distance(F.col("p_name"), F.col("o_name")).alias("distance"), T.edit_similarity(F.col("p_name"), F.col("o_name")).alias("similarity"))
 
 
-@query("typosquatting", "with known as (select distinct p_name as k from part where p_partkey < 50) select distinct p_name as name, k as similar_to from (select distinct p_name from part) join known on levenshtein(p_name || 's', k || '') = 1 or p_name = replace(k, 'r', 'l') and p_name <> k")
+@query("typosquatting", "with known as (select distinct p_name as k from part where p_type = 'ECONOMY'), n as (select distinct case when p_size % 2 = 0 then p_name || 's' else replace(p_name, 'l', '1') end as name from part) select name, k as similar_to from n join known on levenshtein(name, k) = 1 or (name = replace(k, 'l', '1') and name <> k)")
 def _(t):
-    names = t.part.select(F.col("p_name").alias("name")).distinct()
-    known = t.part.filter("p_partkey < 50").select(F.col("p_name").alias("similar_to")).distinct()  # a list of well-known names: fifty at most
-    close = (T.edit_distance(F.concat("name", F.lit("s")), F.col("similar_to")) == 1) | ((F.col("name") == F.regexp_replace("similar_to", "r", "l")) & (F.col("name") != F.col("similar_to")))
-    return names.join(F.broadcast(known.limit(50)), close)
+    name = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.regexp_replace("p_name", "l", "1"))
+    known = t.part.filter("p_type = 'ECONOMY'").select(F.col("p_name").alias("known"))
+    return M.typosquats(t.part.select(name.alias("name")), known, [("l", "1")]).select("name", F.col("known").alias("similar_to"))
 
 
 @query("locations", "select pos, regexp_extract(location, '^(.*):[^:]*$', 1) as path, coalesce(try_cast(regexp_extract(location, ':([^:]*)$', 1) as int), -1) as line from signal")
@@ -103,12 +103,12 @@ def _(t):
 _REQ = "case pos % 5 when 0 then '>=1.4, <3' when 1 then '~=2.3.1' when 2 then '==' || version when 3 then '<=' || version else version end"
 
 
-@query("version_specs", f"""with d as (select pos, version, {_REQ} as spec, list_concat({_PARTS.format('version')}, [0,0,0,0,0,0,0,0]::bigint[])[1:8] as k from dependency where pos % 3 = 0)
+@query("version_specs", f"""with d as (select pos, version, {_REQ} as spec, list_concat({_PARTS.format('version')}, [0,0,0,0,0,0,0,0]::bigint[])[1:8] as k from dependency)
     select pos, spec, case pos % 5 when 0 then k >= [1,4,0,0,0,0,0,0]::bigint[] and k < [3,0,0,0,0,0,0,0]::bigint[] when 1 then k >= [2,3,1,0,0,0,0,0]::bigint[] and k < [2,4,0,0,0,0,0,0]::bigint[] else true end as fits from d""")
 def _(t):
     v = F.col("version")
     spec = F.when(F.col("pos") % 5 == 0, ">=1.4, <3").when(F.col("pos") % 5 == 1, "~=2.3.1").when(F.col("pos") % 5 == 2, F.concat(F.lit("=="), v)).when(F.col("pos") % 5 == 3, F.concat(F.lit("<="), v)).otherwise(v)
-    return t.dependency.filter("pos % 3 = 0").withColumn("spec", spec).select("pos", "spec", V.matches(v, V.spec_range(F.col("spec"))).alias("fits"))
+    return t.dependency.withColumn("spec", spec).select("pos", "spec", V.matches(v, V.spec_range(F.col("spec"))).alias("fits"))
 
 
 @query("pattern_scan", r"""select path, line, strpos(text, m) - 1 as col, 'number' as rule_id, m as match from (select path, generate_subscripts(string_split(content, chr(10)), 1) as line, unnest(string_split(content, chr(10))) as text, regexp_extract(unnest(string_split(content, chr(10))), '[0-9]{3,}', 0) as m from file) where m <> '' and not regexp_matches(text, '^\s*(#|//|$)')

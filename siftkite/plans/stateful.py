@@ -142,9 +142,9 @@ def _(t):
     return t.events.withColumn("last_view", before).filter("event_type = 'purchase'").select("event_id", "last_view")
 
 
-@query("pending_files", "select path from file where path not in (select path from file where size % 3 = 0)")
+@query("pending_files", "select path from file where path not in (select path from file where lang = 'en')")
 def _(t):
-    return t.file.join(t.file.filter("size % 3 = 0").select("path"), "path", "left_anti").select("path")
+    return t.file.join(t.file.filter("lang = 'en'").select("path"), "path", "left_anti").select("path")
 
 
 @query("json_bag", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")

@@ -45,7 +45,7 @@ def _(t):
 
 
 _KEY = "(list_concat(list_transform(list_filter(string_split({0}, '.'), lambda x: x <> ''), lambda x: x::bigint), [0,0,0,0,0,0,0,0]::bigint[]))[1:8]"
-_TARGETS = "targets as (select distinct vendor, product, cast(id % 6 as varchar) || '.' || cast(id % 11 as varchar) || '.1' as version from cpe where id % 97 = 0)"
+_TARGETS = "targets as (select distinct vendor, product, cast(id % 5 as varchar) || '.1' as version from cpe)"
 
 
 @query(
@@ -55,8 +55,8 @@ _TARGETS = "targets as (select distinct vendor, product, cast(id % 6 as varchar)
     and (nullif(c.version_end, '') is null or case when c.version_end_type = 'including' then {_KEY.format("t.version")} <= {_KEY.format("c.version_end")} else {_KEY.format("t.version")} < {_KEY.format("c.version_end")} end)""",
 )
 def _(t):
-    version = F.concat_ws(".", (F.col("id") % 6).cast("string"), (F.col("id") % 11).cast("string"), F.lit("1"))
-    return W.scan_product_version(t.cpe, t.cpe.filter("id % 97 = 0").select("vendor", "product", version.alias("version")).distinct())
+    version = F.concat_ws(".", (F.col("id") % 5).cast("string"), F.lit("1"))
+    return W.scan_product_version(t.cpe, t.cpe.select("vendor", "product", version.alias("version")).distinct())
 
 
 @query(
@@ -66,8 +66,8 @@ def _(t):
     and (nullif(c.version_end, '') is null or (c.version_end_type = 'including' and t.version <= c.version_end) or t.version < c.version_end)""",
 )
 def _(t):
-    version = F.concat_ws(".", (F.col("id") % 6).cast("string"), (F.col("id") % 11).cast("string"), F.lit("1"))
-    return W.scan_product_version(t.cpe, t.cpe.filter("id % 97 = 0").select("vendor", "product", version.alias("version")).distinct(), lexicographic=True)
+    version = F.concat_ws(".", (F.col("id") % 5).cast("string"), F.lit("1"))
+    return W.scan_product_version(t.cpe, t.cpe.select("vendor", "product", version.alias("version")).distinct(), lexicographic=True)
 
 
 @query(
@@ -158,13 +158,13 @@ def _(t):
 
 @query(
     "upsert_cve",
-    """with new as (select cve_id, 'new ' || description as description, published_date + interval 5 day as published_date, last_modified + interval 9 day as last_modified from cve where cve_id like '%7' union all select cve_id || 'x', 'added', published_date, last_modified from cve where cve_id like '%77')
+    """with new as (select cve_id, 'new ' || description as description, published_date + interval 5 day as published_date, last_modified + interval 9 day as last_modified from cve where description like 'F %' union all select cve_id || 'x', 'added', published_date, last_modified from cve where description like 'P %')
     select coalesce(o.cve_id, n.cve_id) as cve_id, coalesce(n.description, o.description) as description, coalesce(o.published_date, n.published_date) as published_date, coalesce(n.last_modified, o.last_modified) as last_modified from cve o full join new n on n.cve_id = o.cve_id""",
 )
 def _(t):
     days = lambda c, n: (F.col(c) + F.expr(f"interval {n} days")).alias(c)
-    seven = t.cve.filter("cve_id like '%7'").select("cve_id", F.concat(F.lit("new "), "description").alias("description"), days("published_date", 5), days("last_modified", 9))
-    added = t.cve.filter("cve_id like '%77'").select(F.concat("cve_id", F.lit("x")).alias("cve_id"), F.lit("added").alias("description"), "published_date", "last_modified")
+    seven = t.cve.filter("description like 'F %'").select("cve_id", F.concat(F.lit("new "), "description").alias("description"), days("published_date", 5), days("last_modified", 9))
+    added = t.cve.filter("description like 'P %'").select(F.concat("cve_id", F.lit("x")).alias("cve_id"), F.lit("added").alias("description"), "published_date", "last_modified")
     return W.upsert(t.cve, seven.union(added), ["cve_id"], keep=["published_date"])
 
 
@@ -204,13 +204,13 @@ def _(t):
 
 @query(
     "change_sets",
-    """with o as (select path, sha256(content) as hash, size as mtime, size from file where pos % 5 <> 0), n as (select path, case when pos % 7 = 0 then sha256(content || 'x') else sha256(content) end as hash, case when pos % 2 = 0 then size + 1 else size end as mtime, size from file where pos % 11 <> 0)
+    """with o as (select path, sha256(content) as hash, size as mtime, size from file where lang <> 'es'), n as (select path, case when lang = 'fr' then sha256(content || 'x') else sha256(content) end as hash, case when size > 1000 then size + 1 else size end as mtime, size from file where not contains(path, '/src5/'))
     select coalesce(n.path, o.path) as path, case when n.path is null then 'removed' when o.path is null then 'added' when (n.mtime > o.mtime or n.size <> o.size) and n.hash <> o.hash then 'changed' else 'unchanged' end as change from o full join n on n.path = o.path""",
 )
 def _(t):
     f = t.file.withColumn("content", F.col("content"))
-    old = f.filter("pos % 5 <> 0").select("path", F.sha2("content", 256).alias("hash"), F.col("size").alias("mtime"), "size")
-    new = f.filter("pos % 11 <> 0").select("path", F.sha2(F.when(F.col("pos") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("hash"), F.when(F.col("pos") % 2 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("mtime"), "size")
+    old = f.filter("lang <> 'es'").select("path", F.sha2("content", 256).alias("hash"), F.col("size").alias("mtime"), "size")
+    new = f.filter(~F.contains("path", F.lit("/src5/"))).select("path", F.sha2(F.when(F.col("lang") == "fr", F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("hash"), F.when(F.col("size") > 1000, F.col("size") + 1).otherwise(F.col("size")).alias("mtime"), "size")
     return W.change_sets(old, new)
 
 
@@ -225,10 +225,11 @@ def _(t):
     return out.filter(F.size("versions") > 1)
 
 
-@query("dependency_advisories", f"""with adv as (select distinct product as name, cve_id, version_end from cpe where version_end is not null and id % 31 = 0)
+@query("dependency_advisories", f"""with adv as (select distinct product as name, cve_id, version_end from cpe where version_end is not null and vendor = 'vendor3' and cve_id in (select cve_id from kev where exploited))
     select d.pos, d.name, d.version, a.cve_id from dependency d join adv a on 'product' || substr(d.name, 4) = a.name where d.dependency_type = 'direct' and {_KEY.format("d.version")} < {_KEY.format("a.version_end")}""")
 def _(t):
-    advice = t.cpe.filter("version_end is not null and id % 31 = 0").select(F.col("product").alias("name"), "cve_id", F.concat(F.lit("<"), "version_end").alias("spec")).distinct()
+    known = t.kev.filter("exploited").select("cve_id")
+    advice = t.cpe.filter("version_end is not null and vendor = 'vendor3'").join(known, "cve_id", "left_semi").select(F.col("product").alias("name"), "cve_id", F.concat(F.lit("<"), "version_end").alias("spec")).distinct()
     deps = t.dependency.filter("dependency_type = 'direct'").withColumn("product", F.concat(F.lit("product"), F.substring("name", 4, 9)))
     rows = deps.join(advice.withColumnRenamed("name", "product"), "product")
     return rows.filter(V.matches(F.col("version"), V.spec_range(F.col("spec")))).select("pos", "name", "version", "cve_id")
