@@ -131,3 +131,9 @@ def glob_regex(pattern: str) -> str:
     import re
 
     return ".*".join("[^.]*".join(map(re.escape, part.split("*"))) for part in pattern.split("**"))
+
+
+def code_blocks(code: Column) -> Column:
+    """Blocks of a source text: each starts at a line without indent that opens a function, class or import, and goes on to the next such line."""
+    marked = F.regexp_replace(code, r"(?m)^(?=(?:async def|def|class|import|from|function|func|public|private)\b)", "\u0000")
+    return F.filter(F.transform(F.split(marked, "\\x00"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")

@@ -248,3 +248,11 @@ def trace_origin(assignments: DataFrame, starts: DataFrame, *, reach: int = 50,
         out = step if out is None else out.unionByName(step)
         now = step.filter("origin is not null").select("file", "line", "var", "at", F.col("origin").alias("of"))
     return out
+
+
+def text_features(code: Column, dimensions: int = 384) -> Column:
+    """Ten counts of a source text, tiled to the dimensions, each modulo 1."""
+    count = lambda p: F.regexp_count(code, F.lit(p)).cast("double")
+    n = F.length(code).cast("double")
+    ten = F.array(n / 1000, count("\n") / 100, count(r"\bdef\b") / 10, count(r"\bclass\b") / 10, count(r"\bimport\b") / 10, count(r"\bif\b") / 10, count(r"\bfor\b") / 10, count(r"\breturn\b") / 10, count("=") / 100, count(r"\(") / 100)
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.pmod(F.get(ten, i % 10), F.lit(1.0)))

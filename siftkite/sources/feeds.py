@@ -235,3 +235,35 @@ def pyproject(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.explode(F.regexp_extract_all(block, F.lit("[\"']([^\"']+)[\"']"), 1)).alias("l"))
     pattern = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([^;]*)"
     return rows.select("path", F.regexp_extract("l", pattern, 1).alias("name"), F.trim(F.regexp_extract("l", pattern, 2)).alias("spec")).withColumn("range", V.spec_range(F.col("spec")))
+
+
+NVD1 = f"CVE_Items array<struct<cve:struct<CVE_data_meta:struct<ID:string>,description:struct<description_data:{_TEXTS}>,problemtype:struct<problemtype_data:array<struct<description:{_TEXTS}>>>,references:struct<reference_data:array<struct<url:string>>>>,impact:struct<baseMetricV3:struct<cvssV3:struct<baseScore:double,baseSeverity:string>>>,publishedDate:string,lastModifiedDate:string>>"
+
+
+def read_nvd1(spark: SparkSession, path: str) -> DataFrame:
+    """cve_id, description, cwe_id, score, severity, references of NVD 1.1 collections; score and severity beside what `nvd2_rows` gives."""
+    x = spark.read.schema(NVD1).option("multiLine", True).json(path).select(F.explode("CVE_Items").alias("x"))
+    problem = F.get(F.col("x.cve.problemtype.problemtype_data"), F.lit(0))["description"]
+    v3 = F.col("x.impact.baseMetricV3.cvssV3")
+    return x.select(F.col("x.cve.CVE_data_meta.ID").alias("cve_id"), english(F.col("x.cve.description.description_data")).alias("description"), F.nullif(english(problem), F.lit("")).alias("cwe_id"), v3["baseScore"].alias("score"), v3["baseSeverity"].alias("severity"), F.transform("x.cve.references.reference_data", lambda r: r["url"]).alias("references"))
+
+
+def import_folder(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> None:
+    """Append the rows of JSON-lines files that came to the folder since the last call to `out`; the checkpoint remembers the files."""
+    rows = spark.readStream.schema(schema).json(folder)
+    rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+
+def read_json_rows(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """Rows of a JSON file by a schema: the root's objects, or those in the array `field` (sessions, lookup tables, advisories)."""
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    return df.select(F.explode(field).alias("r")).select("r.*") if field else df
+
+
+def priority_rules(rules: list[dict], path: Column, content: Column) -> Column:
+    """The summed weights of keyword, pattern and path rules (kind, value, weight) that hold; the rules are a user's file, read on the driver."""
+    tests = {"keyword": lambda v: F.contains(F.lower(content), F.lit(v.lower())), "pattern": content.rlike, "path": path.rlike}
+    total = F.lit(0.0)
+    for r in rules:
+        total = total + F.when(tests[r["kind"]](r["value"]), float(r["weight"])).otherwise(0.0)
+    return total

@@ -242,3 +242,30 @@ def test_vote_clusters(spark):
     rows = [("f", 1, 10, "A", "x y z"), ("f", 2, 12, "B", "q"), ("f", 3, 15, "C", "x y z"), ("f", 4, 40, "A", "n"), ("f", 5, 18, "D", "m")]
     got = {r.pos: r.seed for r in R.vote_clusters(spark.createDataFrame(pd.DataFrame(rows, columns=["file", "pos", "line", "finding_id", "description"]))).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def test_code_blocks_and_features(spark):
+    code = "import a\n\ndef f(x):\n    return x\n\nclass B:\n    def g(self):\n        pass\n"
+    assert one(spark, T.code_blocks(F.col("t")), t=code) == ["import a", "def f(x):\n    return x", "class B:\n    def g(self):\n        pass"]
+    v = one(spark, R.text_features(F.col("t"), 12), t="def f():\n return 1")
+    assert len(v) == 12 and v[0] == v[10] and v[2] == pytest.approx(0.1)
+
+
+def test_typosquats_against_all_pairs(spark):
+    from siftkite.operators import matching as M
+
+    rng = random.Random(3)
+    known = ["requests", "numpy", "flask", "pandas"]
+    names = list({"".join(c for c in w if rng.random() > 0.1) + rng.choice(["", "s", "x"]) for w in known * 30} | {"reque5ts", "f1ask", "flask"})
+    got = {(r.name, r.known) for r in M.typosquats(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in known], "known string"), [("l", "1"), ("s", "5")]).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    assert got == {(n, k) for n in names for k in known if distance(n, k) == 1 or (n != k and n in (k.replace("l", "1"), k.replace("s", "5")))}

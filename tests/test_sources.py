@@ -145,3 +145,18 @@ def test_plugins(spark):
     assert r.names("js") == ["num"]
     assert {(x.path, x.rule_id) for x in plugins.fan_out(r, files).collect()} == {("a.py", "num"), ("b.js", "num"), ("a.py", "x")}
     assert plugins.matches_language("*", "go") and not plugins.matches_language("java", "go")
+
+
+def test_nvd1_streams_and_rules(spark, put, tmp_path):
+    item = {"cve": {"CVE_data_meta": {"ID": "CVE-9"}, "description": {"description_data": [{"lang": "en", "value": "d"}]}, "problemtype": {"problemtype_data": [{"description": [{"lang": "en", "value": "CWE-1"}]}]}, "references": {"reference_data": [{"url": "u"}]}}, "impact": {"baseMetricV3": {"cvssV3": {"baseScore": 5.5, "baseSeverity": "MEDIUM"}}}}
+    row = feeds.read_nvd1(spark, put("n1.json", {"CVE_Items": [item]}) + "/n1.json").first()
+    assert (row.cve_id, row.description, row.cwe_id, row.score, row.references) == ("CVE-9", "d", "CWE-1", 5.5, ["u"])
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for n in (1, 2):
+        put(f"feed/{n}.json", '{"x": %d}\n' % n)
+        feeds.import_folder(spark, str(tmp_path / "feed"), "x int", out, mark)
+    assert sorted(r.x for r in spark.read.parquet(out).collect()) == [1, 2]
+    assert feeds.read_json_rows(spark, put("s.json", {"rows": [{"a": 1}, {"a": 2}]}) + "/s.json", "rows array<struct<a:int>>", "rows").count() == 2
+    df = spark.createDataFrame([("src/auth.py", "Password = 1")], "p string, c string")
+    rules = [{"kind": "keyword", "value": "password", "weight": 2}, {"kind": "path", "value": "auth", "weight": 1}, {"kind": "pattern", "value": "^x", "weight": 4}]
+    assert df.select(feeds.priority_rules(rules, F.col("p"), F.col("c")).alias("w")).first().w == 3.0
