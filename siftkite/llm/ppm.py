@@ -81,10 +81,10 @@ def _probabilities(full: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray,
     left = np.where(seen, np.inf, max(1, size - int(seen.sum())))
     after = (1.0 / left).astype(np.float32)  # P of a symbol not seen at order k, after the escape from order k
     for k in range(1, ORDER + 1):
-        shorter = levels[k - 1].astype(np.float32)[None]
+        shorter = levels[k - 1][None]
         longer = levels[k].reshape(size, size ** (k - 1), size)
         after = _escaped(longer, shorter, after[None]).reshape(size**k, size)
-    top = levels[ORDER].astype(np.float32)
+    top = levels[ORDER]
     return _top(top, after), top, after
 
 
@@ -109,8 +109,8 @@ def _lengths(p: np.ndarray) -> np.ndarray:
 
 def code_lengths(index: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     """-ln P(symbol | context) for every context of ORDER symbols and symbol, flat, from the sparse counts."""
-    full = np.zeros(size ** (ORDER + 1), np.float64)
-    np.add.at(full, index, count)
+    full = np.zeros(size ** (ORDER + 1), np.float32)
+    np.add.at(full, index, count.astype(np.float32))
     return _lengths(_probabilities(full, size)[0]).reshape(-1)
 
 
@@ -122,8 +122,8 @@ class DeepTable:
 
     def __init__(self, index: np.ndarray, count: np.ndarray, size: int):
         index = index.astype(np.int64)
-        full = np.zeros(size ** (ORDER + 1), np.float64)
-        np.add.at(full, index % size ** (ORDER + 1), count)
+        full = np.zeros(size ** (ORDER + 1), np.float32)
+        np.add.at(full, index % size ** (ORDER + 1), count.astype(np.float32))
         p, shorter, after = _probabilities(full, size)
         known, row = np.unique(index // size, return_inverse=True)
         counts = np.zeros((len(known), size), np.float32)
@@ -132,7 +132,7 @@ class DeepTable:
         deep = _top(counts, _escaped(counts, shorter[parent], after[parent]))
         self.size = size
         self.lengths = np.concatenate([_lengths(deep), _lengths(p)]).reshape(-1)
-        self.rows = (np.arange(size ** (ORDER + 1), dtype=np.int64) % size**ORDER + len(known)).astype(np.int32)
+        self.rows = np.arange(size ** (ORDER + 1), dtype=np.int32) % np.int32(size**ORDER) + np.int32(len(known))
         self.rows[known] = np.arange(len(known), dtype=np.int32)
 
     def __getitem__(self, cells: np.ndarray) -> np.ndarray:
