@@ -232,7 +232,7 @@ def _(t):
 
 @query("top_share", "select pos from (select pos, row_number() over (order by confidence desc, pos) n, count(*) over () c from finding) where n <= greatest(1, floor(0.3 * c))")
 def _(t):
-    return O.top_share(t.finding, [F.desc("confidence"), "pos"], 0.3).select("pos")
+    return O.top_share(t.finding, "confidence", "pos", 0.3).select("pos")
 
 
 @query("top_per_file", "select file_path, pos, nth from (select file_path, pos, row_number() over (partition by file_path order by confidence desc, line, pos) nth from finding) where nth <= 3")

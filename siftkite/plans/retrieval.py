@@ -107,7 +107,7 @@ def _(t):
 
 @query("greedy_clusters")
 def _(t):
-    return R.greedy_clusters(t.documents, "source", "doc_id", "text", 0.6)
+    return R.greedy_clusters(t.conversations, "conv_id", "turn", "text", 0.3)
 
 
 @query("vote_clusters")
