@@ -62,6 +62,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join may broadcast: about 32 MB in each executor.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """Staged ids, to be broadcast where they are counted and few enough; a join with more of them shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def id_crc(id_col: str) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftkite.llm.common import LOWER, SPACES, gather_runs, row_runs, stage, text_buffer, word_spans
+from siftkite.llm.common import LOWER, SPACES, gather_runs, row_runs, sized, stage, text_buffer, word_spans
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -343,7 +343,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ids = lambda a, b, name: points.select(F.col("fp").alias(a), F.col("fp1").alias(b), F.col("low").alias(name))
     pairs = links.join(ids("a", "a1", "x"), ["a", "a1"]).join(ids("b", "b1", "y"), ["b", "b1"])
     pairs = stage(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
-    texts = rows.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    asked = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
+    texts = rows.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
