@@ -81,6 +81,18 @@ def held_out(id_col: str, mod: int) -> Column:
     return F.coalesce(id_crc(id_col) % mod == 1, F.lit(False))
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps from task to task: one model, that of the stage at hand; another one's memory is given back first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them, from 0. Nulls are empty."""
     if column.null_count:

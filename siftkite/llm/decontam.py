@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftkite.llm.common import row_runs
+from siftkite.llm.common import kept, row_runs
 
 #: Edits allowed, as a share of the item's characters.
 ERROR_RATE = 0.05
@@ -24,7 +24,6 @@ MIN_CHARS = 30
 PASS_CHARS = 4 << 20
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_FINDERS: dict[str, Finder] = {}
 
 
 def plain(text: str | None) -> str:
@@ -132,10 +131,7 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, rate: float, min_c
 
 
 def _finder(key: str, items: list[tuple[int, str]], rate: float) -> Finder:
-    if key not in _FINDERS:
-        _FINDERS.clear()
-        _FINDERS[key] = Finder(items, rate)
-    return _FINDERS[key]
+    return kept(key, lambda: Finder(items, rate))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, pass_chars: int = PASS_CHARS) -> DataFrame:

@@ -11,19 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftkite.llm import ppm
-from siftkite.llm.common import held_out, row_runs, stage, text_buffer
+from siftkite.llm.common import held_out, kept, row_runs, stage, text_buffer
 
 #: Documents of each language that the model learns from, chosen by a hash of the id (about so many where there are more). The bound of the sample.
 SAMPLE_DOCUMENTS = 2000
-#: Cells of the context trees of all languages together; sets how many bytes have symbols of their own. 64 MB.
-CELLS = 1 << 24
+#: Cells of the context trees of all languages together; sets how many bytes have symbols of their own. 32 MB.
+CELLS = 1 << 23
 UNKNOWN = "und"
 #: Bytes handled at once: each takes a row of the table of all languages.
 _RUN = 2 << 20
 
 _ASCII_LETTERS = np.zeros(256, bool)
 _ASCII_LETTERS[65:91] = _ASCII_LETTERS[97:123] = True
-_TABLES: dict[str, np.ndarray] = {}
 
 
 def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,13 +87,14 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def table_of(model: dict) -> np.ndarray:
     """Code lengths [cell, language], built once in each worker process."""
-    if model["id"] not in _TABLES:
-        _TABLES.clear()
+
+    def make() -> np.ndarray:
         made = np.empty((model["size"] ** (ppm.ORDER + 1), len(model["languages"])), np.float32)
         for i, (index, count) in enumerate(model["counts"]):
             made[:, i] = ppm.code_lengths(index, count, model["size"])
-        _TABLES[model["id"]] = made
-    return _TABLES[model["id"]]
+        return made
+
+    return kept(model["id"], make)
 
 
 def lengths(model: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

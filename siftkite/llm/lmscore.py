@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftkite.llm import ppm
-from siftkite.llm.common import held_out, row_runs, stage, text_buffer, word_hashes
+from siftkite.llm.common import held_out, kept, row_runs, stage, text_buffer, word_hashes
 
 #: Symbols of the byte model, and the symbols of its longest contexts. Its tree has at most SYMBOLS ** ORDER contexts whatever the corpus, the bound of what is broadcast.
 SYMBOLS = 48
@@ -20,8 +20,6 @@ ORDER = ppm.ORDER + 1
 #: Text bytes of a block. A block's words are looked up together.
 BLOCK_BYTES = 12 << 20
 
-_TABLES: dict[str, ppm.DeepTable] = {}
-
 
 def _plain_runs(texts: pa.Array):
     for low, high in row_runs(texts):
@@ -64,10 +62,7 @@ def learn_bytes(train: DataFrame, size: int = SYMBOLS) -> dict:
 
 
 def _table(model: dict) -> ppm.DeepTable:
-    if model["id"] not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model["id"]] = ppm.DeepTable(model["index"], model["count"], model["size"])
-    return _TABLES[model["id"]]
+    return kept(model["id"], lambda: ppm.DeepTable(model["index"], model["count"], model["size"]))
 
 
 def bytes_score(model: dict, buf: np.ndarray, rows: np.ndarray) -> np.ndarray:

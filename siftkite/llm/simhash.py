@@ -147,7 +147,7 @@ def spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, *, nearest: bool = False, work: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, *, nearest: bool = False, work: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Links of the points [n, parts] within radius of each other in a group: spanning ones, each point with its class's first; with `nearest` each point with the
     nearest one before it, a direct neighbour. At most one link for each point either way.
 
@@ -349,9 +349,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, s, t = batch.columns
-            good = [jaccard(x, y, words) >= similarity for x, y in zip(s.to_pylist(), t.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for low in range(0, batch.num_rows, 256):
+                a, b, s, t = batch.slice(low, 256).columns
+                good = [jaccard(x, y, words) >= similarity for x, y in zip(s.to_pylist(), t.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     links = both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
     labels = star_labels(links)

@@ -6,10 +6,10 @@ import re
 
 import numpy as np
 
-from siftkite.llm.common import LOWER, gather_runs, word_hashes, word_spans
+from siftkite.llm.common import LOWER, gather_runs, kept, word_hashes, word_spans
 
-#: Words whose ids a worker keeps; then it starts anew. About 60 MB.
-KEPT_WORDS = 1_500_000
+#: Words whose ids a worker keeps; then it starts anew. About 35 MB.
+KEPT_WORDS = 800_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = "!-&(-/:-@\\[-`{-~"
@@ -60,7 +60,7 @@ class WordEncoder:
             known = self.parts.get(part)
             if known is None:
                 known = [x.id for x in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.letters))]
-                if len(self.parts) >= 200_000:
+                if len(self.parts) >= 100_000:
                     self.parts.clear()
                 self.parts[part] = known
             ids += known
@@ -113,11 +113,6 @@ class WordEncoder:
         return out, rows
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One for each worker process and tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(("tokens", path), lambda: WordEncoder(path))
