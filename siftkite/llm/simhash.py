@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftkite.llm.common import LOWER, SPACES, gather_runs, row_runs, sized, stage, text_buffer, word_spans
+from siftkite.llm.common import LOWER, SPACES, gather_runs, row_runs, sized, stage, text_buffer, word_hashes, word_spans
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -189,7 +190,7 @@ def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: i
     return points[child], points[labels[child]]
 
 
-def shard_links(keyed: DataFrame, keys: list[str], point: list[str], radius: int, tree_size: int, *, nearest: bool = False) -> DataFrame:
+def shard_links(keyed: DataFrame, keys: list[str], point: list[str], radius: int, tree_size: int) -> DataFrame:
     """Distinct links (a, b; with more parts a, a1, b, b1) of the points within each shard: a shard is the rows that agree in `keys` (longs or ints)."""
     # shards over the bound are few: at most (rows / tree_size)
     hot = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > tree_size).withColumn("pieces", F.ceil(F.col("n") / tree_size).cast("int")).drop("n")
@@ -208,7 +209,7 @@ def shard_links(keyed: DataFrame, keys: list[str], point: list[str], radius: int
         def give(rows: np.ndarray) -> pa.RecordBatch:
             key = rows[:, :wide]
             new = np.concatenate([[False], (key[1:] != key[:-1]).any(axis=1)])
-            a, b = links_of(np.cumsum(new), rows[:, wide], np.ascontiguousarray(rows[:, wide + 1 :]).view(np.uint64), radius, nearest=nearest)
+            a, b = links_of(np.cumsum(new), rows[:, wide], np.ascontiguousarray(rows[:, wide + 1 :]).view(np.uint64), radius)
             both = np.concatenate([a, b], axis=1).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(both.shape[1])], names=names)
 
@@ -282,79 +283,213 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Copies by similarity: the same trees over 128 bits, shards by sampled bits, and an exact check.
+# Copies by similarity: exact prefix filter over shingle hashes, and an exact check of every candidate that could still join two classes.
 
 #: Words of a shingle and least Jaccard similarity of the shingle sets of a copy.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: Chance of missing a pair of just that similarity in all samples of bits.
-MISS = 0.05
+#: Texts and shingles in a piece of a large candidate group. A task holds two pieces at most.
+PIECE_TEXTS, PIECE_SHINGLES = 4_000, 2_000_000
+#: Prefix hashes in a bucket.
+BUCKET_HASHES = 2_000_000
+#: Against rounding of a similarity times a size.
+_SLACK = 1e-9
 
 
-def differing_share(similarity: float) -> float:
-    """Expected share of differing SimHash bits of two equally large sets with that Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): each row's distinct shingle hashes, ascending. A text of fewer words is one shingle; no words: none."""
+    buf = LOWER[buf]
+    starts, ends = word_spans(buf, offsets)
+    own = word_hashes(buf, starts, ends)
+    first = np.searchsorted(starts, offsets)
+    have = np.diff(first)
+    count = np.where(have >= words, have - words + 1, np.minimum(have, 1))
+    row = np.repeat(np.arange(len(have)), count)
+    at = gather_runs(first[:-1], count)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(words):
+        inside = at + k < first[1:][row]
+        out[inside] = _mixed(out[inside] + own[at[inside] + k] + np.uint64(k + 1))
+    order = np.argsort(out)
+    order = order[np.argsort(row[order], kind="stable")]
+    out, row = out[order], row[order]
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+    return out[fresh], np.concatenate([[0], np.cumsum(np.bincount(row[fresh], minlength=len(have)))]).astype(np.int64)
+
+
+def prefix_lengths(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of a set's smallest hashes it takes: two sets that are alike enough share one of them, whatever the order."""
+    return np.minimum(sizes, sizes - np.ceil(similarity * sizes - _SLACK).astype(np.int64) + 1)
+
+
+def copy_sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, fp and fp1 (128 bits of the whole shingle set), n (its size) and prefix (its smallest hashes, 8 bytes each) of every row of doc_id and text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.columns
+            for low, high in row_runs(texts):
+                hashes, at = shingle_sets(*text_buffer(texts.slice(low, high - low)), words)
+                n = np.diff(at)
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]) for h in (hashes, _mixed(hashes))]
+                fp, fp1 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
+                take = prefix_lengths(n, similarity)
+                ends = np.concatenate([[0], np.cumsum(take) * 8]).astype(np.int64)
+                prefix = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(hashes[gather_runs(at[:-1], take)].tobytes())])
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(fp), pa.array(fp1), pa.array(n), prefix.cast(pa.binary())], names=["doc_id", "fp", "fp1", "n", "prefix"])
 
-def bit_samples(points: int, similarity: float, miss: float = MISS) -> np.ndarray:
-    """[table, bit] positions out of 128: as many bits as shards of a few points take, as many tables as the chance of a miss asks for."""
-    bits = max(10, math.ceil(math.log2(max(points, 1))) - 2)
-    tables = math.ceil(math.log(1 / miss) / (1 - differing_share(similarity)) ** bits)
-    rng = np.random.Generator(np.random.PCG64(11))
-    return np.stack([rng.choice(128, bits, replace=False) for _ in range(tables)])
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp1 long, n long, prefix binary")
 
 
-def jaccard(a: str, b: str, words: int) -> float:
-    """Jaccard similarity of the shingle sets; a text of fewer words is one shingle, two without words are alike."""
+def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) whose components hold every pair that can be alike: each set with the first one that shares a prefix hash and is near in size."""
+    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(count, math.ceil(total / 8 / BUCKET_HASHES))
 
-    def shingles(text: str) -> set:
-        own = text.translate(_LOWER_TEXT).split()
-        return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, prefix = (batch.column(k) for k in range(3))
+            lengths = np.asarray(pa.compute.binary_length(prefix)).astype(np.int64) // 8
+            hashes = np.frombuffer(b"".join(prefix.to_pylist()), "<u8")
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            row = np.repeat(np.arange(len(lengths)), lengths)[order]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            parts = [hashes[order], np.asarray(ids).astype("<i8")[row], np.asarray(n).astype("<i8")[row]]
+            packed = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *packed], names=["bucket", "hash", "id", "n"])
+
+    def give(held: list) -> pa.RecordBatch:
+        h, ids, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), ("<u8", "<i8", "<i8"), strict=True))
+        order = np.lexsort((n, h))
+        h, ids, n = h[order], ids[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (n[:-1] < similarity * n[1:] - _SLACK)
+        heads = np.flatnonzero(new)
+        low = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(h))))
+        apart = ids != low
+        both = np.unique(np.stack([ids[apart], low[apart]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            for b, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != of and held:
+                    yield give(held)
+                    held = []
+                of = b
+                held.append(parts)
+        if held:
+            yield give(held)
 
+    dealt = sets.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket long, hash binary, id binary, n binary")
+    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, tree_size: int = TREE_SIZE) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id of its group) of every row with an id: groups of texts whose shingle sets are at least `similarity` alike, directly or over others.
 
-    Shards are samples of a 128-bit fingerprint's bits, so many that a pair of just that similarity is in none of them with chance MISS. In each shard every point's
-    nearest earlier one within the radius is found through BK-trees; those pairs, at most one for each point and shard, are checked exactly on the texts.
-    Equal fingerprints are one point. Rows without an id are left out; null and wordless texts are alike.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    prints = stage(fingerprints(rows, words=words, parts=2), "prints")
-    points = stage(prints.groupBy("fp", "fp1").agg(F.min("doc_id").alias("low")), "points")
-    samples = bit_samples(points.count(), similarity)
-    share = differing_share(similarity)
-    radius = math.ceil(128 * (share + 1.7 * math.sqrt(share * (1 - share) / 128)))
+def alike_links(hashes: np.ndarray, at: np.ndarray, groups: np.ndarray, crossed: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) that span the classes of rows at least `similarity` alike within each group; where `crossed`, of rows of two sides only.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                fp = np.stack([np.asarray(c) for c in part.columns[:2]], axis=1)
-                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
-                for table, positions in enumerate(samples):
-                    value = bits[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), table, np.int32)), pa.array(value), *part.columns[:2]], names=["block", "value", "fp", "fp1"])
-
-    keyed = points.select("fp", "fp1").mapInArrow(keys, "block int, value long, fp long, fp1 long")
-    links = shard_links(keyed, ["block", "value"], ["fp", "fp1"], radius, tree_size, nearest=True)
-    ids = lambda a, b, name: points.select(F.col("fp").alias(a), F.col("fp1").alias(b), F.col("low").alias(name))
-    pairs = links.join(ids("a", "a1", "x"), ["a", "a1"]).join(ids("b", "b1", "y"), ["b", "b1"])
-    pairs = stage(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
-    asked = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
-    texts = rows.join(sized(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    hashes[at[i]:at[i + 1]]: row i's set, ascending. A row is compared with the earlier ones that share a prefix hash, those that share most first, until each
+    of them is in its class or has failed: a failed neighbour costs no other one, and members of one class are not compared again.
+    """
+    n = np.diff(at)
+    token = np.unique(hashes, return_inverse=True)[1]
+    take = prefix_lengths(n, similarity)
+    shown, row = token[gather_runs(at[:-1], take)], np.repeat(np.arange(len(n)), take)
+    order = np.argsort(shown, kind="stable")
+    by = row[order]  # rows of each token, ascending
+    head = np.searchsorted(shown[order], shown)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.concatenate([[0], np.cumsum(take)])
+    labels, mark, out = np.arange(len(n)), np.zeros(len(token) + 1, bool), []
+    for x in range(len(n)):
+        low = head[first[x] : first[x + 1]]
+        other, shared = np.unique(by[gather_runs(low, place[first[x] : first[x + 1]] - low)], return_counts=True)
+        fit = (groups[other] == groups[x]) & (np.minimum(n[other], n[x]) >= similarity * np.maximum(n[other], n[x]) - _SLACK) & ((side[other] != side[x]) | ~crossed[x])
+        other = other[fit][np.argsort(-shared[fit], kind="stable")]
+        other = other[labels[other] != labels[x]]
+        if not len(other):
+            continue
+        mark[token[at[x] : at[x + 1]]] = True
+        step = 1
+        while len(other):
+            ask, other = other[:step], other[step:]
+            step = min(4 * step, max(1, PIECE_SHINGLES // int(n[x])))
+            hit = mark[token[gather_runs(at[ask], n[ask])]]
+            both = np.add.reduceat(hit, np.cumsum(n[ask]) - n[ask], dtype=np.int64)
+            for y in ask[both / (n[ask] + n[x] - both) >= similarity]:
+                if labels[y] != labels[x]:
+                    out.append((x, int(y)))
+                    labels[labels == labels[x]] = labels[y]
+            other = other[labels[other] != labels[x]]
+        mark[token[at[x] : at[x + 1]]] = False
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def copy_links(rows: DataFrame, members: DataFrame, words: int, similarity: float, tree_size: int) -> DataFrame:
+    """Links (a, b) that span the classes of copies among the members (doc_id, root, n), each root a candidate group; groups over the bounds go in pieces, each with itself and each other."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all"))
+    hot = sizes.select("root", F.greatest(F.ceil(F.col("texts") / tree_size), F.ceil(F.col("all") / PIECE_SHINGLES)).cast("int").alias("pieces")).filter("pieces > 1")
+    units = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(F.col("piece"), o).alias("low"), F.greatest(F.col("piece"), o).alias("high"), (F.col("piece") > o).cast("int").alias("side")))
+    placed = members.join(hot, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
+    placed = stage(placed.select("doc_id", "root", units.alias("units")), "units")
+    texts = rows.join(sized(placed), "doc_id").select("doc_id", "text", "root", F.explode("units").alias("u")).select("root", "u.*", "doc_id", "text")
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(count, "root", "low", "high").sortWithinPartitions("root", "low", "high", "side", "doc_id")
+
+    def give(table: pa.Table) -> pa.RecordBatch:
+        root, low, high, side, ids = (np.asarray(table.column(k)) for k in range(5))
+        found, ends = [], [np.zeros(1, np.int64)]
+        for chunk in table.column(5).chunks:
+            for i, j in row_runs(chunk):
+                h, at = shingle_sets(*text_buffer(chunk.slice(i, j - i)), words)
+                found.append(h)
+                ends.append(at[1:] + ends[-1][-1])
+        new = np.zeros(len(root), np.int64)
+        new[1:] = (root[1:] != root[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        a, b = alike_links(np.concatenate(found), np.concatenate(ends), np.cumsum(new), low != high, side, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                a, b, s, t = batch.slice(low, 256).columns
-                good = [jaccard(x, y, words) >= similarity for x, y in zip(s.to_pylist(), t.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for i, j in row_runs(batch.column(5)):
+                held.append(batch.slice(i, j - i))
+                size += j - i
+                key = [np.concatenate([np.asarray(x.column(k)) for x in held]) for k in range(3)] if size >= 2000 else None
+                if key is not None:  # all whole groups so far; the last one may go on
+                    cut = int(np.flatnonzero(np.any([k != k[-1] for k in key], axis=0)).max(initial=-1)) + 1
+                    if cut:
+                        table = pa.Table.from_batches(held)
+                        yield give(table.slice(0, cut))
+                        held = table.slice(cut).to_batches()
+                        size -= cut
+        if size:
+            yield give(pa.Table.from_batches(held))
+
+    return texts.mapInArrow(check, "a long, b long")
+
 
-    links = both.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
-    labels = star_labels(links)
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, tree_size: int = PIECE_TEXTS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of every row with an id: groups of texts whose shingle sets are at least `similarity` alike, directly or over others.
+
+    No pair is missed, whatever the corpus: two sets that are alike enough share one of the smallest hashes of each (`prefix_lengths`), so both are in one candidate group,
+    and there every pair that shares such a hash is compared on the whole sets of 64-bit shingle hashes until both are in one class.
+    Equal sets are one point. Rows without an id are left out; null and wordless texts are alike.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    prints = stage(copy_sets(rows, words, similarity), "prints")
+    points = stage(prints.groupBy("fp", "fp1").agg(F.min("doc_id").alias("low")), "points")
+    again = stage(prints.select("doc_id", "fp", "fp1").join(points, ["fp", "fp1"]).filter("doc_id <> low").select("doc_id", "fp", "fp1"), "again")
+    sets = prints.join(sized(again), ["doc_id", "fp", "fp1"], "left_anti")
+    candidates = star_labels(prefix_links(sets, similarity))
+    members = candidates.union(candidates.select("root", "root").distinct()).select(F.col("node").alias("doc_id"), "root")
+    members = members.join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    labels = star_labels(copy_links(rows, members, words, similarity, tree_size))
     known = points.join(labels.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp1", F.coalesce("root", "low").alias("component_id"))
     return prints.join(known, ["fp", "fp1"]).select("doc_id", "component_id")

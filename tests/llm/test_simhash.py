@@ -134,3 +134,37 @@ def test_near_copies(spark):
     for size in (simhash.TREE_SIZE, 3):
         assert {r.doc_id: r.component_id for r in simhash.near_copies(df, tree_size=size).collect()} == want
     assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def brute_copies(texts, words=5, similarity=0.8):
+    """Smallest id of each id's group, by comparing all pairs."""
+    sets = {i: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 and len(x & y) / len(x | y) >= similarity:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {i: find(i) for i in sets}
+
+
+def test_copies_of_one_base_meet_it(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+    texts = {500: " ".join(base)}
+    for c in range(400):  # each 0.8 alike or more to the base, most of them less than that to each other
+        own = list(base)
+        for i in rng.sample(range(len(own)), 4):
+            own[i] = f"z{rng.randrange(10**6)}"
+        texts[c] = " ".join(own)
+    want = brute_copies(texts)
+    assert sum(r == 0 for r in want.values()) > 390
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for size in (simhash.PIECE_TEXTS, 50):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(df, tree_size=size).collect()} == want
