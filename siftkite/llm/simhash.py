@@ -10,6 +10,7 @@ Tasks build and search the trees of thousands of small shards at once, as one fo
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftkite.llm.common import LOWER, SPACES, gather_runs, row_runs, sized, stage, text_buffer, word_hashes, word_spans
+from siftkite.llm.common import BROADCAST_IDS, LOWER, SPACES, gather_runs, row_runs, sized, stage, text_buffer, word_hashes, word_spans
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -291,12 +292,17 @@ COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 PIECE_TEXTS, PIECE_SHINGLES = 4_000, 2_000_000
 #: Prefix hashes in a bucket.
 BUCKET_HASHES = 2_000_000
+#: Texts, and at most what share of them, in which common shingles are looked for, and the bits of the map that marks them. They decide what the search costs, not what it finds.
+COMMON_TEXTS, COMMON_SHARE, COMMON_BITS = 50_000, 0.2, 1 << 25
 #: Against rounding of a similarity times a size.
 _SLACK = 1e-9
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): each row's distinct shingle hashes, ascending. A text of fewer words is one shingle; no words: none."""
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): each row's distinct shingle hashes, ascending. A text of fewer words is one shingle; no words: none.
+
+    A hash has 63 bits; the top bit is set where the map `common` says so, so that common shingles come last in every row.
+    """
     buf = LOWER[buf]
     starts, ends = word_spans(buf, offsets)
     own = word_hashes(buf, starts, ends)
@@ -309,6 +315,10 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     for k in range(words):
         inside = at + k < first[1:][row]
         out[inside] = _mixed(out[inside] + own[at[inside] + k] + np.uint64(k + 1))
+    out >>= np.uint64(1)
+    if common is not None:
+        at = (out % np.uint64(len(common) * 8)).astype(np.int64)
+        out |= (common[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.uint64) << np.uint64(63)
     order = np.argsort(out)
     order = order[np.argsort(row[order], kind="stable")]
     out, row = out[order], row[order]
@@ -322,14 +332,56 @@ def prefix_lengths(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(sizes, sizes - np.ceil(similarity * sizes - _SLACK).astype(np.int64) + 1)
 
 
-def copy_sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+def common_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """A bit map, packed, over hash % COMMON_BITS: set where a shingle is in two texts or more of a sample by doc_id."""
+    count = rows.count()
+    share = min(COMMON_SHARE, COMMON_TEXTS / max(count, 1))
+    buckets = 64
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in row_runs(batch.column(0)):
+                hashes, _ = shingle_sets(*text_buffer(batch.column(0).slice(low, high - low)), words)
+                bucket = (hashes % np.uint64(COMMON_BITS)).astype(np.int64) // (COMMON_BITS // buckets)
+                order = np.argsort(bucket.astype(np.uint8), kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                hashes = hashes[order]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array([hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)], pa.binary())], names=["bucket", "hash"])
+
+    def give(bucket: int, held: list) -> pa.RecordBatch:
+        hashes, n = np.unique(np.frombuffer(b"".join(held), "<u8"), return_counts=True)
+        bits = np.zeros(COMMON_BITS // buckets, bool)
+        bits[(hashes[n > 1] % np.uint64(COMMON_BITS)).astype(np.int64) - bucket * len(bits)] = True
+        return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], -1
+        for batch in batches:
+            for b, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != of and held:
+                    yield give(of, held)
+                    held = []
+                of = b
+                held.append(x)
+        if held:
+            yield give(of, held)
+
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    dealt = some.mapInArrow(deal, "bucket long, hash binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    out = np.zeros((buckets, COMMON_BITS // buckets // 8), np.uint8)
+    for r in dealt.mapInArrow(run, "bucket long, bits binary").collect():
+        out[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def copy_sets(rows: DataFrame, words: int, similarity: float, common) -> DataFrame:
     """doc_id, fp and fp1 (128 bits of the whole shingle set), n (its size) and prefix (its smallest hashes, 8 bytes each) of every row of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.columns
             for low, high in row_runs(texts):
-                hashes, at = shingle_sets(*text_buffer(texts.slice(low, high - low)), words)
+                hashes, at = shingle_sets(*text_buffer(texts.slice(low, high - low)), words, common.value)
                 n = np.diff(at)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]) for h in (hashes, _mixed(hashes))]
                 fp, fp1 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
@@ -431,14 +483,14 @@ def alike_links(hashes: np.ndarray, at: np.ndarray, groups: np.ndarray, crossed:
     return pairs[:, 0], pairs[:, 1]
 
 
-def copy_links(rows: DataFrame, members: DataFrame, words: int, similarity: float, tree_size: int) -> DataFrame:
+def copy_links(rows: DataFrame, members: DataFrame, words: int, similarity: float, tree_size: int, common) -> DataFrame:
     """Links (a, b) that span the classes of copies among the members (doc_id, root, n), each root a candidate group; groups over the bounds go in pieces, each with itself and each other."""
     sizes = members.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all"))
     hot = sizes.select("root", F.greatest(F.ceil(F.col("texts") / tree_size), F.ceil(F.col("all") / PIECE_SHINGLES)).cast("int").alias("pieces")).filter("pieces > 1")
     units = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(F.col("piece"), o).alias("low"), F.greatest(F.col("piece"), o).alias("high"), (F.col("piece") > o).cast("int").alias("side")))
     placed = members.join(hot, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
-    placed = stage(placed.select("doc_id", "root", units.alias("units")), "units")
-    texts = rows.join(sized(placed), "doc_id").select("doc_id", "text", "root", F.explode("units").alias("u")).select("root", "u.*", "doc_id", "text")
+    placed = stage(placed.select("doc_id", "root", F.explode(units).alias("u")).select("doc_id", "root", "u.*"), "units")
+    texts = rows.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS // 5 else placed, "doc_id").select("root", "low", "high", "side", "doc_id", "text")
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartition(count, "root", "low", "high").sortWithinPartitions("root", "low", "high", "side", "doc_id")
 
@@ -447,7 +499,7 @@ def copy_links(rows: DataFrame, members: DataFrame, words: int, similarity: floa
         found, ends = [], [np.zeros(1, np.int64)]
         for chunk in table.column(5).chunks:
             for i, j in row_runs(chunk):
-                h, at = shingle_sets(*text_buffer(chunk.slice(i, j - i)), words)
+                h, at = shingle_sets(*text_buffer(chunk.slice(i, j - i)), words, common.value)
                 found.append(h)
                 ends.append(at[1:] + ends[-1][-1])
         new = np.zeros(len(root), np.int64)
@@ -479,17 +531,19 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """doc_id and component_id (the smallest doc_id of its group) of every row with an id: groups of texts whose shingle sets are at least `similarity` alike, directly or over others.
 
     No pair is missed, whatever the corpus: two sets that are alike enough share one of the smallest hashes of each (`prefix_lengths`), so both are in one candidate group,
-    and there every pair that shares such a hash is compared on the whole sets of 64-bit shingle hashes until both are in one class.
+    and there every pair that shares such a hash is compared on the whole sets of 63-bit shingle hashes until both are in one class.
+    The order in which hashes count as smallest puts common shingles last, so that candidate groups stay small; a group over the bounds is searched in pieces.
     Equal sets are one point. Rows without an id are left out; null and wordless texts are alike.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    prints = stage(copy_sets(rows, words, similarity), "prints")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    prints = stage(copy_sets(rows, words, similarity, common), "prints")
     points = stage(prints.groupBy("fp", "fp1").agg(F.min("doc_id").alias("low")), "points")
     again = stage(prints.select("doc_id", "fp", "fp1").join(points, ["fp", "fp1"]).filter("doc_id <> low").select("doc_id", "fp", "fp1"), "again")
     sets = prints.join(sized(again), ["doc_id", "fp", "fp1"], "left_anti")
     candidates = star_labels(prefix_links(sets, similarity))
     members = candidates.union(candidates.select("root", "root").distinct()).select(F.col("node").alias("doc_id"), "root")
     members = members.join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
-    labels = star_labels(copy_links(rows, members, words, similarity, tree_size))
+    labels = star_labels(copy_links(rows, members, words, similarity, tree_size, common))
     known = points.join(labels.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp1", F.coalesce("root", "low").alias("component_id"))
     return prints.join(known, ["fp", "fp1"]).select("doc_id", "component_id")

@@ -168,3 +168,13 @@ def test_copies_of_one_base_meet_it(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     for size in (simhash.PIECE_TEXTS, 50):
         assert {r.doc_id: r.component_id for r in simhash.near_copies(df, tree_size=size).collect()} == want
+
+
+def test_no_pair_just_alike_is_missed(spark):
+    rng = random.Random(8)
+    texts = {}
+    for g in range(150):  # 89 of 111 shingles in common: 0.802
+        words = [f"w{rng.randrange(10**6)}" for _ in range(115)]
+        texts |= {2 * g: " ".join(words[:104]), 2 * g + 1: " ".join(words[11:])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {i: i - i % 2 for i in texts}
