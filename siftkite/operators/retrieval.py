@@ -233,20 +233,26 @@ def sequence_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("ratio", ratio(a, b))
 
 
-def trace_origin(assignments: DataFrame, starts: DataFrame, *, reach: int = 50, depth: int = 10) -> DataFrame:
+def trace_origin(assignments: DataFrame, starts: DataFrame, *, reach: int = 50, depth: int | None = None) -> DataFrame:
     """(file, line, var, hop, at, origin): from each use of a variable back to its nearest assignment at most `reach` lines above, and on through plain copies.
 
-    assignments: file, line, var, source (the variable it copies, or null). A bounded number of as-of joins, each reduced to one row for each trace.
+    assignments: file, line, var, source (the variable it copies, or null). As-of joins, each reduced to one row for each trace, until no trace is
+    open, as lines only go down; `depth` stops them earlier. Without it each hop is checkpointed.
     """
     a = assignments.select("file", F.col("line").alias("a_line"), "var", "source").withColumnRenamed("var", "a_var")
     now = starts.select("file", "line", "var", F.col("line").alias("at"), F.col("var").alias("of"))
-    out = None
-    for hop in range(1, depth + 1):
+    out, hop = None, 0
+    while depth is None or hop < depth:
+        hop += 1
         found = now.alias("n").join(a.alias("a"), (F.col("n.file") == F.col("a.file")) & (F.col("n.of") == F.col("a.a_var"))).filter((F.col("a_line") < F.col("at")) & (F.col("a_line") >= F.col("at") - reach))
         step = found.groupBy("n.file", "n.line", "n.var").agg(F.max_by(F.struct("a_line", "source"), "a_line").alias("s"))
         step = step.select("file", "line", "var", F.lit(hop).alias("hop"), F.col("s.a_line").alias("at"), F.col("s.source").alias("origin"))
+        if depth is None:
+            step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.localCheckpoint()
         out = step if out is None else out.unionByName(step)
         now = step.filter("origin is not null").select("file", "line", "var", "at", F.col("origin").alias("of"))
+        if depth is None and now.isEmpty():
+            break
     return out
 
 

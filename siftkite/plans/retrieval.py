@@ -134,6 +134,18 @@ def _(t):
     return R.trace_origin(a, l.select(*at).distinct(), depth=2)
 
 
+@query("trace_origin_whole", """select * from (with recursive a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem group by 1, 2, 3),
+    n as (select u.file, u.line, u.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from (select distinct file, line, v.var from a, (select distinct var from a) v) u join a on a.file = u.file and a.var = u.var and a.line < u.line and a.line >= u.line - 50 group by 1, 2, 3),
+    h as (select a.file, a.line, a.var, n.at, n.origin, 1 as hop from a join n on n.file = a.file and n.line = a.line and n.var = a.var
+        union all select h.file, h.line, h.var, n.at, n.origin, h.hop + 1 from h join n on n.file = h.file and n.line = h.at and n.var = h.origin)
+    select * from h) x""")
+def _(t):
+    l, v = t.lineitem, lambda c: F.concat(F.lit("v"), c.cast("string"))
+    at = [F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 500).alias("line"), v(F.col("l_partkey") % 4).alias("var")]
+    a = l.groupBy(*at).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, v(F.col("l_orderkey") % 4))).alias("source"))
+    return R.trace_origin(a, l.select(*at).distinct())
+
+
 @query("merge_cluster", "select source, count(*) as n, avg(n_chars) as mean_chars, list_sort(list(distinct lang)) as langs, arg_max(doc_id, doc_id) as last from documents group by 1")
 def _(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.array_sort(F.collect_set("lang")).alias("langs"), F.max_by("doc_id", "doc_id").alias("last"))
