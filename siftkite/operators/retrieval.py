@@ -153,14 +153,24 @@ def recall_and_mrr(ranked: DataFrame, query: str, nth: str, relevant: Column, k:
     return first.agg(F.avg(F.when(F.col("_first") <= k, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.coalesce(1 / F.col("_first"), F.lit(0.0))).alias("mrr"))
 
 
+def word_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w): the distinct words of each row that has any, in order."""
+    return docs.select(key, F.array_sort(F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))).alias("w")).filter(F.size("w") > 0)
+
+
+def similar_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id): each row with words and its class, the smallest key with the same word set. `similar_pairs` has the pairs of classes; two rows of a class are alike by 1.0."""
+    words = word_sets(docs, key, text)
+    return words.join(words.groupBy("w").agg(F.min(key).alias("id")), "w").select(key, "id")
+
+
 def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float, *, most_common: int = 200) -> DataFrame:
     """(a, b, similarity) of all pairs whose word sets' Jaccard similarity passes the threshold.
 
     Prefix filter: words are ordered from rare to common, and two sets that pass share a word among the first |s| - ceil(t |s|) + 1 of each, so only
-    those words, the rare ones, are joined on. Equal word sets are joined once, as one.
+    those words, the rare ones, are joined on. Equal word sets are joined once, as one, under their smallest key; `similar_classes` has the rows of each.
     """
-    words = docs.select(key, F.array_sort(F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))).alias("w")).filter(F.size("w") > 0)
-    sets = words.groupBy("w").agg(F.min(key).alias("id"))
+    sets = word_sets(docs, key, text).groupBy("w").agg(F.min(key).alias("id"))
     count = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     ranked = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word")).join(count, "word")
     order = Window.partitionBy("id").orderBy("df", "word")

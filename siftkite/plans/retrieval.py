@@ -105,6 +105,12 @@ def _(t):
     return R.similar_pairs(rows, "page", "text", 0.5)
 
 
+@query("similar_classes", "with s as (select conv_id * 1000 + turn as page, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) as w from conversations) select page, min(page) over (partition by w) as id from s where len(w) > 0")
+def _(t):
+    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), "text")
+    return R.similar_classes(rows, "page", "text")
+
+
 @query("greedy_clusters")
 def _(t):
     return R.greedy_clusters(t.conversations, "conv_id", "turn", "text", 0.3)

@@ -277,3 +277,14 @@ def test_traces_go_on_to_the_end(spark):
     start = spark.createDataFrame([("f", 16, "v15")], "file string, line int, var string")
     assert sorted((r.hop, r.at, r.origin) for r in R.trace_origin(a, start).collect()) == [(h, 16 - h, f"v{15 - h}" if h < 15 else None) for h in range(1, 16)]
     assert R.trace_origin(a, start, depth=2).count() == 2
+
+
+def test_similar_classes_keep_every_row(spark):
+    texts = {1: "a b c d", 2: "d C b a", 3: "a a b c d", 4: "a b c d e", 5: "e d c b a", 6: "x y", 7: "", 8: None}
+    df = spark.createDataFrame(list(texts.items()), "i long, t string")
+    classes = {r.i: r.id for r in R.similar_classes(df, "i", "t").collect()}
+    assert classes == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    linked = {(r.a, r.b) for r in R.similar_pairs(df, "i", "t", 0.6).collect()}
+    got = {(i, j) for i in classes for j in classes if i < j and (classes[i] == classes[j] or tuple(sorted((classes[i], classes[j]))) in linked)}
+    sets = {i: set(t.lower().split()) for i, t in texts.items() if t}
+    assert got == {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.6}
