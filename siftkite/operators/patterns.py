@@ -32,8 +32,8 @@ def lines_of(files: DataFrame, path: str = "path", content: str = "content") ->
     return files.select(F.col(path).alias("path"), F.posexplode(F.split(content, "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
 
 
-def scan_lines(files: DataFrame, catalog: list[Pattern], *, path: str = "path", content: str = "content", skip: str | None = r"^\s*(#|//|$)") -> DataFrame:
-    """One row for each line and pattern that match: path, line, col (from 0), rule_id, severity, confidence, match."""
+def scan_lines(files: DataFrame, catalog: list[Pattern], *, path: str = "path", content: str = "content", skip: str | None = r"^\s*(#|//|$)", first: bool = False) -> DataFrame:
+    """One row for each match of each pattern in each line, or with `first` for a line's first match of each: path, line, col (from 0), rule_id, severity, confidence, weight, match."""
     gates = [F.struct(F.lit(p.rule_id).alias("rule_id"), F.col(content).rlike(p.safe).alias("off")) for p in catalog if p.safe]
     off = F.transform(F.filter(F.array(*gates), lambda g: g["off"]), lambda g: g["rule_id"]) if gates else F.array().cast("array<string>")
     rows = files.select(F.col(path).alias("path"), off.alias("off"), F.posexplode(F.split(content, "\n")).alias("i", "text"))
@@ -41,15 +41,19 @@ def scan_lines(files: DataFrame, catalog: list[Pattern], *, path: str = "path",
         rows = rows.filter(~F.col("text").rlike(skip))
 
     def hit(p: Pattern) -> Column:
-        found = F.regexp_extract(F.col("text"), f"({p.regex})", 1)
+        found = F.regexp_extract_all("text", F.lit(p.regex), 0)
+        between = F.split("text", p.regex, -1)  # a match's column: all that lies before it
+        before = lambda i: F.aggregate(F.zip_with(F.slice(between, 1, i + 1), F.slice(found, 1, i), lambda x, y: F.length(x) + F.coalesce(F.length(y), F.lit(0))), F.lit(0), lambda a, b: a + b)
+        places = F.transform(F.slice(found, 1, 1) if first else found, lambda m, i: F.struct(before(i).alias("col"), m.alias("match")))
         test = F.col("text").rlike(p.regex) & ~F.array_contains("off", p.rule_id)
         if p.line_safe:
             test = test & ~F.col("text").rlike(p.line_safe)
-        value = F.struct(F.lit(p.rule_id).alias("rule_id"), F.lit(p.severity).alias("severity"), F.lit(p.confidence).alias("confidence"), F.lit(p.weight).alias("weight"), found.alias("match"))
+        value = F.struct(F.lit(p.rule_id).alias("rule_id"), F.lit(p.severity).alias("severity"), F.lit(p.confidence).alias("confidence"), F.lit(p.weight).alias("weight"), places.alias("places"))
         return F.when(test, value)
 
     hits = rows.select("path", (F.col("i") + 1).alias("line"), "text", F.explode(F.array_compact(F.array(*map(hit, catalog)))).alias("h"))
-    return hits.select("path", "line", (F.expr("locate(h.match, text)") - 1).alias("col"), "h.rule_id", "h.severity", "h.confidence", "h.weight", "h.match")
+    hits = hits.select("path", "line", "h", F.explode("h.places").alias("at"))
+    return hits.select("path", "line", "at.col", "h.rule_id", "h.severity", "h.confidence", "h.weight", "at.match")
 
 
 def family_lines(files: DataFrame, families: dict[str, list[str]], *, path: str = "path", content: str = "content") -> DataFrame:

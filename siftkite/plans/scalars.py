@@ -115,7 +115,7 @@ def _(t):
     union all select path, line, strpos(text, m) - 1, 'mail', m from (select path, generate_subscripts(string_split(content, chr(10)), 1) as line, unnest(string_split(content, chr(10))) as text, regexp_extract(unnest(string_split(content, chr(10))), '[a-z0-9.]+@[a-z0-9.]+', 0) as m from file where not contains(content, 'token')) where m <> '' and not regexp_matches(text, '^\s*(#|//|$)')""")
 def _(t):
     catalog = [P.Pattern("number", "[0-9]{3,}"), P.Pattern("mail", "[a-z0-9.]+@[a-z0-9.]+", safe="token")]
-    return P.scan_lines(t.file, catalog).select("path", "line", "col", "rule_id", "match")
+    return P.scan_lines(t.file, catalog, first=True).select("path", "line", "col", "rule_id", "match")
 
 
 @query("code_rules")

@@ -288,3 +288,17 @@ def test_similar_classes_keep_every_row(spark):
     got = {(i, j) for i in classes for j in classes if i < j and (classes[i] == classes[j] or tuple(sorted((classes[i], classes[j]))) in linked)}
     sets = {i: set(t.lower().split()) for i, t in texts.items() if t}
     assert got == {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.6}
+
+
+def test_scan_finds_every_match_of_a_line(spark):
+    import re
+
+    from siftkite.operators import patterns as P
+
+    text = "12 345 x345 é 6789 345\n# 111\nnone\n222 \\ 222"
+    catalog = [P.Pattern("number", "[0-9]{3,}"), P.Pattern("word", r"\b345\b")]
+    df = spark.createDataFrame([("p", text)], "path string, content string")
+    got = [(r.line, r.col, r.rule_id, r.match) for r in P.scan_lines(df, catalog).collect()]
+    want = [(i, m.start(), p.rule_id, m.group()) for i, line in enumerate(text.split("\n"), 1) if not line.startswith("#") for p in catalog for m in re.finditer(p.regex, line)]
+    assert sorted(got) == sorted(want)
+    assert P.scan_lines(df, catalog, first=True).count() == 3
