@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: Text bytes that numpy code handles at once; an Arrow batch is cut into runs of rows of about this size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +26,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a folder made once."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a folder made once. A cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siftkite-"))
             made = spark.sparkContext.getCheckpointDir()
         base = made
@@ -55,20 +60,64 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. Lost executors don't lose it."""
+def stage(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back. Lost executors don't lose it.
+
+    `replaces`: a staged table that nothing needs once this one is written; its files are deleted then.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop_staged(replaces)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(table: DataFrame | None) -> None:
+    """Delete the files of a staged table that nothing needs any more."""
+    if table is not None and (path := getattr(table, "_staged_at", None)):
+        delete_path(table.sparkSession, path)
+
+
+#: Bits of the map that `marks_of` makes: 8 MB, the bound of what its joins broadcast.
+MARK_BITS = 1 << 26
+#: Bits that bitmap_construct_agg puts into one binary.
+_MAP_BITS = 1 << 15
+
 
+def _mark(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(MARK_BITS))
 
-#: Ids that a join may broadcast: about 32 MB in each executor.
-BROADCAST_IDS = 1_000_000
 
+def marks_of(ids: DataFrame) -> DataFrame:
+    """A bit map over the hashes of the longs in column doc_id, of MARK_BITS at most whatever their number, in rows of 4 KB."""
+    at = ids.select(_mark("doc_id").alias("h")).select(F.shiftright("h", 15).alias("_slot"), F.col("h").bitwiseAND(F.lit(_MAP_BITS - 1)).alias("bit"))
+    return at.groupBy("_slot").agg(F.bitmap_construct_agg("bit").alias("_map"))
 
-def sized(ids: DataFrame) -> DataFrame:
-    """Staged ids, to be broadcast where they are counted and few enough; a join with more of them shuffles."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+def split_by_marks(df: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id may be one of the marked ids, rows whose doc_id surely isn't).
+
+    So a join of wide rows with ids moves the wide rows of those ids and no others, at any number of ids by one plan: what is broadcast is the map. With n ids a share of
+    n / MARK_BITS of the other rows comes along. Null ids are in the second part.
+    """
+    slot, bits, hit = (fresh(df, name) for name in ("_slot", "_map", "_hit"))
+    h = _mark("doc_id")
+    bit = h.bitwiseAND(F.lit(_MAP_BITS - 1)).cast("int")
+    marks = marks.select(F.col("_slot").alias(slot), F.col("_map").alias(bits))
+    marked = df.withColumn(slot, F.shiftright(h, 15)).join(F.broadcast(marks), slot, "left")
+    byte = F.conv(F.hex(F.col(bits).substr(F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    of_bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), bit.bitwiseAND(F.lit(7)) + 1)
+    marked = marked.withColumn(hit, F.coalesce(F.col("doc_id").isNotNull() & (byte.bitwiseAND(of_bit) != 0), F.lit(False)))
+    return marked.filter(F.col(hit)).select(*df.columns), marked.filter(~F.col(hit)).select(*df.columns)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def id_crc(id_col: str) -> Column:
@@ -82,13 +131,44 @@ def held_out(id_col: str, mod: int) -> Column:
 
 
 _KEPT: dict = {}
+_LIBC: list = []
+
+
+def give_back() -> None:
+    """Return what Python, numpy and Arrow have freed to the system. Workers live on from task to task and from query to query, so what they hold on to adds up."""
+    if not _LIBC:
+        libc = ctypes.CDLL(None)
+        _LIBC.append(libc if hasattr(libc, "malloc_trim") else None)
+    pa.default_memory_pool().release_unused()
+    if _LIBC[0]:
+        _LIBC[0].malloc_trim(0)
+
+
+#: Rows of an Arrow batch where the session has Spark's default of 10,000, which are 30 MB of texts, held by the JVM and by Python in more than one copy.
+BATCH_ROWS, _BATCH_KEY, _BATCH_DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back before and after a task. Sets the session's batches to BATCH_ROWS rows unless they are set otherwise."""
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 def kept(key, make):
     """What a worker process keeps from task to task: one model, that of the stage at hand; another one's memory is given back first."""
     if key not in _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -139,53 +219,23 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
 
 
-_STEP = 1 << 18
-_P = 0x9E3779B97F4A7C15 | 1
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _tables() -> dict[str, np.ndarray]:
-    if not _TABLES:
-        mask = (1 << 64) - 1
-        _TABLES["byte"] = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-        for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            steps = np.full(_STEP + 1, base & mask, np.uint64)
-            steps[0] = 1
-            _TABLES[name] = np.cumprod(steps)
-    return _TABLES
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(the distinct words, the number of each word in them). Words are compared byte by byte; they must cover all bytes but white space, as `word_spans` gives them."""
+    if not len(starts):
+        return [], np.zeros(0, np.int32)
+    flat = np.ascontiguousarray(buf[~_SPACE[buf]])
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)]).dictionary_encode()
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices)
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over random byte values, mixed with the length."""
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    t = _tables()
-    i = 0
-    while i < len(starts):
-        at = starts[i]
-        j = int(np.searchsorted(ends, at + _STEP, "right"))
-        if j <= i:  # one word longer than the tables: piece by piece
-            total, scale = 0, 1
-            for k in range(int(at), int(ends[i]), _STEP):
-                piece = t["byte"][buf[k : min(k + _STEP, int(ends[i]))]]
-                total = (total + scale * int((piece * t["up"][: len(piece)]).sum(dtype=np.uint64))) % (1 << 64)
-                scale = scale * pow(_P, _STEP, 1 << 64) % (1 << 64)
-            out[i] = total
-            i += 1
-            continue
-        seg = t["byte"][buf[at : ends[j - 1]]]
-        seg *= t["up"][: len(seg)]
-        sums = np.zeros(len(seg) + 1, np.uint64)
-        np.cumsum(seg, out=sums[1:])
-        s = starts[i:j] - at
-        out[i:j] = (sums[ends[i:j] - at] - sums[s]) * t["down"][s]
-        i = j
-    out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    return out
+    """XXH3-64 of each word: equal words have equal hashes, others but by chance."""
+    from xxhash import xxh3_64_intdigest
+
+    words, which = distinct_words(buf, starts, ends)
+    return np.array([xxh3_64_intdigest(w, 7) for w in words], np.uint64)[which]
 
 
 def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

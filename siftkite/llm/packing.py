@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftkite.llm.common import row_runs, stage, text_buffer
+from siftkite.llm.common import lean, row_runs, stage, text_buffer
 from siftkite.llm.tokens import encoder
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())]
@@ -60,7 +60,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + (", ids array<int>" if with_ids else "")
-    pieces = stage(rows.mapInArrow(cut, kinds), "pieces")
+    pieces = stage(rows.mapInArrow(lean(cut), kinds), "pieces")
     # a row for each task and bucket: twelve times the number of tasks
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftkite.llm.common import row_runs, scratch, stage, text_buffer
+from siftkite.llm.common import lean, row_runs, scratch, stage, text_buffer
 from siftkite.llm.tokens import encoder
 
 MAGIC = b"SKINDEX1"
@@ -125,7 +125,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
     count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("nth"))
     ordered = rows.repartitionByRange(count, "doc_id", "nth").sortWithinPartitions("doc_id", "nth").drop("nth")
-    return stage(ordered.mapInArrow(_writer(folder, tokenizer, end_id), _MANIFEST), "manifest")
+    return stage(ordered.mapInArrow(lean(_writer(folder, tokenizer, end_id)), _MANIFEST), "manifest")
 
 
 def _index(store, name: str) -> np.ndarray:
@@ -180,7 +180,7 @@ def read_records(manifest: DataFrame, slice_records: int = SLICE, with_ids: bool
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     made = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return slices.mapInArrow(read, made)
+    return slices.mapInArrow(lean(read), made)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:

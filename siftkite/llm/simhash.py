@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftkite.llm.common import BROADCAST_IDS, LOWER, SPACES, gather_runs, row_runs, sized, stage, text_buffer, word_hashes, word_spans
+from siftkite.llm.common import LOWER, SPACES, drop_staged, gather_runs, lean, marks_of, row_runs, split_by_marks, stage, text_buffer, word_hashes, word_spans
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 fp = simhash_rows(*text_buffer(texts.slice(low, high - low)), words, parts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(parts)]], names=["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ class Forest:
         rest = np.flatnonzero(rest)
         while len(rest):
             gap = _gap(points[rest], points[self.at[place[rest]]])
-            key, first, which = np.unique(place[rest] << 8 | gap, return_index=True, return_inverse=True)
+            key, first, which = np.unique(place[rest] << 9 | gap, return_index=True, return_inverse=True)
             nodes.append(rest[first])
             self.at[made : made + len(key)] = rest[first]
             keys.append(key)
@@ -130,8 +130,8 @@ class Forest:
             gap = _gap(queries[q], self.points[self.at[node]])
             near = gap <= radius
             found.append((q[near], self.at[node[near]]))
-            low = np.searchsorted(self.keys, node << 8 | np.maximum(gap - radius, 0))
-            count = np.searchsorted(self.keys, node << 8 | np.minimum(gap + radius, 255), "right") - low
+            low = np.searchsorted(self.keys, node << 9 | np.maximum(gap - radius, 0))
+            count = np.searchsorted(self.keys, node << 9 | np.minimum(gap + radius, 511), "right") - low
             q, node = np.repeat(q, count), self.to[gather_runs(low, count)]
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
@@ -149,46 +149,56 @@ def spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, *, nearest: bool = False, work: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the points [n, parts] within radius of each other in a group: spanning ones, each point with its class's first; with `nearest` each point with the
-    nearest one before it, a direct neighbour. At most one link for each point either way.
+def _led(labels: np.ndarray, groups: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray:
+    """labels after linking, in each large group, the points within radius of its first point to that: a group of copies is then one class, at the cost of one look at each."""
+    heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    sizes = np.diff(np.append(heads, len(groups)))
+    for low, n in zip(heads[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        near = np.flatnonzero(_gap(points[low : low + n], points[low]) <= radius)
+        labels[low + near] = low
+    return labels
+
+
+def link_rows(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, *, work: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) of links that span the classes of the points [n, parts] within radius of each other in a group, each point with its class's first.
 
     side 0: in the tree; 1: a query only. A group without queries of side 1 is searched with its own points. groups: sorted, side within.
     """
-    _, groups, sizes = np.unique(groups, return_inverse=True, return_counts=True)
-    keep = sizes[groups] > 1
-    groups, side, points = groups[keep], side[keep], points[keep]
+    _, of, sizes = np.unique(groups, return_inverse=True, return_counts=True)
+    row = np.flatnonzero(sizes[of] > 1)
+    groups, side, points = groups[row], side[row], points[row]
     if not len(points):
-        return points, points
+        return row, row
     _, groups, sizes = np.unique(groups, return_inverse=True, return_counts=True)
     crossed = np.bincount(groups, side) > 0
-    tree = np.flatnonzero(side == 0)
-    planted, root = np.unique(groups[tree], return_inverse=True)
-    forest = Forest(root, points[tree])
-    ask = np.flatnonzero((side == 1) | ~crossed[groups])
-    roots = np.searchsorted(planted, groups[ask])
-    grown = (roots < len(planted)) & (planted[np.minimum(roots, len(planted) - 1)] == groups[ask])
-    ask, roots = ask[grown], roots[grown]
     labels = np.arange(len(points))
-    best = np.full(len(points), np.iinfo(np.int64).max)
-    cost = np.cumsum(sizes[groups[ask]])
-    low = 0
-    while low < len(ask):  # so many queries at once that the search's front stays small
-        high = max(low + 1, int(np.searchsorted(cost, (cost[low - 1] if low else 0) + work)))
-        q, hit = forest.within(roots[low:high], points[ask[low:high]], radius)
-        q, hit = ask[low:high][q], tree[hit]
-        if nearest:
-            before = hit < q
-            q, hit = q[before], hit[before]
-            np.minimum.at(best, q, _gap(points[q], points[hit]) << 40 | hit)
-        else:
-            labels = spanning(labels, q, hit)
-        low = high
-    if nearest:
-        child = np.flatnonzero(best != np.iinfo(np.int64).max)
-        return points[child], points[best[child] & ((1 << 40) - 1)]
+    if not crossed.any():
+        labels = _led(labels, groups, points, radius)
+    first = np.concatenate([[True], groups[1:] != groups[:-1]])
+    whole = np.bincount(groups, labels != np.flatnonzero(first)[groups]) == 0  # one class already
+    tree = np.flatnonzero((side == 0) & ~whole[groups])
+    planted, root = np.unique(groups[tree], return_inverse=True)
+    ask = np.flatnonzero(((side == 1) | ~crossed[groups]) & ~whole[groups])
+    if len(tree) and len(ask):
+        forest = Forest(root, points[tree])
+        roots = np.searchsorted(planted, groups[ask])
+        grown = (roots < len(planted)) & (planted[np.minimum(roots, len(planted) - 1)] == groups[ask])
+        ask, roots = ask[grown], roots[grown]
+        cost = np.cumsum(sizes[groups[ask]])
+        low = 0
+        while low < len(ask):  # so many queries at once that the search's front stays small
+            high = max(low + 1, int(np.searchsorted(cost, (cost[low - 1] if low else 0) + work)))
+            q, hit = forest.within(roots[low:high], points[ask[low:high]], radius)
+            labels = spanning(labels, ask[low:high][q], tree[hit])
+            low = high
     child = np.flatnonzero(labels != np.arange(len(points)))
-    return points[child], points[labels[child]]
+    return row[child], row[labels[child]]
+
+
+def links_of(groups: np.ndarray, side: np.ndarray, points: np.ndarray, radius: int, *, work: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The points of `link_rows`."""
+    a, b = link_rows(groups, side, points, radius, work=work)
+    return points[a], points[b]
 
 
 def shard_links(keyed: DataFrame, keys: list[str], point: list[str], radius: int, tree_size: int) -> DataFrame:
@@ -227,7 +237,7 @@ def shard_links(keyed: DataFrame, keys: list[str], point: list[str], radius: int
         if size:
             yield give(np.concatenate(held))
 
-    return placed.select(*group, "side", *point).mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+    return placed.select(*group, "side", *point).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names)).distinct()
 
 
 def near_links(distinct: DataFrame, *, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -255,7 +265,7 @@ def star_labels(links: DataFrame) -> DataFrame:
             low = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
             near = e.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u")
             out = near.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-        return stage(out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        return stage(out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", replaces=e)
 
     edges = stage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
@@ -284,14 +294,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Copies by similarity: exact prefix filter over shingle hashes, and an exact check of every candidate that could still join two classes.
+# Copies by similarity: texts that share a rare shingle form a shard, a BK-tree of the shard finds those whose fingerprints are near, and every candidate that could still
+# join two classes is checked on the whole shingle sets.
 
 #: Words of a shingle and least Jaccard similarity of the shingle sets of a copy.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Texts and shingles in a piece of a large candidate group. A task holds two pieces at most.
-PIECE_TEXTS, PIECE_SHINGLES = 4_000, 2_000_000
+PIECE_TEXTS, PIECE_SHINGLES = 4_000, 1_000_000
 #: Prefix hashes in a bucket.
-BUCKET_HASHES = 2_000_000
+BUCKET_HASHES = 1_000_000
+#: Longs of a copy's fingerprint, and the differing bits up to which two of them are compared. Sets 0.8 alike differ in 39 of 256 bits on average (deviation 6; the worst small
+#: sets in 48), so fewer than one pair in 10 ** 11 lies beyond; unrelated ones differ in 128 (deviation 8), of which three in a million lie within.
+COPY_PARTS, COPY_RADIUS = 4, 92
 #: Texts, and at most what share of them, in which common shingles are looked for, and the bits of the map that marks them. They decide what the search costs, not what it finds.
 COMMON_TEXTS, COMMON_SHARE, COMMON_BITS = 50_000, 0.2, 1 << 25
 #: Against rounding of a similarity times a size.
@@ -367,15 +381,16 @@ def common_shingles(rows: DataFrame, words: int) -> np.ndarray:
             yield give(of, held)
 
     some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    dealt = some.mapInArrow(deal, "bucket long, hash binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = some.mapInArrow(lean(deal), "bucket long, hash binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     out = np.zeros((buckets, COMMON_BITS // buckets // 8), np.uint8)
-    for r in dealt.mapInArrow(run, "bucket long, bits binary").collect():
+    for r in dealt.mapInArrow(lean(run), "bucket long, bits binary").collect():
         out[r.bucket] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
 def copy_sets(rows: DataFrame, words: int, similarity: float, common) -> DataFrame:
-    """doc_id, fp and fp1 (128 bits of the whole shingle set), n (its size) and prefix (its smallest hashes, 8 bytes each) of every row of doc_id and text."""
+    """doc_id, fp and fp1 (128 bits that tell shingle sets apart), n (the set's size), prefix (its smallest hashes, 8 bytes each) and p0, p1, ... (its SimHash) of every row of doc_id and text."""
+    names = [f"p{k}" for k in range(COPY_PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,13 +403,36 @@ def copy_sets(rows: DataFrame, words: int, similarity: float, common) -> DataFra
                 take = prefix_lengths(n, similarity)
                 ends = np.concatenate([[0], np.cumsum(take) * 8]).astype(np.int64)
                 prefix = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(hashes[gather_runs(at[:-1], take)].tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(fp), pa.array(fp1), pa.array(n), prefix.cast(pa.binary())], names=["doc_id", "fp", "fp1", "n", "prefix"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp1 long, n long, prefix binary")
+                points = [pa.array(p.view(np.int64)) for p in set_prints(hashes, at)]
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(fp), pa.array(fp1), pa.array(n), prefix.cast(pa.binary()), *points], names=["doc_id", "fp", "fp1", "n", "prefix", *names])
+
+    return rows.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp long, fp1 long, n long, prefix binary, " + ", ".join(f"{p} long" for p in names))
+
+
+def set_prints(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """COPY_PARTS arrays of 64 bits: a bit of a row's fingerprint is 1 if set in over half of its hashes (with the top bit, which marks common ones, left out)."""
+    rows = len(at) - 1
+    out = [np.zeros(rows, np.uint64) for _ in range(COPY_PARTS)]
+    full = np.flatnonzero(at[1:] > at[:-1])
+    half = (at[1:] - at[:-1])[full][:, None] // 2
+    cuts = np.append(np.searchsorted(at[full], np.arange(0, len(hashes), _STEP)), len(full))
+    mixed = hashes & np.uint64((1 << 63) - 1)
+    for part in out:
+        mixed = _mixed(mixed)
+        ones = np.zeros((len(full), 64), np.int64)
+        for low, high in itertools.pairwise(np.unique(cuts).tolist()):  # whole rows, of about _STEP hashes
+            a, b = int(at[full[low]]), int(at[full[high - 1] + 1])
+            for x in range(a, b, 16 * _STEP):  # one long row may span many
+                y = min(x + 16 * _STEP, b)
+                bits = np.unpackbits(mixed[x:y].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                i, j = np.searchsorted(at[full], x, "right") - 1, np.searchsorted(at[full], y, "left")
+                ones[i:j] += np.add.reduceat(bits, np.maximum(at[full[i:j]], x) - x, axis=0, dtype=np.int64)
+        part[full] = np.packbits(ones > half, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
-def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) whose components hold every pair that can be alike: each set with the first one that shares a prefix hash and is near in size."""
+def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shard, doc_id): a shard is the sets that share a prefix hash and are near in size, two or more. Every pair that can be alike is in one."""
     total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(count, math.ceil(total / 8 / BUCKET_HASHES))
@@ -415,15 +453,20 @@ def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
 
     def give(held: list) -> pa.RecordBatch:
         h, ids, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), ("<u8", "<i8", "<i8"), strict=True))
-        order = np.lexsort((n, h))
+        order = np.lexsort((ids, n, h))
         h, ids, n = h[order], ids[order], n[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (n[:-1] < similarity * n[1:] - _SLACK)
         heads = np.flatnonzero(new)
-        low = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(h))))
-        apart = ids != low
-        both = np.unique(np.stack([ids[apart], low[apart]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+        sizes = np.diff(np.append(heads, len(h)))
+        heads, sizes = heads[sizes > 1], sizes[sizes > 1]
+        # shards of the same sets are one
+        member = gather_runs(heads, sizes)
+        sums = np.add.reduceat(_mixed(ids[member].view(np.uint64)), np.cumsum(sizes) - sizes) if len(heads) else np.zeros(0, np.uint64)
+        _, some = np.unique(sums, return_index=True)
+        heads, sizes = heads[some], sizes[some]
+        shard = _mixed(h[heads] + n[heads].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(shard, sizes)), pa.array(ids[gather_runs(heads, sizes)])], names=["shard", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -437,8 +480,41 @@ def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield give(held)
 
-    dealt = sets.select("doc_id", "n", "prefix").mapInArrow(deal, "bucket long, hash binary, id binary, n binary")
-    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    dealt = sets.select("doc_id", "n", "prefix").mapInArrow(lean(deal), "bucket long, hash binary, id binary, n binary")
+    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "shard long, doc_id long")
+
+
+def candidate_links(sets: DataFrame, shards: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that span, within each shard, the classes of sets whose fingerprints are within radius of each other, found by the shard's BK-tree.
+
+    A shard is narrow: 48 bytes a set. Of one with many sets those near its first are linked at once, as copies are; the rest are searched.
+    """
+    names = [f"p{k}" for k in range(COPY_PARTS)]
+    count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = shards.join(sets.select("doc_id", *names), "doc_id").select("shard", "doc_id", *names)
+    keyed = keyed.repartition(count, "shard").sortWithinPartitions("shard", "doc_id")
+
+    def give(rows: np.ndarray) -> pa.RecordBatch:
+        groups = np.cumsum(np.concatenate([[False], rows[1:, 0] != rows[:-1, 0]]))
+        a, b = link_rows(groups, np.zeros(len(rows), np.int64), np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius)
+        both = np.unique(np.stack([rows[a, 1], rows[b, 1]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(np.stack([np.asarray(c) for c in batch.columns], axis=1))
+            size += batch.num_rows
+            if size >= 100_000:  # all whole shards so far; the last one may go on
+                rows = np.concatenate(held)
+                if cut := int(np.flatnonzero(rows[:, 0] != rows[-1, 0]).max(initial=-1)) + 1:
+                    yield give(rows[:cut])
+                held, size = [rows[cut:]], len(rows) - cut
+        if size:
+            yield give(np.concatenate(held))
+
+    return keyed.mapInArrow(lean(run), "a long, b long")
 
 
 def alike_links(hashes: np.ndarray, at: np.ndarray, groups: np.ndarray, crossed: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -490,7 +566,8 @@ def copy_links(rows: DataFrame, members: DataFrame, words: int, similarity: floa
     units = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(F.col("piece"), o).alias("low"), F.greatest(F.col("piece"), o).alias("high"), (F.col("piece") > o).cast("int").alias("side")))
     placed = members.join(hot, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
     placed = stage(placed.select("doc_id", "root", F.explode(units).alias("u")).select("doc_id", "root", "u.*"), "units")
-    texts = rows.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS // 5 else placed, "doc_id").select("root", "low", "high", "side", "doc_id", "text")
+    some, _ = split_by_marks(rows, marks_of(placed))  # of the texts only those of members move
+    texts = some.join(placed, "doc_id").select("root", "low", "high", "side", "doc_id", "text")
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartition(count, "root", "low", "high").sortWithinPartitions("root", "low", "high", "side", "doc_id")
 
@@ -524,26 +601,37 @@ def copy_links(rows: DataFrame, members: DataFrame, words: int, similarity: floa
         if size:
             yield give(pa.Table.from_batches(held))
 
-    return texts.mapInArrow(check, "a long, b long")
+    return texts.mapInArrow(lean(check), "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, tree_size: int = PIECE_TEXTS) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of its group) of every row with an id: groups of texts whose shingle sets are at least `similarity` alike, directly or over others.
 
-    No pair is missed, whatever the corpus: two sets that are alike enough share one of the smallest hashes of each (`prefix_lengths`), so both are in one candidate group,
-    and there every pair that shares such a hash is compared on the whole sets of 63-bit shingle hashes until both are in one class.
-    The order in which hashes count as smallest puts common shingles last, so that candidate groups stay small; a group over the bounds is searched in pieces.
-    Equal sets are one point. Rows without an id are left out; null and wordless texts are alike.
+    The trees are those of shards: two sets that are alike enough share one of the smallest hashes of each (`prefix_lengths`), so both are in one shard, whatever the corpus. A
+    shard's BK-tree links sets whose fingerprints are within COPY_RADIUS; a component of those links is a candidate group, and there every pair that shares such a hash is
+    compared on the whole sets of 63-bit shingle hashes until both are in one class. So only the fingerprint can miss a pair, with the chance stated at COPY_RADIUS.
+    The order in which hashes count as smallest puts common shingles last, so that shards stay small; a candidate group over the bounds is searched in pieces.
+    Equal sets are one point. Rows without an id are left out; null and wordless texts are alike. Texts go whole. Columns besides the two are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
     prints = stage(copy_sets(rows, words, similarity, common), "prints")
     points = stage(prints.groupBy("fp", "fp1").agg(F.min("doc_id").alias("low")), "points")
-    again = stage(prints.select("doc_id", "fp", "fp1").join(points, ["fp", "fp1"]).filter("doc_id <> low").select("doc_id", "fp", "fp1"), "again")
-    sets = prints.join(sized(again), ["doc_id", "fp", "fp1"], "left_anti")
-    candidates = star_labels(prefix_links(sets, similarity))
+    sets = prints.join(points.select("fp", "fp1", F.col("low").alias("doc_id")), ["fp", "fp1", "doc_id"], "left_semi")
+    candidates = star_labels(candidate_links(sets, prefix_members(sets, similarity), COPY_RADIUS))
     members = candidates.union(candidates.select("root", "root").distinct()).select(F.col("node").alias("doc_id"), "root")
-    members = members.join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    members = members.join(prints.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
     labels = star_labels(copy_links(rows, members, words, similarity, tree_size, common))
     known = points.join(labels.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp1", F.coalesce("root", "low").alias("component_id"))
-    return prints.join(known, ["fp", "fp1"]).select("doc_id", "component_id")
+    return prints.select("doc_id", "fp", "fp1").join(known, ["fp", "fp1"]).select("doc_id", "component_id")
+
+
+def drop_copies(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns as they are, but for those whose doc_id is in a group of `near_copies` with a smaller one.
+
+    Rows without an id stay; ids are taken as keys, so rows that repeat an id stay or go together. An empty table gives no rows.
+    """
+    classes = near_copies(docs, text_col=text_col, **how)
+    gone = stage(classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    asked, others = split_by_marks(docs, marks_of(gone))
+    return others.unionByName(asked.join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -100,16 +100,34 @@ def test_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_nearest_links_are_direct():
-    points = np.array(clustered(200, 7), np.uint64)[:, None]
-    a, b = simhash.links_of(np.zeros(len(points), int), np.zeros(len(points), int), points, 3, nearest=True)
-    place = {int(p): i for i, p in enumerate(points[:, 0])}
+def test_large_groups_of_copies():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, (3, 4)).astype(np.uint64)
+    points = base[rng.integers(0, 3, 900)]
+    points[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)  # up to two bits apart within a copy group
+    groups = np.sort(rng.integers(0, 3, 900))
+    a, b = simhash.link_rows(groups, np.zeros(900, int), points, 5, work=5000)
+    root = {i: i for i in range(900)}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[x] = y
     want = {}
-    for i, p in enumerate(points[:, 0].tolist()):
-        near = [((p ^ q).bit_count(), j) for j, q in enumerate(points[:i, 0].tolist()) if (p ^ q).bit_count() <= 3]
-        if near:
-            want[i] = min(near)[1]
-    assert {place[x]: place[y] for x, y in zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True)} == want
+    for i in range(900):
+        want.setdefault((groups[i], *points[i, 1:].tolist()), i)
+    assert all(root[i] == want[(groups[i], *points[i, 1:].tolist())] for i in range(900))
+
+
+def test_set_prints():
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 5, 0, 3000, 2, 140_000, 7]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = rng.integers(0, 1 << 63, at[-1]).astype(np.uint64)
+    got = simhash.set_prints(hashes, at)
+    for row, n in enumerate(sizes):
+        own = hashes[at[row] : at[row + 1]]
+        for part in got:
+            own = simhash._mixed(own)
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if n else np.zeros(64, np.int64)
+            assert int(part[row]) == sum(1 << b for b in range(64) if 2 * bits[b] > n)
 
 
 def test_near_copies(spark):
