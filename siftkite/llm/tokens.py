@@ -6,10 +6,16 @@ import re
 
 import numpy as np
 
-from siftkite.llm.common import LOWER, gather_runs, kept, word_hashes, word_spans
+from siftkite.llm.common import LOWER, distinct_words, gather_runs, kept, word_spans
 
-#: Words whose ids a worker keeps; then it starts anew. About 35 MB.
-KEPT_WORDS = 800_000
+#: Words whose ids a worker keeps; then it starts anew. About 50 MB.
+KEPT_WORDS = 400_000
+#: The normalizer and the pre-tokenizer that the quick way fits, whole: lower case, white space dropped, words split off before BPE.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = "!-&(-/:-@\\[-`{-~"
@@ -35,18 +41,17 @@ class WordEncoder:
         self.reset()
 
     def splits_on_space(self) -> bool:
-        """Whether this is the tokenizer that the quick way fits: lower case, white space dropped, words split off before BPE."""
+        """Whether this is a tokenizer that the quick way fits."""
         import json
 
         said = json.loads(self.tokenizer.to_str())
-        kinds = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
-        first = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        return kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("behavior") == "Removed" and said["model"].get("type") == "BPE"
+        first, second = ((said.get(k) or {}) for k in ("normalizer", "pre_tokenizer"))
+        return first.get("normalizers") == _NORMALIZERS and second.get("pretokenizers") == _SPLITTERS and said["model"].get("type") == "BPE"
 
     def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.at = np.zeros(1 << 16, np.int64)
+        self.count = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.parts: dict[str, list[int]] = {}
@@ -66,23 +71,16 @@ class WordEncoder:
             ids += known
         return ids
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         ids = [self.word_ids(w) for w in words]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for w in ids for x in w), np.uint32, int(count.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        first, last = len(self.known), len(self.known) + len(words)
+        self.pool, self.at, self.count = (x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)]) for x, n in ((self.pool, self.used + len(flat)), (self.at, last), (self.count, last)))
         self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(count) - count
+        self.at[first:last], self.count[first:last] = self.used + np.cumsum(count) - count, count
         self.used += len(flat)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.count = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.keys, keys)
-        place[place == len(self.keys)] = 0
-        return place, self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.known.update(zip(words, range(first, last), strict=True))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each row with end_id after it, and the row offsets into them."""
@@ -93,16 +91,14 @@ class WordEncoder:
         if b"<|" not in buf.tobytes():  # names of special tokens are told apart by case
             buf = LOWER[buf]
         starts, ends = word_spans(buf, offsets)
-        keys, first, which = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT_WORDS:
+        words, which = distinct_words(buf, starts, ends)
+        if len(self.known) > KEPT_WORDS:
             self.reset()
-        place, known = self.find(keys)
-        if not known.all():
-            new = first[~known]
-            self.learn(keys[~known], [buf[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            place, _ = self.find(keys)
-        length = self.count[place][which] if len(keys) else np.zeros(0, np.int64)
-        ids = self.pool[gather_runs(self.at[place][which], length)] if len(keys) else np.zeros(0, np.uint32)
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        length = self.count[place][which]
+        ids = self.pool[gather_runs(self.at[place][which], length)]
         sums = np.concatenate([[0], np.cumsum(length)])
         ends_at = sums[np.searchsorted(starts, offsets)]  # ids before each row
         rows = ends_at + np.arange(len(offsets))  # and the end ids

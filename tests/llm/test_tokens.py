@@ -9,7 +9,12 @@ from siftkite.llm import records
 from siftkite.llm.packing import binary_lengths, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello, World's end.", None, "", " \t\n", "a" * 300_000, "Don't <|endoftext|> <|ENDOFTEXT|>x ÀÉÑ éá Σίσυφος ΣΑΣ 日本語 12,345 ª µm a\x85b \x1c", "same words here " * 900, "same words here " * 900]
+def thue_morse(n, a="a", b="b"):
+    """Words that polynomial hashes of 64 bits give one value, from 1024 letters on."""
+    return "".join(a if i.bit_count() % 2 else b for i in range(n))
+
+
+TEXTS = [f"{thue_morse(1024)} {thue_morse(1024, 'b', 'a')}", f"{thue_morse(2048)} x {thue_morse(2048, 'b', 'a')}", "Hello, World's end.", None, "", " \t\n", "a" * 300_000, "Don't <|endoftext|> <|ENDOFTEXT|>x ÀÉÑ éá Σίσυφος ΣΑΣ 日本語 12,345 ª µm a\x85b \x1c", "same words here " * 900, "same words here " * 900]
 
 
 def expected(text):
@@ -37,7 +42,7 @@ def test_frames_find_damage():
 
 
 def test_records_round_trip(spark):
-    rows = [(i * 7 % 8, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "twice"), (3, "twice")]
+    rows = [(i * 7 % 10, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "twice"), (3, "twice")]
     folder = records.scratch(spark, "test")
     manifest = records.write_records(table(spark, rows), folder, PATH, shards=3)
     out = records.read_records(manifest, 2, with_ids=True).orderBy("start").collect()
