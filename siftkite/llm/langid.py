@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -9,17 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftkite.llm import ppm
-from siftkite.llm.common import held_out, kept, row_runs, stage, text_buffer
+from siftkite.llm.common import held_out, kept, lean, row_runs, stage, text_buffer
 
 #: Documents of each language that the model learns from, chosen by a hash of the id (about so many where there are more). The bound of the sample.
 SAMPLE_DOCUMENTS = 2000
-#: Cells of the context trees of all languages together; sets how many bytes have symbols of their own. 32 MB.
-CELLS = 1 << 23
+#: Bytes of context.
+ORDER = 3
 UNKNOWN = "und"
-#: Bytes handled at once: each takes a row of the table of all languages.
-_RUN = 2 << 20
+#: Code lengths handled at once: each byte has one for each language.
+_RUN = 4 << 20
 
 _ASCII_LETTERS = np.zeros(256, bool)
 _ASCII_LETTERS[65:91] = _ASCII_LETTERS[97:123] = True
@@ -34,79 +36,73 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out: int | None = 3, sample: int = SAMPLE_DOCUMENTS) -> dict:
-    """The model: languages, symbols, and each language's sparse context counts.
+    """The model: languages, and each one's grams of ORDER + 1 bytes with their counts.
 
     Learns from rows with a language and a text (with hold_out, only those whose crc32(id as text) mod hold_out is not 1), from whole texts of about `sample`
-    documents of each language. The languages' number is that of the labels; what comes to the driver is a count for each language, 256 byte counts
-    and the counts of contexts seen, at most CELLS of them.
+    documents of each language. What comes to the driver is a count for each language and the counts of the grams that occur in the sample; the sample bounds both.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if hold_out:
         known = known.filter(~held_out(id_col, hold_out))
-    rows = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    languages = sorted(rows)
-    model = {"id": uuid.uuid4().hex, "languages": languages, "size": 2, "symbols": np.zeros(256, np.uint8), "counts": []}
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # a row for each label
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("lang_no", (F.row_number().over(Window.orderBy("lang")) - 1).cast("int"))
+    sizes = stage(sizes, "languages")
+    languages = [r.lang for r in sizes.orderBy("lang_no").collect()]
+    model = {"id": uuid.uuid4().hex, "languages": languages, "grams": []}
     if not languages:
         return model
-    number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, sample / rows[k]) * (1 << 30)))])
-    lang = F.col(lang_col).cast("string")
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(6), id_col), 34) < share[lang]
-    chosen = stage(known.filter(drawn).select(number[lang].alias("lang"), F.col(text_col).cast("string").alias("text")), "sample")
-
-    def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for low, high in row_runs(batch.column(1)):
-                buf, offsets = text_buffer(batch.column(1).slice(low, high - low))
-                total += np.bincount(ppm.plain_rows(buf, offsets)[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], names=["byte", "n"])
-
-    byte_counts = np.zeros(256, np.int64)
-    for r in chosen.mapInArrow(bytes_seen, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        byte_counts[r.byte] = r.n
-    size = max(2, min(64, int((CELLS / len(languages)) ** (1 / (ppm.ORDER + 1)))))
-    symbols = ppm.symbols_of(byte_counts, size)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(6), "id"), 34) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * (1 << 30)
+    chosen = known.join(sizes, "lang").filter(drawn).select("lang_no", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.asarray(batch.column(0))
+            langs = np.asarray(batch.column(0)).astype(np.int64)
             for low, high in row_runs(batch.column(1)):
                 buf, rows, *_ = ppm.plain_rows(*text_buffer(batch.column(1).slice(low, high - low)))
-                index = ppm.contexts(buf, rows, symbols, size).astype(np.int64)
-                index += np.repeat(langs[low:high].astype(np.int64), np.diff(rows)) * size ** (ppm.ORDER + 1)
-                key, n = np.unique(index, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["cell", "n"])
+                gram = ppm.grams(buf, rows, ORDER).astype(np.int64)
+                gram |= np.repeat(langs[low:high], np.diff(rows)) << 32
+                key, n = np.unique(gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["gram", "n"])
+
+    cells = chosen.mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")
+    gram, n = np.asarray(cells.column("gram").combine_chunks()), np.asarray(cells.column("n").combine_chunks())
+    cuts = np.searchsorted(gram >> 32, np.arange(len(languages) + 1))
+    parts = [((gram[a:b] & 0xFFFFFFFF).astype(np.uint32), n[a:b]) for a, b in itertools.pairwise(cuts)]
+    return model | {"grams": parts}
 
-    cells = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    key, n = np.asarray(cells.column("cell").combine_chunks()), np.asarray(cells.column("n").combine_chunks())
-    lang_of = key // size ** (ppm.ORDER + 1)
-    counts = [((key[lang_of == i] % size ** (ppm.ORDER + 1)).astype(np.int32), n[lang_of == i].astype(np.int32)) for i in range(len(languages))]
-    return model | {"size": size, "symbols": symbols, "counts": counts}
 
+class Prices:
+    """Code lengths of grams under each language: a table of all grams that any language has seen; those that none has are priced when they are met."""
 
-def table_of(model: dict) -> np.ndarray:
-    """Code lengths [cell, language], built once in each worker process."""
+    def __init__(self, model: dict):
+        self.tries = [ppm.Trie(ppm.levels_of(gram, n, ORDER)) for gram, n in model["grams"]]
+        seen = np.unique(np.concatenate([g for g, _ in model["grams"]]))
+        self.places, self.table = ppm.Places(seen), self.priced(seen)
 
-    def make() -> np.ndarray:
-        made = np.empty((model["size"] ** (ppm.ORDER + 1), len(model["languages"])), np.float32)
-        for i, (index, count) in enumerate(model["counts"]):
-            made[:, i] = ppm.code_lengths(index, count, model["size"])
-        return made
+    def priced(self, gram: np.ndarray) -> np.ndarray:
+        return np.stack([t.lengths(gram).astype(np.float32) for t in self.tries], axis=1)
 
-    return kept(model["id"], make)
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        place = self.places(gram)
+        out = self.table[place]
+        if len(miss := np.flatnonzero(place < 0)):
+            new, which = np.unique(gram[miss], return_inverse=True)
+            out[miss] = self.priced(new)[which]
+        return out
 
 
 def lengths(model: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code length in nats of each row under each language."""
+    """Code length in nats of each row under each language, by tables built once in each worker process."""
     plain, rows, *_ = ppm.plain_rows(buf, offsets)
-    table = table_of(model)
+    prices = kept(model["id"], lambda: Prices(model))
     out = np.zeros((len(rows) - 1, len(model["languages"])))
-    cells = ppm.contexts(plain, rows, model["symbols"], model["size"])
-    for low in range(0, len(cells), _RUN):  # one long row may span many runs
-        high = min(low + _RUN, len(cells))
+    gram = ppm.grams(plain, rows, ORDER)
+    step = max(1, _RUN // len(model["languages"]))
+    for low in range(0, len(gram), step):  # one long row may span many runs
+        high = min(low + step, len(gram))
         a, b = np.searchsorted(rows, low, "right") - 1, np.searchsorted(rows, high, "left")
-        out[a:b] += ppm.row_sums(table[cells[low:high]], np.clip(rows[a : b + 1], low, high) - low)
+        out[a:b] += ppm.row_sums(prices(gram[low:high]), np.clip(rows[a : b + 1], low, high) - low)
     return out
 
 
@@ -114,7 +110,8 @@ def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
     """doc_id, lang_pred and score of every row, and the columns `keep` as they are.
 
     lang_pred is the language that codes the whole text shortest (ties: the first by name), score its share of 2^-length over all languages. A null
-    text, one with no letter, and a model without languages give `und` and 0. Null ids stay, repeated rows are repeated, an empty table gives no rows.
+    text, one with no letter, and a model without languages give `und` and 0. Texts go whole, in runs of a bounded size. Null ids stay, repeated rows are repeated, an empty
+    table gives no rows. Columns besides the two and `keep` are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array([*model["languages"], UNKNOWN], object)
@@ -137,7 +134,7 @@ def identify(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.array(names[best], pa.string()), pa.array(score), *[c.slice(low, high - low) for c in batch.columns[2:]]], names=["doc_id", "lang_pred", "score", *[f"_keep{i}" for i in range(len(kept))]])
 
     kinds = ", ".join(["doc_id long", "lang_pred string", "score double", *[f"_keep{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)]])
-    out = rows.mapInArrow(run, kinds)
+    out = rows.mapInArrow(lean(run), kinds)
     return out.select("doc_id", "lang_pred", "score", *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
 
 

@@ -22,19 +22,20 @@ def plain(text):
 
 
 class BrutePpm:
-    """PPM by walking the tree for one symbol after another."""
+    """PPM by walking the tree for one byte after another."""
 
-    def __init__(self, rows, size, order=ppm.ORDER):
-        self.size, self.counts = size, defaultdict(Counter)
-        for row in rows:
+    def __init__(self, texts, order):
+        self.order, self.counts = order, defaultdict(Counter)
+        for row in texts:
+            row = bytes([ppm.END]) * order + row
             for i in range(order, len(row)):
                 for k in range(order + 1):
-                    self.counts[tuple(row[i - k : i])][row[i]] += 1
+                    self.counts[row[i - k : i]][row[i]] += 1
 
     def p(self, context, symbol):
         p, excluded = 1.0, set()
         for k in range(len(context), -1, -1):
-            seen = {s: n for s, n in self.counts[tuple(context[len(context) - k :])].items() if s not in excluded}
+            seen = {s: n for s, n in self.counts[context[len(context) - k :]].items() if s not in excluded}
             if not seen:
                 continue
             total = sum(seen.values()) + len(seen)
@@ -42,35 +43,71 @@ class BrutePpm:
                 return p * seen[symbol] / total
             p *= len(seen) / total
             excluded |= set(seen)
-        return p / (self.size - len(excluded))
-
-
-def test_table_is_ppm():
-    rng = random.Random(4)
-    size = 5
-    rows = [[4] * ppm.ORDER + [rng.choice([0, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 30))] + [4] for _ in range(6)]
-    cells = Counter()
-    for row in rows:
-        for i in range(ppm.ORDER, len(row)):
-            cells[sum(s * size**k for k, s in enumerate(reversed(row[i - ppm.ORDER : i + 1])))] += 1
-    table = ppm.code_lengths(np.array(list(cells)), np.array(list(cells.values())), size)
-    brute = BrutePpm(rows, size)
-    for cell in range(size ** (ppm.ORDER + 1)):
-        digits = [cell // size**k % size for k in range(ppm.ORDER, -1, -1)]
-        assert table[cell] == pytest.approx(-math.log(brute.p(digits[:-1], digits[-1])), rel=1e-4)
-
-
-def test_deep_table_is_ppm():
-    rng = random.Random(5)
-    size, order = 4, ppm.ORDER + 1
-    rows = [[3] * order + [rng.choice([0, 1, 1, 2]) for _ in range(rng.randrange(1, 40))] + [3] for _ in range(5)]
-    cells = Counter(sum(s * size**k for k, s in enumerate(reversed(row[i - order : i + 1]))) for row in rows for i in range(order, len(row)))
-    table = ppm.DeepTable(np.array(list(cells)), np.array(list(cells.values())), size)
-    brute = BrutePpm(rows, size, order)
-    every = np.arange(size ** (order + 1))
-    for cell, length in zip(every.tolist(), table[every], strict=True):
-        digits = [cell // size**k % size for k in range(order, -1, -1)]
-        assert length == pytest.approx(-math.log(brute.p(digits[:-1], digits[-1])), rel=1e-4)
+        return p / (256 - len(excluded))
+
+    def length(self, row):
+        """-ln P of a row that ends with END."""
+        row = bytes([ppm.END]) * self.order + row
+        return -sum(math.log(self.p(row[i - self.order : i], row[i])) for i in range(self.order, len(row)))
+
+
+SCRIPTS = ("the cat and dog ", "le chat é è ", "кот и пёс ", "日本語の文 ", "Ωμέγα καὶ ", "\U0001f600 zz ")
+
+
+def texts_of(rng, n):
+    return [" ".join(plain("".join(rng.choices(rng.choice(SCRIPTS), k=rng.randrange(0, 60))))).encode() + b"\n" for _ in range(n)]
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 4, 6])
+def test_trie_is_ppm(order):
+    rng = random.Random(order)
+    texts = texts_of(rng, 30)
+    counts = Counter()
+    for row in texts:
+        row = bytes([ppm.END]) * order + row
+        counts.update(int.from_bytes(row[i - order : i + 1], "big") for i in range(order, len(row)))
+    gram = np.array(list(counts), np.uint64)
+    trie = ppm.Trie(ppm.levels_of(gram, np.array(list(counts.values())), order))
+    brute = BrutePpm(texts, order)
+    others = [bytes([ppm.END]) * order + t for t in texts_of(rng, 10)] + [bytes(rng.choices(range(256), k=order + 60))]
+    asked = gram.tolist() + [int.from_bytes(t[i - order : i + 1], "big") for t in others for i in range(order, len(t))]
+    for g, length in zip(asked, trie.lengths(np.array(asked, np.uint64)), strict=True):
+        raw = g.to_bytes(order + 1, "big")
+        assert length == pytest.approx(-math.log(brute.p(raw[:-1], raw[-1])), rel=1e-9, abs=1e-12)
+
+
+def test_places():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
+    places = ppm.Places(keys)
+    assert (places(keys) == np.arange(len(keys))).all()
+    assert (places(np.setdiff1d(rng.integers(0, 1 << 40, 5000).astype(np.uint64), keys)) == -1).all()
+    assert (ppm.Places(keys[:0])(keys) == -1).all()
+    crowded = ppm.Places(keys)
+    crowded.tables = [np.where(np.arange(len(t)) % 3 == 0, t, -1) for t in crowded.tables]  # all that the tables have no room for is searched
+    crowded.rest = np.arange(len(keys))
+    assert (crowded(keys) == np.arange(len(keys))).all()
+
+
+def test_lengths_of_thirty_languages_are_those_of_ppm(monkeypatch):
+    rng = random.Random(30)
+    monkeypatch.setattr(langid, "_RUN", 500)
+    model, brutes = {"id": "thirty", "languages": [f"l{i:02}" for i in range(30)], "grams": []}, []
+    for i in range(30):
+        letters = SCRIPTS[i % len(SCRIPTS)] + chr(0x3B1 + i) + chr(0x4E00 + 7 * i)
+        texts = [" ".join(plain("".join(rng.choices(letters, k=80)))).encode() + b"\n" for _ in range(4)]
+        counts = Counter()
+        for row in texts:
+            row = bytes([ppm.END]) * 3 + row
+            counts.update(int.from_bytes(row[i - 3 : i + 1], "big") for i in range(3, len(row)))
+        gram, n = np.unique(np.array(list(counts.elements()), np.uint32), return_counts=True)
+        model["grams"].append((gram, n))
+        brutes.append(BrutePpm(texts, langid.ORDER))
+    asked = [t.decode() for t in texts_of(rng, 12)] + ["", "Ünïcode\ttext", "x" * 700]
+    got = langid.lengths(model, *text_buffer(pa.array(asked)))
+    for text, row in zip(asked, got, strict=True):
+        want = " ".join(plain(text)).encode() + b"\n"
+        assert row == pytest.approx([b.length(want) for b in brutes], rel=1e-5)
 
 
 def test_plain_rows():
@@ -127,33 +164,33 @@ def test_no_language_and_no_rows(spark):
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0)]
 
 
-def test_lm_scores(spark):
+def thue_morse(n, a="a", b="b"):
+    """Words that polynomial hashes of 64 bits give one value, from 1024 letters on."""
+    return "".join(a if i.bit_count() % 2 else b for i in range(n))
+
+
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "_PRICED", 700)
     rows = rows_of()
+    rows += [(200 + i, thue_morse(n, *ab) + " x", None, "x") for i, (n, ab) in enumerate([(1024, "ab"), (1024, "ba"), (2048, "ab"), (2048, "ba")])]
     out = lmscore.lm_scores(make(spark, rows), block_bytes=5000).collect()
     train = [plain(t) for i, t, *_ in rows if not is_held(i, 5)]
     counts = Counter(w for t in train for w in [*t, None])
     total, distinct = sum(counts.values()), len(counts)
-    texts = [" ".join(t).encode() + b"\n" for t in train]
-    seen = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    symbols = ppm.symbols_of(seen, lmscore.SYMBOLS)
-    edge = int(symbols[ppm.END])
-    brute = BrutePpm([[edge] * lmscore.ORDER + [int(symbols[x]) for x in t] for t in texts], lmscore.SYMBOLS, lmscore.ORDER)
-    rare = ppm.rare_lengths(seen, symbols)
+    brute = BrutePpm([" ".join(t).encode() + b"\n" for t in train], lmscore.ORDER)
 
     def expected(i, t):
         words = plain(t)
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in [*words, None])
-        row = " ".join(words).encode() + b"\n"
-        coded = [edge] * lmscore.ORDER + [int(symbols[x]) for x in row]
-        own = sum(math.log10(brute.p(coded[k : k + lmscore.ORDER], coded[k + lmscore.ORDER])) for k in range(len(row))) - sum(rare[x] for x in row) / math.log(10)
+        own = -brute.length(" ".join(words).encode() + b"\n") / math.log(10)
         return i, is_held(i, 5), len(words) + 1, sum(counts[w] > 0 for w in [*words, None]), total, base, own
 
-    key = lambda r: (r[0] is None, r[0])
+    key = lambda r: (r[0] is None, r[0], r[2])
     want = sorted((expected(i, t) for i, t, *_ in rows), key=key)
     got = sorted(map(tuple, out), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
-        assert g[5:] == pytest.approx(w[5:], rel=1e-4)
+        assert g[5:] == pytest.approx(w[5:], rel=1e-6)
 
 
 def test_lm_scores_of_no_rows(spark):
