@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from siftkite.llm import pii
@@ -49,53 +50,125 @@ def model():
 
 
 def brute_best(model, text, tokens):
-    """The best of all segmentations, one by one."""
-    segments = {}
-    for i, j, kind, f in model.segments(text, tokens):
-        segments.setdefault(i, []).append((j, kind, model.score(kind, f)))
+    """The score of the best of all segmentations, one by one."""
+    segments, by = model.segments(text, tokens), {}
+    for (i, j, _), row in zip(segments, model.scores(segments), strict=True):
+        by.setdefault(i, []).extend((j, label, row[label]) for label in range(len(pii.LABELS)) if row[label] > -1e9)
 
-    def walk(i):
+    def walk(i, last):
         if i == len(tokens):
-            yield 0.0, ()
+            yield model.turn[last, 0]
             return
-        for j, kind, s in segments[i]:
-            for rest, tail in walk(j):
-                yield s + rest, (((kind, tokens[i][0], tokens[j - 1][1]),) if kind else ()) + tail
+        for j, label, s in by[i]:
+            for rest in walk(j, label):
+                yield s + model.turn[last, label] + rest
 
-    return max(walk(0))
+    return list(walk(0, 0))
+
+
+def score_of(model, text, tokens, found):
+    """The score of a segmentation that is given by its entities."""
+    segments = model.segments(text, tokens)
+    table = {(i, j, f[0] == "plain"): row for (i, j, f), row in zip(segments, model.scores(segments), strict=True)}
+    starts, ends = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
+    entity = {starts[a]: (ends[b], pii.LABELS.index(kind)) for kind, a, b in found}
+    total, last, i = 0.0, 0, 0
+    while i < len(tokens):
+        j, label = entity.get(i, (i + 1, 0))
+        total += table[i, j, label == 0][label] + model.turn[last, label]
+        last, i = label, j
+    return total + model.turn[last, 0]
 
 
 def test_dynamic_programming(model):
+    rng = np.random.default_rng(1)
+    other = pii.SemiCrf({f: rng.normal(size=len(pii.LABELS)).tolist() for f in model.number})  # its best are others than what the words say
     for text, _ in pii.examples(25, 5):
-        tokens = pii.tokens_of(text, 0, len(text))[:5]
-        score, spans = brute_best(model, text, tokens)
-        got = model.best(text, tokens)
-        table = {(tokens[i][0], tokens[j - 1][1], kind): model.score(kind, f) for i, j, kind, f in model.segments(text, tokens)}
-        covered = [t for t in tokens if not any(a <= t[0] < b for _, a, b in got)]
-        assert sum(table[a, b, k] for k, a, b in got) + sum(table[a, b, ""] for a, b in covered) == pytest.approx(score)
+        tokens = pii.tokens_of(text)[:6]
+        for m in (model, other):
+            every = brute_best(m, text, tokens)
+            assert score_of(m, text, tokens, m.best(text, tokens)) == pytest.approx(max(every))
+            segments = m.segments(text, tokens)
+            assert m.expected(segments, m.scores(segments), len(tokens))[0] == pytest.approx(np.logaddexp.reduce(every))
 
 
 def test_gradient(model):
-    text, spans = pii.examples(3, 1)[1]
-    tokens = pii.tokens_of(text, 0, len(text))
-    small = pii.SemiCrf({k: v / 5 for k, v in model.w.items()})
+    text, _ = pii.examples(3, 1)[1]
+    tokens = pii.tokens_of(text)
+    small = pii.SemiCrf({f: (model.w[k] / 5).tolist() for f, k in model.number.items()})
     segments = small.segments(text, tokens)
-    gold = {(i, i + 1, "") for i in range(len(tokens))}
-    base, gradient = small.gradient(segments, len(tokens), gold)
-    for key in sorted(gradient)[:: max(1, len(gradient) // 12)]:
-        small.w[key] += 1e-4
-        assert (small.gradient(segments, len(tokens), gold)[0] - base) / 1e-4 == pytest.approx(gradient[key], abs=2e-3)
-        small.w[key] -= 1e-4
+
+    def whole():
+        return small.expected(segments, small.scores(segments), len(tokens))
+
+    before, p, turns = whole()
+    for s in range(0, len(segments), max(1, len(segments) // 6)):  # d log Z / d weight is how often it is expected
+        feature = segments[s][2][0]
+        for label in range(len(pii.LABELS)):
+            want = sum(p[k, label] for k, (_, _, f) in enumerate(segments) if feature in f)
+            small.w[small.number[feature], label] += 1e-5
+            assert (whole()[0] - before) / 1e-5 == pytest.approx(want, abs=1e-4)
+            small.w[small.number[feature], label] -= 1e-5
+    for a, b in ((0, 0), (0, 3), (2, 0)):
+        small.turn[a, b] += 1e-5
+        assert (whole()[0] - before) / 1e-5 == pytest.approx(turns[a, b], abs=1e-4)
+        small.turn[a, b] -= 1e-5
+
+
+def test_windows_change_nothing(model):
+    """Decoding near triggers only gives what one decode of the whole text gives, long tokens and all."""
+    rng = random.Random(4)
+    for k in range(40):
+        text = "  ".join(t for t, _ in pii.examples(6, 100 + k)) + " " + "word " * rng.randrange(30) + "9x" * rng.choice((3, 200)) + " (at) " + "y" * rng.choice((3, 500)) + ".org dot"
+        base, found = pii.spans_of(text, model)
+        tokens = pii.tokens_of(text, [(a, b) for _, a, b in base])
+        assert sorted({*base, *model.best(text, tokens)}) == sorted(found)
+    long = f"write {'n' * 300}[at]{'d' * 300}[dot]org today"
+    assert ("email", 6, len(long) - 6) in pii.spans_of(long, model)[1]
 
 
 def test_held_out_accuracy(model):
     hit = found = true = 0
     for text, spans in pii.examples(300, 77):
-        got = set(model.best(text, pii.tokens_of(text, 0, len(text))))
+        got = set(model.best(text, pii.tokens_of(text)))
         hit, found, true = hit + len(got & set(spans)), found + len(got), true + len(spans)
     assert hit >= 0.95 * true and hit >= 0.95 * found
 
 
+def planted(n, seed=6):
+    """Documents with forms that no pattern matches and look-alikes put between their words: (text, the forms' spans)."""
+    import pyarrow.parquet as pq
+
+    rng, out = random.Random(seed), []
+    forms = [(text, spans) for text, spans in pii.examples(4 * n, 991) if spans]
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()[:n]:
+        parts, spans, at = (text or "").split(" "), [], 0
+        made = ""
+        for k, part in enumerate(parts):
+            made += part + " "
+            if k % 150 == 75 and forms:
+                source, own = forms.pop()
+                for kind, a, b in own[:1]:  # with the words around it, as far as the next form
+                    low = max(0, source.rfind(" ", 0, max(0, a - 12)) + 1)
+                    high = min([b + 8, len(source), *(x for _, x, _ in own[1:2])])
+                    spans.append((kind, len(made) + a - low, len(made) + b - low))
+                    made += source[low:high] + " "
+        out.append((made, spans))
+    return out
+
+
+def test_planted_documents(model):
+    hit = found = true = 0
+    for text, spans in planted(200):
+        base, got = pii.spans_of(text, model)
+        secrets = text.count("token = ") + text.count("TOKEN = ")  # the documents have some of their own
+        own = {s for s in got if s not in base and not (s[0] == "secret" and secrets and text[max(0, s[1] - 9) : s[1]].lower().endswith('token = "'))}
+        spans = {s for s in spans if not (s[0] == "secret" and text[max(0, s[1] - 9) : s[1]].lower().endswith('token = "'))}
+        hit, found, true = hit + len(own & spans), found + len(own), true + len(spans)
+    print(f"precision {hit / found:.3f}, recall {hit / true:.3f} of {true}")
+    assert true > 200 and hit >= 0.9 * true and hit >= 0.9 * found
+
+
 TEXTS = ["mail a.b@c.example.org or +1 (523) 555-1055", None, "", "call (521) 555-6210 today", "é 4111 1111 1111 1111 é 1.2.3.4", "nothing here at all", "x" * 200_000 + " 10.0.0.1", "write jo.doe [at] host [dot] com now", "in 2020-01-02 we paid $3.50 for 17 items"]
 
 
