@@ -88,9 +88,9 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 with hosts as (
     select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as fetched,
-        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') as host
+        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)', 1)), '\.$', ''), '') as host
     from pages),
-labels as (select distinct host, string_split(host, '.') as l from hosts where host is not null),
+labels as (select distinct host, case when regexp_matches(host, '^\[|^[0-9]+(\.[0-9]+){3}$') then [host] else string_split(host, '.') end as l from hosts where host is not null),
 tails as (select host, array_to_string(l[i:], '.') as pattern from (select host, l, unnest(range(1, len(l) + 1)) as i from labels)),
 names as (
     select distinct pattern, ('0x' || md5(pattern)[1:2])::int as x, ('0x' || md5(pattern)[3:4])::int % 60 as y, ('0x' || md5(pattern)[5:6])::int as z

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftkite.llm.common import fresh
+
 #: Ends an entry's interval without starting another.
 LIFT = "lift"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute URL, without user, port and a last dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """Lower-case host of an absolute URL, without user, port and a last dot; null if there is none. An address in brackets keeps them."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)", 1))
     return F.nullif(F.regexp_replace(host, r"\.$", ""), F.lit(""))
 
 
@@ -36,8 +38,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains, down to the last label."""
-    labels = F.split(host, r"\.")
+    """The host and its parent domains, down to the last label; an address of four numbers or in brackets has none."""
+    labels = F.when(host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(F.split(host, r"\."))
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
@@ -47,14 +49,16 @@ def judge(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time
     A null URL, one without a host and a null fetch time match no entry. Repeated captures are each judged, columns of captures stay, but for those of the four names,
     which are replaced. Empty captures give no rows, an empty list decides nothing.
     """
-    captures = captures.drop("host", "pattern", "action", "since").withColumn("host", host_of(F.col(url_col)))
-    asked = captures.select("host", F.col(time_col).alias("_at")).filter(F.col("host").isNotNull() & F.col("_at").isNotNull()).distinct()
+    captures = captures.drop("host", "pattern", "action", "since")
+    host, at, hit = (fresh(captures, name) for name in ("_host", "_at", "_hit"))
+    captures = captures.withColumn(host, host_of(F.col(url_col)))
+    asked = captures.select(F.col(host).alias("host"), F.col(time_col).alias("at")).filter(F.col("host").isNotNull() & F.col("at").isNotNull()).distinct()
     tried = asked.withColumn("pattern", F.explode(suffixes(F.col("host"))))
     spans = intervals(entries)
-    active = tried.join(spans, "pattern").filter((F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    active = tried.join(spans, "pattern").filter((F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     # at most one interval of a pattern holds at a time, so a pair's rows are at most its host's labels
-    best = active.groupBy("host", "_at").agg(F.max_by(F.struct("pattern", "action", "since"), F.length("pattern")).alias("hit"))
-    best = best.select(F.col("host").alias("_host"), "_at", "hit")
-    out = captures.join(best, (F.col("host") == F.col("_host")) & (F.col(time_col) == F.col("_at")), "left")
-    names = [c for c in captures.columns if c != "host"]
-    return out.select(*names, "host", F.col("hit.pattern").alias("pattern"), F.coalesce("hit.action", F.lit(default)).alias("action"), F.col("hit.since").alias("since"))
+    best = active.groupBy("host", "at").agg(F.max_by(F.struct("pattern", "action", "since"), F.length("pattern")).alias(hit))
+    best = best.select(F.col("host").alias(host), F.col("at").alias(at), hit)
+    out = captures.withColumn(at, F.col(time_col)).join(best, [host, at], "left")
+    names = [c for c in captures.columns if c != host]
+    return out.select(*names, F.col(host).alias("host"), F.col(hit)["pattern"].alias("pattern"), F.coalesce(F.col(hit)["action"], F.lit(default)).alias("action"), F.col(hit)["since"].alias("since"))

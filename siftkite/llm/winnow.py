@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words are hashed, every run of K words gets a rolling (cyclic polynomial) hash, and of every W neighbouring ones the least is kept, the rightmost of
-equal ones, with its position. So two texts that share a passage of K + W - 1 words share a fingerprint, and no match is shorter than K words.
+A text's words are hashed, every run of K words gets a cyclic polynomial hash (the value that rolling gives), and of every W neighbouring ones the least by its top 31 bits is
+kept, the rightmost of equal ones, with its position. So two texts that share a passage of K + W - 1 words share a fingerprint, and no match is shorter than K words.
 The window minima come from doubling: minima over 2, 4, ... neighbours, each from two of the step before.
 """
 
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftkite.llm.common import fresh
+
 #: Words of a gram, and grams of a window (a power of two). Shared passages of K + W - 1 = 6 words are found; short, so that texts of a line or two have marks to compare.
 K, W = 3, 4
 #: Neighbouring ids form a block of 2 ** BLOCK_BITS ids, the rows that stand together in a task's window.
@@ -31,38 +33,43 @@ def _with_later(column: str, by: int):
 
 def with_marks(df: DataFrame, text: str, out: str, *, k: int = K, w: int = W) -> DataFrame:
     """df and a column `out`: array of (hash long, at int), the winnowed grams of the whole text by position. No words give an empty array; fewer than k words are one gram.
+    A null text is empty. A column `out` of df is replaced, all others stay, whatever their names.
 
     Each step is a column of its own, so that no step is worked out twice.
     """
     if w & (w - 1):
         raise ValueError("w must be a power of two")
-    keep = df.columns
+    keep = [c for c in df.columns if c != out]
+    h, g, at = (fresh(df, name) for name in ("_h", "_g", "_at"))
+    m = "_m"
+    while any(c.lower().startswith(m) for c in df.columns):
+        m = "_" + m
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), "")
-    df = df.withColumn("_h", F.transform(words, lambda x: F.xxhash64(x)))
+    df = df.withColumn(h, F.transform(words, lambda x: F.xxhash64(x)))
 
     def gram(x: Column, i: Column) -> Column:
         out = _rotated(x, k - 1)
         for j in range(1, k):
-            out = out.bitwiseXOR(_rotated(F.get("_h", i + j), k - 1 - j))
+            out = out.bitwiseXOR(_rotated(F.get(h, i + j), k - 1 - j))
         return out
 
-    n = F.size("_h")
-    short = F.aggregate("_h", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(x))
-    grams = F.when(n >= k, F.transform(F.slice("_h", 1, F.greatest(n - (k - 1), F.lit(1))), gram)).when(n > 0, F.array(short)).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("_g", grams)
+    n = F.size(h)
+    short = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(x))
+    grams = F.when(n >= k, F.transform(F.slice(h, 1, F.greatest(n - (k - 1), F.lit(1))), gram)).when(n > 0, F.array(short)).otherwise(F.array().cast("array<long>"))
+    df = df.withColumn(g, grams)
     # 31 bits of the hash above 32 bits that fall as the position grows: the least is the least hash, rightmost of equals
-    order = F.transform("_g", lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32) + (F.lit(_LOW) - i))
-    df = df.withColumn("_m0", order)
+    order = F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32) + (F.lit(_LOW) - i))
+    df = df.withColumn(f"{m}0", order)
     step, size = 0, 1
     while size < w:
-        last = f"_m{step}"
+        last = f"{m}{step}"
         # past the end there is null, which least() passes over
-        df = df.withColumn(f"_m{step + 1}", F.transform(last, _with_later(last, size)))
+        df = df.withColumn(f"{m}{step + 1}", F.transform(last, _with_later(last, size)))
         step, size = step + 1, size * 2
-    least = f"_m{step}"
+    least = f"{m}{step}"
     chosen = F.array_distinct(F.slice(least, 1, F.greatest(F.size(least) - (w - 1), F.lit(1))))
-    df = df.withColumn("_at", F.transform(chosen, lambda v: (F.lit(_LOW) - v.bitwiseAND(F.lit(_LOW))).cast("int")))
-    return df.select(*keep, F.transform("_at", lambda a: F.struct(F.get("_g", a).alias("hash"), a.alias("at"))).alias(out))
+    df = df.withColumn(at, F.transform(chosen, lambda v: (F.lit(_LOW) - v.bitwiseAND(F.lit(_LOW))).cast("int")))
+    return df.select(*keep, F.transform(at, lambda a: F.struct(F.get(g, a).alias("hash"), a.alias("at"))).alias(out))
 
 
 def hashes(marks: str) -> Column:

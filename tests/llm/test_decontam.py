@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -44,7 +45,7 @@ def data():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
     items = [(i, " ".join(word() for _ in range(rng.randrange(10, 50))).capitalize()) for i in range(12)]
-    items += [(20, items[0][1]), (21, None), (22, ""), (23, "short")]
+    items += [(20, items[0][1]), (21, None), (22, ""), (23, "short"), (24, "Zq 17"), (25, "q")]
     docs = []
     for i in range(120):
         text = " ".join(word() for _ in range(rng.randrange(0, 60)))
@@ -53,6 +54,7 @@ def data():
             text += "\n" + edited(rng, item.upper() if i % 2 else item, rng.randrange(0, 2 + len(item) // 12)) + " " + " ".join(word() for _ in range(5))
         docs.append((i, text, "b", i))
     docs += [(200, None, "b", 0), (201, "", "b", 0), (None, items[1][1], "b", 0), (5, items[2][1] * 2, "b", 0), (5, items[2][1] * 2, "b", 0), (202, "x" * 200_000 + " " + items[3][1], "b", 0)]
+    docs += [(210, "a shortage, too Short.", "b", 0), (211, "shortshort ashort", "b", 0), (212, "(zq\n17)", "b", 0), (213, "zq 175 azq 17 zq 17", "b", 0)]
     return docs, items
 
 
@@ -61,7 +63,10 @@ def expected(docs, items):
     for i, text, *_ in docs:
         for n, item in items:
             item = decontam.plain(item)
-            if len(item) >= decontam.MIN_CHARS:
+            if item and len(item) < decontam.MIN_CHARS:
+                if re.search(r"(?<![^\W_])" + re.escape(item) + r"(?![^\W_])", decontam.plain(text)):
+                    out.append((i, n, 0))
+            elif item:
                 short = decontam.plain(text)[-3000:]
                 d = brute(item, short)
                 if d <= int(len(item) * decontam.ERROR_RATE):

@@ -68,6 +68,25 @@ def test_edited_fingerprints(spark, gap):
         assert r.said == " ".join(f"{h & M:x}:{a}" for h, a in brute_marks(text))
 
 
+def test_names_of_the_caller_stay(spark):
+    df = spark.createDataFrame([("a b c d e f g", 1, 2, 3, 4, 5, "x")], "t string, _h int, _g int, _at int, _m0 int, _m int, marks string")
+    row = winnow.with_marks(df, "t", "marks").first()
+    assert (row._h, row._g, row._at, row._m0, row._m) == (1, 2, 3, 4, 5) and [tuple(x) for x in row.marks] == brute_marks("a b c d e f g")
+    captures = spark.createDataFrame([(1, "http://a.x.org/", date(2024, 1, 5), "h", "a", "w", "s")], "page_id long, url string, fetched date, hit string, _at string, _host string, _hit string")
+    listed = spark.createDataFrame([("x.org", date(2024, 1, 1), 1, "block")], "pattern string, effective date, seq int, action string")
+    row = urlfilter.judge(captures, listed).first()
+    assert (row.hit, row._at, row._host, row._hit, row.host, row.pattern, row.action) == ("h", "a", "w", "s", "a.x.org", "x.org", "block")
+
+
+def test_addresses_have_no_parent(spark):
+    day = date(2024, 1, 1)
+    urls = ["http://1.2.3.4/x", "http://u@2.3.4:80/", "http://[::1]:8080/x", "https://[2001:DB8::7]", "http://a.2.3.4/", "http://[::1"]
+    listed = spark.createDataFrame([(p, day, 1, "block") for p in ("2.3.4", "[::1]", "1.2.3.4", "4")], "pattern string, effective date, seq int, action string")
+    captures = spark.createDataFrame([(u, day) for u in urls], "url string, fetched date")
+    got = {r.url: (r.host, r.pattern) for r in urlfilter.judge(captures, listed).collect()}
+    assert [got[u] for u in urls] == [("1.2.3.4", "1.2.3.4"), ("2.3.4", "2.3.4"), ("[::1]", "[::1]"), ("[2001:db8::7]", None), ("a.2.3.4", "2.3.4"), (None, None)]
+
+
 def test_shared_passages_are_found(spark):
     rng = random.Random(9)
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(winnow.K + winnow.W - 1))

@@ -1,5 +1,9 @@
+import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
+
+import xxhash
 
 from siftkite.llm import sharding
 
@@ -26,14 +30,39 @@ def test_every_shard_matches_the_mixture(spark, monkeypatch):
     assert Counter(map(tuple, out)) != Counter(map(tuple, sharding.stratified_shards(docs, shards=7, seed=1).collect()))
 
 
+def brute_shards(rows, shards, seed):
+    """The definition in one place: rows shuffled by a seeded hash and ranked within their source, sorted by fractional rank, cut into equal shards."""
+
+    def shuffled(i, crc, size):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        for x in ([] if i is None else [i]) + [crc, size]:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    made = {}
+    for i, t, source, _ in rows:
+        data = (t or "").encode()
+        crc, size = zlib.crc32(data), len(data) + 1
+        h = shuffled(i, crc, size)
+        made.setdefault(source, []).append((h % (1 << 64), h, i is not None, i or 0, crc, size))
+    order = []
+    for source, own in made.items():
+        for rank, (_, h, known, i, crc, size) in enumerate(sorted(own)):
+            order.append((Fraction(2 * rank + 1, 2 * len(own)), source is not None, source or "", h, known, i, crc, size))
+    out, slots = [], Counter()
+    for at, (*_, known, i, crc, size) in enumerate(sorted(order)):
+        shard = at * shards // len(order)
+        out.append((i if known else None, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+    return Counter(out)
+
+
 def test_the_order_is_that_of_the_definition(spark, monkeypatch):
-    """The same result as sorting everything in one place."""
     docs, rows = make(spark, 300)
-    seen = []
+    want = brute_shards(rows, 5, 20)
     for size in (8, 100_000):
         monkeypatch.setattr(sharding, "BUCKET_ROWS", size)
-        seen.append(Counter(map(tuple, sharding.stratified_shards(docs, shards=5).collect())))
-    assert seen[0] == seen[1]
+        assert Counter(map(tuple, sharding.stratified_shards(docs, shards=5).collect())) == want
 
 
 def test_few_rows(spark, tmp_path):
