@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftkite.functions.priorities import WARNING_POINTS
+from siftkite.functions.scoring import lookup
+
 
 def breakdown(usage: DataFrame, dimensions: list[str]) -> DataFrame:
     """Tokens, calls and mean latency by each dimension and in all, in one pass; level has a bit for each dimension that is summed over, the first highest."""
@@ -46,9 +49,14 @@ def forecast(days: DataFrame, ahead: int, origin: str = "2024-01-01") -> DataFra
     return out.select("day_index", F.greatest(F.lit(0.0), F.bround(F.col("b") + F.col("m") * F.col("day_index"), 0)).alias("predicted"))
 
 
-def dependency_risk(deps: DataFrame, by: str) -> DataFrame:
-    """0 to 100: severities up to 50, and the number and depth of dependencies up to 20."""
+def dependency_risk(deps: DataFrame, by: str, warnings: DataFrame | None = None) -> DataFrame:
+    """0 to 100: severities up to 50, supply-chain warnings (by, level, confidence) up to 30, and the number and depth of dependencies up to 20."""
     points = F.sum(F.when(F.col("cvss") >= 9, 15).when(F.col("cvss") >= 7, 10).when(F.col("cvss") >= 4, 5).otherwise(2))
     n, deep = F.count("*"), F.avg((F.col("dependency_type") == "transitive").cast("double"))
     size = F.when(n > 200, 15).when(n > 100, 10).when(n > 50, 5).otherwise(0) + F.when(deep > 0.8, 5).when(deep > 0.5, 3).otherwise(0)
-    return deps.groupBy(by).agg(F.bround((F.least(F.lit(100), F.least(F.lit(50), points) + F.least(F.lit(20), size))).cast("double"), 1).alias("risk"))
+    out = deps.groupBy(by).agg((F.least(F.lit(50), points) + F.least(F.lit(20), size)).cast("double").alias("own"))
+    if warnings is None:
+        return out.select(by, F.bround("own", 1).alias("risk"))
+    warned = warnings.groupBy(by).agg(F.sum(lookup(F.col("level"), WARNING_POINTS, 1.0) * F.col("confidence")).alias("warned"))
+    risk = F.least(F.lit(100.0), F.col("own") + F.least(F.lit(30.0), F.coalesce("warned", F.lit(0.0))))
+    return out.join(warned, by, "left").select(by, F.bround(risk, 1).alias("risk"))

@@ -111,9 +111,19 @@ def _(t):
     return t.usage.groupBy("model").agg(F.round(F.sum(S.cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))), 6).alias("cost"))
 
 
-@query("dependency_risk", "select ecosystem, round_even(least(100, least(50, sum(case when l >= 9 then 15 when l >= 7 then 10 when l >= 4 then 5 else 2 end)) + least(20, case when count(*) > 200 then 15 when count(*) > 100 then 10 when count(*) > 50 then 5 else 0 end + case when count(*) filter (dependency_type = 'transitive') / count(*) > 0.8 then 5 when count(*) filter (dependency_type = 'transitive') / count(*) > 0.5 then 3 else 0 end)), 1) as risk from (select *, pos % 10 as l from dependency) group by 1")
-def _(t):
-    return U.dependency_risk(t.dependency.withColumn("cvss", (F.col("pos") % 10).cast("double")), "ecosystem")
+@query(
+    "dependency_risk",
+    """with own as (select ecosystem, least(50, sum(case when l >= 9 then 15 when l >= 7 then 10 when l >= 4 then 5 else 2 end))
+            + least(20, case when count(*) > 200 then 15 when count(*) > 100 then 10 when count(*) > 50 then 5 else 0 end
+                + case when count(*) filter (dependency_type = 'transitive') / count(*) > 0.8 then 5 when count(*) filter (dependency_type = 'transitive') / count(*) > 0.5 then 3 else 0 end) as own
+        from (select *, pos % 10 as l from dependency) group by 1),
+    warned as (select ecosystem, sum(case pos % 5 when 0 then 15 when 1 then 10 when 2 then 5 when 3 then 2 else 0.5 end * 0.25) as warned from dependency where pos % 997 < 2 group by 1)
+    select ecosystem, round_even(least(100, own + least(30, coalesce(warned, 0)))::double, 1) as risk from own left join warned using (ecosystem)""",
+)
+def _(t):
+    level = F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low", "info"))), (F.col("pos") % 5 + 1).cast("int"))
+    warnings = t.dependency.filter("pos % 997 < 2").select("ecosystem", level.alias("level"), F.lit(0.25).alias("confidence"))
+    return U.dependency_risk(t.dependency.withColumn("cvss", (F.col("pos") % 10).cast("double")), "ecosystem", warnings)
 
 
 @query("deep_transitive", "select ecosystem, count(*) as n from dependency group by 1 having count(*) filter (dependency_type = 'transitive') / count(*) > 0.7 and count(*) > 50")

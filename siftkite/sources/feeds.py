@@ -237,6 +237,19 @@ def pyproject(files: DataFrame) -> DataFrame:
     return rows.select("path", F.regexp_extract("l", pattern, 1).alias("name"), F.trim(F.regexp_extract("l", pattern, 2)).alias("spec")).withColumn("range", V.spec_range(F.col("spec")))
 
 
+def setup_py(files: DataFrame) -> DataFrame:
+    """path, name, spec, range, dependency_type of PEP 508 strings in install_requires (direct) and extras_require (optional)."""
+    kinds = F.array(
+        F.struct(F.lit("direct").alias("kind"), F.regexp_extract("content", r"(?s)\binstall_requires\s*=\s*\[(.*?)\n?\s*\]\s*(?:,|\)|\n|$)", 1).alias("block")),
+        F.struct(F.lit("optional").alias("kind"), F.regexp_extract("content", r"(?s)\bextras_require\s*=\s*\{(.*?)\}", 1).alias("block")),
+    )
+    rows = files.select("path", F.explode(kinds).alias("k")).select("path", "k.kind", F.regexp_replace("k.block", "[\"'][^\"']*[\"']\\s*:", "").alias("block"))
+    rows = rows.select("path", "kind", F.explode(F.regexp_extract_all("block", F.lit("[\"']([^\"']+)[\"']"), 1)).alias("l"))
+    pattern = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([^;]*)"
+    rows = rows.select("path", F.regexp_extract("l", pattern, 1).alias("name"), F.trim(F.regexp_extract("l", pattern, 2)).alias("spec"), F.col("kind").alias("dependency_type"))
+    return rows.withColumn("range", V.spec_range(F.col("spec"))).select("path", "name", "spec", "range", "dependency_type")
+
+
 NVD1 = f"CVE_Items array<struct<cve:struct<CVE_data_meta:struct<ID:string>,description:struct<description_data:{_TEXTS}>,problemtype:struct<problemtype_data:array<struct<description:{_TEXTS}>>>,references:struct<reference_data:array<struct<url:string>>>>,impact:struct<baseMetricV3:struct<cvssV3:struct<baseScore:double,baseSeverity:string>>>,publishedDate:string,lastModifiedDate:string>>"
 
 

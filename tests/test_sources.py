@@ -160,3 +160,19 @@ def test_nvd1_streams_and_rules(spark, put, tmp_path):
     df = spark.createDataFrame([("src/auth.py", "Password = 1")], "p string, c string")
     rules = [{"kind": "keyword", "value": "password", "weight": 2}, {"kind": "path", "value": "auth", "weight": 1}, {"kind": "pattern", "value": "^x", "weight": 4}]
     assert df.select(feeds.priority_rules(rules, F.col("p"), F.col("c")).alias("w")).first().w == 3.0
+
+
+def test_setup_py(spark):
+    text = """from setuptools import setup
+setup(
+    name="x",
+    install_requires=[
+        "requests[socks]>=2.0,<3",
+        'numpy==1.26.0; python_version > "3.8"',
+    ],
+    extras_require={"dev": ["pytest>=7"], 'docs': ['sphinx']},
+)
+"""
+    files = spark.createDataFrame([("a/setup.py", text), ("b/setup.py", "setup(install_requires=['one'])"), ("c/setup.py", "setup()"), ("d/setup.py", None)], "path string, content string")
+    out = {(r.path, r.name, r.spec, r.dependency_type) for r in feeds.setup_py(files).collect()}
+    assert out == {("a/setup.py", "requests", ">=2.0,<3", "direct"), ("a/setup.py", "numpy", "==1.26.0", "direct"), ("a/setup.py", "pytest", ">=7", "optional"), ("a/setup.py", "sphinx", "", "optional"), ("b/setup.py", "one", "", "direct")}
