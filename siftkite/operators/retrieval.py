@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -164,7 +165,7 @@ def similar_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.join(words.groupBy("w").agg(F.min(key).alias("id")), "w").select(key, "id")
 
 
-def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float, *, most_common: int = 200) -> DataFrame:
+def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs whose word sets' Jaccard similarity passes the threshold.
 
     Prefix filter: words are ordered from rare to common, and two sets that pass share a word among the first |s| - ceil(t |s|) + 1 of each, so only
@@ -247,18 +248,20 @@ def trace_origin(assignments: DataFrame, starts: DataFrame, *, reach: int = 50,
     """(file, line, var, hop, at, origin): from each use of a variable back to its nearest assignment at most `reach` lines above, and on through plain copies.
 
     assignments: file, line, var, source (the variable it copies, or null). As-of joins, each reduced to one row for each trace, until no trace is
-    open, as lines only go down; `depth` stops them earlier. Without it each hop is checkpointed.
+    open, as lines only go down; `depth` stops them earlier. Without it each hop is checkpointed, in the folder that the session names.
     """
     a = assignments.select("file", F.col("line").alias("a_line"), "var", "source").withColumnRenamed("var", "a_var")
     now = starts.select("file", "line", "var", F.col("line").alias("at"), F.col("var").alias("of"))
     out, hop = None, 0
+    if depth is None:
+        checkpoint_folder(assignments.sparkSession)
     while depth is None or hop < depth:
         hop += 1
         found = now.alias("n").join(a.alias("a"), (F.col("n.file") == F.col("a.file")) & (F.col("n.of") == F.col("a.a_var"))).filter((F.col("a_line") < F.col("at")) & (F.col("a_line") >= F.col("at") - reach))
         step = found.groupBy("n.file", "n.line", "n.var").agg(F.max_by(F.struct("a_line", "source"), "a_line").alias("s"))
         step = step.select("file", "line", "var", F.lit(hop).alias("hop"), F.col("s.a_line").alias("at"), F.col("s.source").alias("origin"))
         if depth is None:
-            step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.localCheckpoint()
+            step = step.checkpoint()
         out = step if out is None else out.unionByName(step)
         now = step.filter("origin is not null").select("file", "line", "var", "at", F.col("origin").alias("of"))
         if depth is None and now.isEmpty():
@@ -266,6 +269,19 @@ def trace_origin(assignments: DataFrame, starts: DataFrame, *, reach: int = 50,
     return out
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the folder of checkpoints to spark.checkpoint.dir where the session has none. With neither, a local master gets a folder of its own and a cluster an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="siftkite-")
+    context.setCheckpointDir(folder)
+
+
 def text_features(code: Column, dimensions: int = 384) -> Column:
     """Ten counts of a source text, tiled to the dimensions, each modulo 1."""
     count = lambda p: F.regexp_count(code, F.lit(p)).cast("double")

@@ -81,6 +81,8 @@ def test_longest_prefix(spark):
 def test_versions(spark):
     assert one(spark, V.compare(F.col("a"), F.col("b")), a="1.10", b="1.9") == 1
     assert one(spark, V.version_key(F.col("a"), 4), a="1.0rc1") == [1, 1, 0, 0]
+    for a, b, sign in [("1.0.0", "1", 0), ("1.010", "1.10", 0), ("", "0.0", 0), ("1.2.3.4.5.6.7.8.9.1", "1.2.3.4.5.6.7.8.9", 1), ("1." + "9" * 30, "1.1" + "0" * 30, -1), ("2..0.", "2.0.1", -1), ("v10", "9.9", 1)]:
+        assert one(spark, V.compare(F.col("a"), F.col("b")), a=a, b=b) == sign, (a, b)
     cpe = spark.createDataFrame([("v", "p", "", None, "including", "excluding", "C1"), ("v", "p", "1.9", "1.10", "excluding", "including", "C2")], "vendor string, product string, version_start string, version_end string, version_start_type string, version_end_type string, cve_id string").withColumn("version", F.lit(""))
     target = lambda v: spark.createDataFrame([("v", "p", v)], "vendor string, product string, version string")
     assert {r.cve_id for r in W.scan_product_version(cpe, target("1.10")).collect()} == {"C1", "C2"}
