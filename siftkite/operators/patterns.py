@@ -97,17 +97,5 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)).alias("href"))
 
 
-# The scan families of the shipped catalogs, each a rule id and its expressions.
-CODE_RULES = [
-    Pattern("sql_injection", r"(?i)(execute|query)\s*\(\s*[\"'].*(%s|\+|\{).*", "high", 3.0, safe=r"execute\s*\([^)]*,\s*[\[(]"),
-    Pattern("command_injection", r"(?i)os\.system\s*\(|subprocess\.(call|run|Popen)\s*\(.*shell\s*=\s*True|eval\s*\(", "critical", 3.0),
-    Pattern("xss", r"innerHTML\s*=|document\.write\s*\(|dangerouslySetInnerHTML", "high", 2.0, line_safe=r"(?i)escape|sanitize"),
-    Pattern("weak_crypto", r"(?i)\b(md5|sha1|des|rc4)\b\s*\(", "medium", 2.0),
-    Pattern("insecure_random", r"(?i)\brandom\.(random|randint|choice)\s*\(|Math\.random\s*\(", "low", 1.0),
-    Pattern("hardcoded_key", r"(?i)(password|passwd|secret|token|api_?key)\s*[=:]\s*[\"'][^\"'\s]{6,}[\"']", "high", 3.0, line_safe=r"(?i)example|placeholder|changeme"),
-    Pattern("sensitive_number", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b|\b[0-9]{16}\b", "medium", 2.0),
-    Pattern("homoglyph", "[\\u0400-\\u04FF\\u0370-\\u03FF]", "medium", 1.0, confidence=0.75),
-    Pattern("bidi_control", "[\\u202A-\\u202E\\u2066-\\u2069]", "high", 2.0),
-    Pattern("prompt_override", r"(?i)ignore (all )?(previous|prior) (instructions|prompts)|disregard (the )?(above|system)", "high", 2.0),
-]
+#: Words of sources, sinks and guards for family_lines; a caller gives its own where they differ.
 FLOW_FAMILIES = {"source": ["request", "input(", "argv", "params"], "sink": ["execute", "eval(", "system(", "innerhtml"], "sanitizer": ["escape", "sanitize", "quote("]}

@@ -118,11 +118,6 @@ def _(t):
     return P.scan_lines(t.file, catalog, first=True).select("path", "line", "col", "rule_id", "match")
 
 
-@query("code_rules")
-def _(t):
-    return P.scan_lines(t.file, P.CODE_RULES)
-
-
 @query("pattern_scores", "select path, 2.0::double * len(regexp_extract_all(content, '[0-9]{3,}')) + 1.0::double * len(regexp_extract_all(content, 'the')) as score, len(regexp_extract_all(content, '[0-9]{3,}')) + len(regexp_extract_all(content, 'the')) as hits from file")
 def _(t):
     return P.weighted_score(t.file, [P.Pattern("number", "[0-9]{3,}", weight=2.0), P.Pattern("the", "the", weight=1.0)])
