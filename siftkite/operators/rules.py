@@ -101,9 +101,8 @@ def _surroundings(near: Near, text: str, start: int, end: int) -> str:
 
 def text_hits(text: str, rule: TextRule) -> Iterator[tuple[int, int, str, float, str]]:
     """(line, col, severity, confidence, snippet) of each hit, lines and columns from 1; by expression, then by place."""
-    if rule.unless and sum(_re(p).search(text) is not None for p in rule.unless) >= rule.enough:
+    if rule.near and rule.near.wanted and not _re(rule.near.regex).search(text):
         return
-    confidence = rule.softer[1] if rule.softer and _re(rule.softer[0]).search(text) else rule.confidence
     starts, lines = None, None
     for p in rule.patterns:
         for m in _re(p).finditer(text):
@@ -111,7 +110,10 @@ def text_hits(text: str, rule: TextRule) -> Iterator[tuple[int, int, str, float,
                 continue
             if rule.near and (_re(rule.near.regex).search(_surroundings(rule.near, text, m.start(), m.end())) is not None) != rule.near.wanted:
                 continue
-            if lines is None:
+            if lines is None:  # the first match: what holds for the whole text is looked for only now
+                if rule.unless and sum(_re(q).search(text) is not None for q in rule.unless) >= rule.enough:
+                    return
+                confidence = rule.softer[1] if rule.softer and _re(rule.softer[0]).search(text) else rule.confidence
                 lines = text.split("\n")
                 starts = [0]
                 for x in lines:
