@@ -14,6 +14,22 @@ COMPLEXITY_POINTS = {"low": 20.0, "medium": 12.0, "high": 5.0}
 EXPLOIT_POINTS = {"available": 15.0, "functional": 12.0, "proof_of_concept": 7.0, "unavailable": 2.0}
 CIA_SHARES = {"high": 1.0, "medium": 0.6, "low": 0.3, "none": 0.0}
 FIX_HOURS = {"critical": 80.0, "high": 24.0, "medium": 8.0, "low": 2.0, "info": 0.5}
+#: How common a weakness is, of 100.
+PREVALENCE = {
+    "CWE-79": 92.0, "CWE-78": 78.0, "CWE-89": 85.0, "CWE-416": 76.0, "CWE-787": 82.0, "CWE-125": 74.0, "CWE-22": 71.0, "CWE-352": 70.0, "CWE-798": 72.0, "CWE-918": 73.0, "CWE-502": 77.0, "CWE-434": 65.0, "CWE-20": 68.0,
+    "CWE-23": 60.0, "CWE-36": 55.0, "CWE-426": 58.0, "CWE-190": 62.0, "CWE-287": 67.0, "CWE-522": 64.0, "CWE-611": 69.0, "CWE-732": 61.0, "CWE-617": 57.0, "CWE-476": 66.0, "CWE-269": 63.0, "CWE-295": 59.0, "CWE-306": 56.0,
+    "CWE-862": 54.0, "CWE-863": 52.0, "CWE-276": 50.0, "CWE-94": 75.0, "CWE-91": 48.0, "CWE-119": 70.0, "CWE-120": 65.0, "CWE-400": 60.0, "CWE-77": 72.0, "CWE-90": 55.0, "CWE-96": 53.0, "CWE-601": 51.0, "CWE-311": 49.0,
+    "CWE-327": 58.0, "CWE-330": 47.0, "CWE-331": 45.0, "CWE-362": 56.0, "CWE-693": 50.0, "CWE-706": 48.0, "CWE-754": 53.0, "CWE-760": 46.0, "CWE-829": 54.0, "CWE-834": 44.0, "CWE-908": 42.0, "CWE-940": 40.0, "CWE-1021": 38.0,
+}
+#: Parts of a technology stack that make a kind of finding more common.
+STACKS = {
+    "sql_injection": ["django", "flask", "sqlalchemy", "jdbc", "mysql", "postgres"],
+    "xss": ["express", "react", "vue", "angular", "django", "flask", "jinja"],
+    "command_injection": ["subprocess", "os.system", "shell", "cgi"],
+    "ssrf": ["requests", "urllib", "http.client", "axios", "fetch"],
+    "deserialization": ["pickle", "yaml", "java.io", "marshal", "php.unserialize"],
+    "path_traversal": ["flask", "django", "express", "fastapi", "nginx", "apache"],
+}
 #: USD for 1000 prompt and completion tokens.
 PRICES = {"deepseek-v4-flash": (0.00027, 0.0011), "deepseek": (0.00027, 0.0011), "gpt-4o": (0.005, 0.015), "gpt-4o-mini": (0.00015, 0.0006), "default": (0.001, 0.002)}
 
@@ -51,6 +67,24 @@ def prevalence(base: Column, stacks: Column, has_cve: Column) -> Column:
     return F.bround(clamp(F.coalesce(base, F.lit(30.0)) + F.least(stacks * 3.0, F.lit(10.0)) + F.when(has_cve, 5.0).otherwise(0.0)), 2)
 
 
+def cwe_prevalence(cwe: Column, kind: Column, stack: Column, has_cve: Column) -> Column:
+    """prevalence of a weakness from the fixed rates and from what of the stack (an array of names) fits the kind of finding; a repeated name counts again."""
+    table = F.create_map(*[F.lit(x) for kv in PREVALENCE.items() for x in kv])
+    fits = F.create_map(*[x for k, v in STACKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    known = F.try_element_at(fits, F.lower(kind))
+    count = F.size(F.filter(F.coalesce(stack, F.array().cast("array<string>")), lambda s: F.coalesce(F.array_contains(known, F.lower(s)), F.lit(False))))
+    return prevalence(F.try_element_at(table, cwe), count, F.coalesce(has_cve, F.lit(False)))
+
+
+def cvss_vector(exploitability_: Column, impact_: Column) -> Column:
+    """The CVSS 3.1 vector that two scores of 100 stand for."""
+    e = lambda cuts, rest: bands(exploitability_, cuts, rest)
+    cia = lambda middle: bands(impact_, [(80, "H"), (50, "L"), (25, middle)], "N")
+    parts = [("AV", e([(75, "N"), (50, "A"), (25, "L")], "P")), ("AC", e([(60, "L")], "H")), ("PR", e([(80, "N"), (40, "L")], "H")), ("UI", e([(65, "N")], "R")), ("S", bands(impact_, [(75, "C")], "U"))]
+    parts += [("C", cia("L")), ("I", cia("N")), ("A", cia("N"))]
+    return F.concat_ws("/", F.lit("CVSS:3.1"), *[F.concat(F.lit(f"{name}:"), value) for name, value in parts])
+
+
 def detectability(static: Column, dynamic: Column, clarity: Column, depth: Column, false_positives: Column) -> Column:
     flow = F.when(depth <= 1, 15.0).when(depth <= 3, 11.0).when(depth <= 6, 7.0).otherwise(3.0)
     sure = F.when(false_positives.isNull(), 5.0).otherwise(F.greatest(F.lit(0.0), (1 - false_positives) * 10))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def supplement(current: DataFrame, extra: DataFrame, threshold: int) -> DataFrame:
@@ -66,3 +67,50 @@ def flat_report(reports: DataFrame) -> DataFrame:
     risky = F.size(F.filter(findings, lambda x: F.coalesce(x["severity"].isin("critical", "high"), F.lit(False))))
     tokens = F.aggregate(records, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["total_tokens"].cast("long"), F.lit(0)))
     return reports.select("report_id", F.size(findings).alias("n_findings"), risky.alias("n_risky"), F.size(records).alias("n_records"), tokens.alias("tokens"))
+
+
+# Words that stand for the last entity of a type; "entity" is any.
+PRONOUNS = {
+    "it": "entity", "this": "entity", "that": "entity", "these": "entity", "them": "entity", "the file": "file", "the function": "function", "this function": "function",
+    "that function": "function", "the class": "class", "this class": "class", "that class": "class", "these files": "file", "those files": "file",
+}
+ENTITY_TYPES = ["file", "function", "class", "variable"]
+
+
+def resolve_references(references: DataFrame, entities: DataFrame, *, scope: str, key: str, recent: int = 5) -> DataFrame:
+    """(key, name) of what each reference (scope, key, reference) stands for among its scope's entities (type, name, seen, pos), null if for nothing.
+
+    In turn: for a pronoun the last seen of its type among the `recent` last ones, of equals the first by pos; the entity of that very name, by type in the order of ENTITY_TYPES, then any
+    by pos, then whatever the case; the first by pos whose name contains the reference. The last stage meets through all parts of the names, kept where a reference asks for them.
+    """
+    asked = references.select(F.col(scope).alias("_s"), F.col(key).alias(key), "reference").withColumn("_low", F.lower(F.trim("reference")))
+    known = entities.select(F.col(scope).alias("_s"), "type", "name", "seen", "pos")
+    last = known.withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("seen"), "pos"))).filter(F.col("_n") <= recent)
+    last = last.select("_s", "name", "_n", F.explode(F.array("type", F.lit("entity"))).alias("_of")).groupBy("_s", "_of").agg(F.min_by("name", "_n").alias("by_pronoun"))
+    of = F.create_map(*[F.lit(x) for kv in PRONOUNS.items() for x in kv])
+    rows = asked.withColumn("_of", F.try_element_at(of, F.col("_low"))).join(last, ["_s", "_of"], "left")
+    rank = F.coalesce(*[F.when(F.col("type") == t, i) for i, t in enumerate(ENTITY_TYPES)], F.lit(len(ENTITY_TYPES)))
+    exact = known.groupBy("_s", F.col("name").alias("reference")).agg(F.min_by("name", F.struct(rank.alias("r"), "pos")).alias("by_name"))
+    folded = known.groupBy("_s", F.lower("name").alias("_fold")).agg(F.min_by("name", "pos").alias("by_fold"))
+    rows = rows.join(exact, ["_s", "reference"], "left").withColumn("_fold", F.lower("reference")).join(folded, ["_s", "_fold"], "left")
+    rows = rows.withColumn("_found", F.coalesce("by_pronoun", "by_name", "by_fold"))
+    open_ = rows.filter(F.col("_found").isNull() & F.col("_low").isNotNull()).select("_s", "_low").distinct()
+    size = F.length("whole")
+    names = known.groupBy("_s", F.lower("name").alias("whole")).agg(F.min(F.struct("pos", "name")).alias("first"))
+    wanted = open_.groupBy("_s").agg(F.collect_set(F.length("_low")).alias("_sizes"))  # lengths, no more than a name's
+    parts = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= size), lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.substr("whole", i + 1, n))))
+    held = names.join(wanted, "_s").select("_s", "first", F.explode(F.array_distinct(parts)).alias("_low")).groupBy("_s", "_low").agg(F.min("first").alias("_first"))
+    rows = rows.join(held, ["_s", "_low"], "left")
+    return rows.select(key, F.coalesce("_found", F.col("_first.name")).alias("name"))
+
+
+def neighbourhood(hits: DataFrame, items: DataFrame, *, key: str = "cve_id", order: str = "place", first: int = 5, top: int = 5) -> DataFrame:
+    """(key, neighbour, score): for each of the first hits by `order` the first `top` other items by key whose title or description contains its title, with score 1.
+
+    The first hits are a handful of rows and go to all tasks; items meet them in one pass, and each task keeps `top` rows for each.
+    """
+    few = hits.filter(F.col(key).isNotNull()).orderBy(order).limit(first).select(key).distinct()
+    titles = F.broadcast(items.join(F.broadcast(few), key).select(F.col(key).alias("_of"), F.col("title").alias("_title")))
+    pairs = items.join(titles, (F.col(key) != F.col("_of")) & (F.contains("description", F.col("_title")) | F.contains("title", F.col("_title"))))
+    place = F.row_number().over(Window.partitionBy("_of").orderBy(key))
+    return pairs.withColumn("_n", place).filter(F.col("_n") <= top).select(F.col("_of").alias(key), F.col(key).alias("neighbour"), F.lit(1.0).alias("score"))

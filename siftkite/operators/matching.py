@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +60,80 @@ def match_lines(snippets: DataFrame, lines: DataFrame, reach: int) -> DataFrame:
     return out.select("key", F.coalesce("b.line", "reported").alias("line"), status.alias("status"))
 
 
+# Names in code that say where it may be, and words that don't.
+NAME_PATTERNS = [
+    r"@\w+", r"def\s+(\w+)", r"class\s+(\w+)", r"interface\s+(\w+)", r"var\s+(\w+)", r"val\s+(\w+)", r"let\s+(\w+)", r"\b(\w+)\s*\(",
+    r"\bif\s*\(", r"\bfor\s*\(", r"\bwhile\s*\(", r"\breturn\s+", r"\bthrow\s+", r"\bnew\s+(\w+)",
+]
+STOP_WORDS = "null true false this super self let var val def class return throw new if for while else elif switch case break continue".split()
+
+
+def code_keywords(snippet: str, most: int = 10) -> list[str]:
+    """The first names in a snippet: matches of the patterns in turn, of over two characters, repeats included, then other words that are no stop words."""
+    found = [m.lower() for p in NAME_PATTERNS for m in re.findall(p, snippet, re.IGNORECASE) if len(m) > 2]
+    words = [w for w in dict.fromkeys(re.findall(r"\b[a-z][a-z0-9_]{2,}\b", snippet.lower())) if w not in STOP_WORDS and w not in found]
+    return (found + words)[:most]
+
+
+def closest_line(snippet: str, lines: list[str], first: int, start: int, end: int, alike: float = 0.65) -> tuple[int | None, float | None, int | None]:
+    """(line, ratio, keyword_line): the line from start to end (counted from 0, end exclusive; `lines` begin at `first`) most like the snippet by difflib, and the first with one of its keywords."""
+    from difflib import SequenceMatcher
+
+    low, best, score, by_word = snippet.lower(), None, None, None
+    words = code_keywords(snippet)
+    matcher = SequenceMatcher(None, low)
+    for i in range(max(start, first), min(end, first + len(lines))):
+        text = lines[i - first]
+        if by_word is None and any(w in text.lower() for w in words):
+            by_word = i + 1
+        if not text.strip():
+            continue
+        matcher.set_seq2(text.strip().lower())
+        bound = max(alike, score or 0.0)
+        if matcher.real_quick_ratio() < bound or matcher.quick_ratio() < bound:
+            continue
+        ratio = matcher.ratio()
+        if ratio >= alike and (score is None or ratio > score):
+            best, score = i + 1, ratio
+    return best, score, by_word
+
+
+def map_lines(snippets: DataFrame, files: DataFrame, *, reach: int = 200, alike: float = 0.65, edits: float = 0.5) -> DataFrame:
+    """key, line (-1: none) and status of each snippet (key, path, snippet, reported) in its file (path, content).
+
+    In turn: a line equal to the trimmed snippet, then one equal with white space collapsed, in the whole file, the reported one first and else the first; then around the reported line
+    (null or 0: the middle) the line most like it by difflib's ratio within `reach` lines, by edit distance within twice that, and the first with one of its keywords, of equals the first.
+    EXACT at the reported line, else ADJUSTED, else NOT_FOUND; so too for blank snippets and files that are null or missing. Only the lines in reach go to Python, in Arrow batches.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    flat = lambda c: F.regexp_replace(trim(c), r"\s+", " ")
+    wanted = snippets.select("key", "path", trim(F.col("snippet")).alias("snippet"), F.nullif("reported", F.lit(0)).alias("reported")).filter("snippet <> ''")
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("_i", "_text")).select("path", (F.col("_i") + 1).alias("_line"), trim(F.col("_text")).alias("_text")).filter("_text <> ''")
+    met = wanted.withColumn("_k", F.xxhash64(flat(F.col("snippet")))).join(lines.withColumn("_k", F.xxhash64(flat(F.col("_text")))), ["path", "_k"]).filter(flat(F.col("snippet")) == flat(F.col("_text")))
+    stage = F.when(F.col("snippet") == F.col("_text"), 0).otherwise(1)
+    best = met.groupBy("key").agg(F.min(F.struct(stage.alias("s"), F.when(F.col("_line") == F.col("reported"), 0).otherwise(1).alias("off"), F.col("_line").alias("line"))).alias("_b")).select("key", F.col("_b.line").alias("line"))
+
+    @pandas_udf("line int, word int")
+    def closest(text: pd.Series, window: pd.Series, first: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+        rows = [closest_line(t, list(w), int(f), int(s), int(e), alike) for t, w, f, s, e in zip(text, window, first, start, end, strict=True)]
+        return pd.DataFrame({"line": pd.array([r[0] for r in rows], dtype="Int32"), "word": pd.array([r[2] for r in rows], dtype="Int32")})
+
+    rest = wanted.join(best.select("key"), "key", "left_anti").join(files.select("path", F.split("content", "\n").alias("_all")), "path")
+    rest = rest.filter("_all is not null").withColumn("_n", F.size("_all")).withColumn("_c", F.coalesce("reported", F.expr("_n div 2").cast("int")) - 1)
+    first = F.greatest(F.lit(0), F.col("_c") - 2 * reach)
+    rest = rest.withColumn("_first", first).withColumn("_window", F.slice("_all", F.col("_first") + 1, F.greatest(F.lit(0), F.least("_n", F.col("_c") + 2 * reach) - F.col("_first")))).drop("_all")
+    rest = rest.withColumn("_found", closest("snippet", "_window", "_first", F.greatest(F.lit(0), F.col("_c") - reach), F.least("_n", F.col("_c") + reach)))
+    likeness = lambda x: 1 - F.levenshtein(F.col("snippet"), x) / F.greatest(F.length("snippet"), F.length(x))
+    scored = F.transform("_window", lambda x, i: F.struct(F.when(trim(x) != "", likeness(trim(x))).alias("s"), (-(F.col("_first") + i + 1)).alias("line")))
+    by_edit = F.array_max(F.filter(scored, lambda x: x["s"] >= edits))["line"]
+    rest = rest.select("key", F.coalesce(F.col("_found.line"), F.when(F.col("_found.line").isNull(), -by_edit), F.col("_found.word")).alias("line"))
+    out = snippets.select("key", "reported").join(best.unionByName(rest), "key", "left")
+    status = F.when(F.col("line").isNull(), "NOT_FOUND").when(F.coalesce(F.col("line") == F.col("reported"), F.lit(False)), "EXACT").otherwise("ADJUSTED")
+    return out.select("key", F.coalesce("line", F.lit(-1)).alias("line"), status.alias("status"))
+
+
 def fuse_lines(legs: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """path, line and the weighted sum of the legs' scores (path, line, score), missing ones 0, within 0 and 1."""
     out = None

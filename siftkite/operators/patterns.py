@@ -76,6 +76,50 @@ def unguarded(hits: DataFrame, source: str = "source", sink: str = "sink", guard
     return rows.filter((F.col("family") == source) & F.col("sink_line").isNotNull()).select("path", F.col("line").alias("source_line"), "sink_line", F.coalesce(F.col("guard_line") < F.col("sink_line"), F.lit(False)).alias("guarded"))
 
 
+def input_flows(hits: DataFrame, *, key: str = "path", source: str = "source", sink: str = "sink", guard: str = "sanitizer", login: str = "auth") -> DataFrame:
+    """(key, line, open_to, n_open, n_guarded, risk) of each source row against all sink rows of its file, wherever they stand.
+
+    A sink is guarded if a guard lies strictly between it and the source above; open sinks are those down to line open_to (null: all), the first guard below. risk: HIGH, or MEDIUM where
+    the file has a login check, for sources with an open sink, else LOW; sources of files without sinks are left out. Counted by windows over a file's hits; no pairs are made.
+    """
+    below = Window.partitionBy(key).orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy(key)
+    rows = hits.withColumn("open_to", F.min(F.when(F.col("family") == guard, F.col("line"))).over(below))
+    # sinks at or above a line, of which a guard's line asks too
+    upto = Window.partitionBy(key).orderBy("line").rangeBetween(Window.unboundedPreceding, 0)
+    is_sink = F.when(F.col("family") == sink, 1).otherwise(0)
+    rows = rows.withColumn("_upto", F.sum(is_sink).over(upto)).withColumn("_all", F.sum(is_sink).over(whole)).withColumn("_login", F.bool_or(F.col("family") == login).over(whole))
+    # the first guard below a line is the first of the guards' own counts there
+    rows = rows.withColumn("_at_guard", F.min(F.when(F.col("family") == guard, F.struct("line", "_upto"))).over(below))
+    rows = rows.filter((F.col("family") == source) & (F.col("_all") > 0)).withColumn("n_open", F.coalesce(F.col("_at_guard._upto"), F.col("_all")))
+    risk = F.when(F.col("n_open") == 0, "LOW").when(F.col("_login"), "MEDIUM").otherwise("HIGH")
+    return rows.select(key, "line", "open_to", "n_open", (F.col("_all") - F.col("n_open")).alias("n_guarded"), risk.alias("risk"))
+
+
+#: Sequences of neighbouring categories that speak for a flow.
+FLOW_SEQUENCES = [("source", "transform", "sink"), ("source", "sink"), ("source", "transform", "transform", "sink")]
+
+
+def token_flows(tokens: DataFrame, *, key: str = "path", sequences: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """(key, n_sequences, n_direct, risk_score) of each file's tokens (line, pos, category).
+
+    n_sequences: places where the categories, by line and pos, run through a sequence (0.8 each); n_direct: pairs of a source and a sink on a later line with no sanitizer on a line
+    strictly between (0.95 each); risk_score at most 1. Pairs are counted, not made.
+    """
+    order = Window.partitionBy(key).orderBy("line", "pos")
+    category = lambda i: F.lead("category", i).over(order) if i else F.col("category")
+    runs = [reduce(lambda a, b: a & b, [F.coalesce(category(i) == c, F.lit(False)) for i, c in enumerate(s)]) for s in sequences or FLOW_SEQUENCES]
+    n = reduce(lambda a, b: a + b, [r.cast("int") for r in runs])
+    upto = Window.partitionBy(key).orderBy("line").rangeBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(key).orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    is_sink = F.when(F.col("category") == "sink", 1).otherwise(0)
+    rows = tokens.withColumn("_n", n).withColumn("_upto", F.sum(is_sink).over(upto)).withColumn("_all", F.sum(is_sink).over(Window.partitionBy(key)))
+    rows = rows.withColumn("_guard", F.min(F.when(F.col("category") == "sanitizer", F.struct("line", "_upto"))).over(below))
+    direct = F.when(F.col("category") == "source", F.coalesce(F.col("_guard._upto"), F.col("_all")) - F.col("_upto")).otherwise(0)
+    out = rows.groupBy(key).agg(F.sum("_n").alias("n_sequences"), F.sum(direct).alias("n_direct"))
+    return out.withColumn("risk_score", F.round(F.least(F.lit(1.0), F.col("n_sequences") * 0.8 + F.col("n_direct") * 0.95), 4))
+
+
 def weighted_score(files: DataFrame, catalog: list[Pattern], *, path: str = "path", content: str = "content") -> DataFrame:
     """(path, score, hits): matches of all patterns times their weights."""
     counts = [F.regexp_count(content, F.lit(p.regex)) for p in catalog]
