@@ -66,7 +66,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The fixed patterns' spans, leftmost and non-overlapping within a kind; those that fail their check are dropped without another try."""
     out = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):

@@ -21,7 +21,7 @@ def brute_base(text):
     for kind, pattern in PATTERNS.items():
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m.group())
-            good = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False, "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            good = {"email": True, "ip": all(re.fullmatch(r"0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])", x) for x in m.group().split(".")) if kind == "ip" else False, "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
             if good:
                 out.append((kind, *m.span()))
     return sorted(out, key=lambda s: (s[1], list(PATTERNS).index(s[0])))
@@ -35,6 +35,17 @@ def test_base_spans():
         assert pii.base_spans(text) == brute_base(text), text
 
 
+@pytest.mark.parametrize("zeros", [5_000, 200_000])
+def test_parts_of_many_zeros_are_numbers(zeros):
+    for text in ("0" * zeros + "1.2.3.4", "1.2.3." + "0" * zeros + "255", "1.2." + "0" * zeros + ".4"):
+        assert pii.base_spans(text) == [("ip", 0, len(text))]
+        assert zeros > 5_000 or brute_base(text) == [("ip", 0, len(text))]  # the patterns themselves take quadratic time
+        assert ("ip", 0, len(text)) in pii.spans_of(text, pii.SemiCrf())[1]
+    for text in ("0" * zeros + "256.2.3.4", "9" * zeros + ".2.3.4"):
+        assert pii.base_spans(text) == []
+        assert zeros > 5_000 or brute_base(text) == []
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.luhn("79927398713")
 
