@@ -16,6 +16,7 @@ from siftkite.llm.records import write_and_read
 from siftkite.llm.sharding import stratified_shards
 from siftkite.llm.simhash import near_duplicates
 from siftkite.llm.urlfilter import host_of, judge, suffixes
+from siftkite.llm.warc import write_and_read as archive_round_trip
 from siftkite.llm.winnow import edited_fingerprints, likeness, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -118,9 +119,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+f as (select page_id, octet_length(encode(payload)) as n, sha256(payload) as digest, min(page_id) over (partition by payload) as smallest from p)
+select page_id, n as payload_bytes, digest as payload_digest,
+    case when n < 100 or smallest is null or page_id = smallest then 'response' else 'revisit' end as record_type,
+    case when n < 100 or smallest is null or page_id = smallest then null else smallest end as refers_to
+from f
+"""
+
+
+QUERIES = (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii, op12_warc)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urlfilter": OP8_SQL}
+    return {"op8_urlfilter": OP8_SQL, "op12_warc": OP12_SQL}
