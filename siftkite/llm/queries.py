@@ -10,6 +10,7 @@ from siftkite.llm.common import documents
 from siftkite.llm.decontam import find_leaks
 from siftkite.llm.langid import language_id
 from siftkite.llm.lmscore import lm_scores
+from siftkite.llm.merge import merge_edited
 from siftkite.llm.packing import pack_documents
 from siftkite.llm.pii import find_pii
 from siftkite.llm.records import write_and_read
@@ -134,7 +135,12 @@ from f
 """
 
 
-QUERIES = (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii, op12_warc)
+def op13_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merge_edited(documents(spark, sf_dir))
+    return out.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
+
+
+QUERIES = (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii, op12_warc, op13_merge)
 
 
 def queries() -> dict:
