@@ -16,6 +16,7 @@ from siftkite.llm.pii import find_pii
 from siftkite.llm.records import write_and_read
 from siftkite.llm.sharding import stratified_shards
 from siftkite.llm.simhash import near_duplicates
+from siftkite.llm.trie import rebuilt_trie
 from siftkite.llm.urlfilter import host_of, judge, suffixes
 from siftkite.llm.warc import write_and_read as archive_round_trip
 from siftkite.llm.winnow import edited_fingerprints, likeness, written
@@ -120,11 +121,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: CTEs: bits.t is the table of CRC-32, for `_crc32`.
+CRC_BITS = "bits as (select list(v order by n) as t from (select n, list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, n) as v from range(256) r(n)))"
+
+
+def _crc32(ascii_text: str) -> str:
+    return f"xor(list_reduce([ord(y)::bigint for y in string_split({ascii_text}, '')], lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+OP11_SQL = f"""
+with {CRC_BITS},
+turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+own as (select conv_id, list({{r: role, t: text}} order by turn nulls first, md5(octet_length(encode(role)) || ':' || role || text)) as s from turns group by conv_id),
+asked as (select conv_id, s, {_crc32("conv_id::varchar")} % 9 as h from own, bits),
+rebuilt as (select a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) as s from asked a left join own b on b.conv_id = a.conv_id - a.conv_id % 5),
+steps as (select conv_id, s, unnest(range(0, len(s) + 1)) as depth from rebuilt),
+nodes as (
+    select s[1:depth] as path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(case when len(s) = depth then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256
+    from steps group by 1),
+saving as (select *, case when depth = 0 then 0 else (n_convs - 1) * octet_length(encode(path[depth].t)) end as saved from nodes),
+children as (select path[1:depth - 1] as path, count(*) as n from nodes where depth > 0 group by 1),
+above as (select path, saved, depth as at, unnest(range(0, depth + 1)) as up from saving),
+subtrees as (select a.path[1:a.up] as path, sum(a.saved)::bigint as saved, count(*) filter (c.n is null) as leaves from above a left join children c on c.path = a.path group by 1)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children, s.leaves as n_leaves, s.saved as saved_tokens, n.ends_sha256
+from nodes n join subtrees s on s.path = n.path left join children c on c.path = n.path left join nodes p on n.depth > 0 and p.path = n.path[1:n.depth - 1]
+"""
+
 OP12_SQL = """
 with p as (select page_id, coalesce(html, '') as payload from pages),
 f as (select page_id, octet_length(encode(payload)) as n, sha256(payload) as digest, min(page_id) over (partition by payload) as smallest from p)
@@ -140,7 +173,7 @@ def op13_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
 
 
-QUERIES = (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii, op12_warc, op13_merge)
+QUERIES = (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii, op11_prefix_trie, op12_warc, op13_merge)
 
 
 def queries() -> dict:
@@ -148,4 +181,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urlfilter": OP8_SQL, "op12_warc": OP12_SQL}
+    return {"op8_urlfilter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL}
