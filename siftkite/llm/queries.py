@@ -173,6 +173,60 @@ def op13_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
 
 
+def _merged(table: str, kind: str) -> str:
+    """Units of `table` (doc_id, k, b, l, r; null: absent) with their merged state m and verdict v."""
+    return f"""
+    select *, case when l is not distinct from r then l when r is not distinct from b then l when l is not distinct from b then r else b end as m,
+        case when l is not distinct from b and r is not distinct from b then null
+            when l is not distinct from r or l is not distinct from b or r is not distinct from b then 'clean' else {kind} end as v,
+        l is distinct from b as lc, r is distinct from b as rc
+    from {table}"""
+
+
+def _edit(code: str, value: str, emptied: str) -> str:
+    return f"case {code} when 0 then {emptied} when 1 then {value} || '!' when 2 then {value} || '?' else {value} end"
+
+
+OP13_SQL = f"""
+with {CRC_BITS},
+docs as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+split as (select doc_id, string_split(text, chr(10)) as x from docs),
+lines as (select doc_id, unnest(range(0, len(x))) as k, unnest(x) as line from split),
+line_codes as (select doc_id, k, line, {_crc32("'L:' || doc_id || ':' || k")} % 11 as lc, {_crc32("'R:' || doc_id || ':' || k")} % 11 as rc from lines, bits),
+line_units as (select doc_id, 2 * k as k, line as b, {_edit("lc", "line", "null")} as l, {_edit("rc", "line", "null")} as r from line_codes),
+gap_units as (select doc_id, 2 * k + 1 as k, cast(null as varchar) as b, case lc when 3 then '!' when 4 then '?' end as l, case rc when 3 then '!' when 4 then '?' end as r from line_codes),
+row_codes as (
+    select doc_id, text, lang, source, {", ".join(_crc32(f"'{b}:' || doc_id || ':{c}'") + f" % 11 as {b}_{c}" for b in "LR" for c in ("row", "lang", "source"))}
+    from docs, bits),
+column_units as (
+    select doc_id, -2 as k, lang as b, {_edit("L_lang", "lang", "''")} as l, {_edit("R_lang", "lang", "''")} as r from row_codes
+    union all select doc_id, -1, source, {_edit("L_source", "source", "''")}, {_edit("R_source", "source", "''")} from row_codes),
+units as (
+    {_merged("column_units", "'edit_edit'")}
+    union all {_merged("line_units", "case when l is null or r is null then 'edit_delete' else 'edit_edit' end")}
+    union all {_merged("gap_units", "'insert_insert'")}),
+folded as (
+    select doc_id, bool_or(lc) as lc, bool_or(rc) as rc, max(m) filter (k = -2) as lang, max(m) filter (k = -1) as source, coalesce(string_agg(m, chr(10) order by k) filter (k >= 0), '') as text,
+        count(*) filter (v = 'clean') as clean, count(*) filter (v = 'edit_edit') as ee, count(*) filter (v = 'edit_delete') as ed, count(*) filter (v = 'insert_insert') as ii
+    from units group by doc_id),
+kept as (
+    select f.*, r.lang as base_lang, r.source as base_source, r.text as base_text, L_row = 0 or R_row = 0 as gone, (L_row = 0 and R_row <> 0 and f.rc) or (R_row = 0 and L_row <> 0 and f.lc) as clash
+    from folded f join row_codes r on r.doc_id = f.doc_id),
+additions as (
+    select -1 - doc_id as doc_id, 'L' as branch, case L_row when 3 then '!' else '?' end as text, lang, source from row_codes where L_row in (3, 4)
+    union all select -2 - doc_id, 'R', case R_row when 3 then '!' else '?' end, lang, source from row_codes where R_row in (3, 4)),
+added as (
+    select doc_id, count(distinct {{t: text, l: lang, s: source}}) = 1 as one, min(text) as text, min(lang) as lang, min(source) as source
+    from additions where doc_id not in (select doc_id from docs) group by doc_id)
+select doc_id, case when clash then base_lang when not gone then lang end as lang, case when clash then base_source when not gone then source end as source,
+    case when clash then sha256(base_text) when not gone then sha256(text) end as text_sha256,
+    case when gone then (not clash)::int else clean end as n_clean, case when gone then 0 else ee end as n_edit_edit, case when gone then clash::int else ed end as n_edit_delete, case when gone then 0 else ii end as n_insert_insert
+from kept
+union all
+select doc_id, case when one then lang end, case when one then source end, case when one then sha256(text) end, one::int, 0, 0, (not one)::int from added
+"""
+
+
 QUERIES = (op1_records, op2_simhash, op3_sharding, op4_winnowing, op5_decontamination, op6_language, op7_lm, op8_urlfilter, op9_packing, op10_pii, op11_prefix_trie, op12_warc, op13_merge)
 
 
@@ -181,4 +235,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urlfilter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL}
+    return {"op8_urlfilter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL, "op13_merge": OP13_SQL}

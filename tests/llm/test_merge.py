@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import oracle
 import pytest
 
 from siftkite.llm import merge, queries
@@ -109,4 +110,6 @@ def test_own_branches(spark):
 def test_op13(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     want = Counter((i, lang, source, text if text is None else hashlib.sha256(text.encode()).hexdigest(), *n) for i, lang, source, text, *n in brute(rows).elements())
-    assert Counter(map(tuple, queries.op13_merge(spark, sf_dir).collect())) == want
+    out = queries.op13_merge(spark, sf_dir)
+    assert Counter(map(tuple, out.collect())) == want
+    assert oracle.differences(out, oracle.connect(sf_dir), queries.OP13_SQL) == ""
