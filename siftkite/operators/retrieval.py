@@ -172,62 +172,24 @@ def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float) -> Dat
     those words, the rare ones, are joined on. Equal word sets are joined once, as one, under their smallest key; `similar_classes` has the rows of each.
     """
     sets = word_sets(docs, key, text).groupBy("w").agg(F.min(key).alias("id"))
-    count = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word")).join(count, "word")
+    return similar_sets(sets, threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float, *, reach: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs of sets (id, w: distinct words) above the threshold, or with `reach` at it. With a column `by` only sets of equal `by` meet."""
+    sets = sets if "by" in sets.columns else sets.withColumn("by", F.lit(0))
+    count = sets.select("by", F.explode("w").alias("word")).groupBy("by", "word").agg(F.count("*").alias("df"))
+    count = count.select(F.col("by").alias("_by"), F.col("word").alias("_word"), "df")
+    ranked = sets.select("id", "by", F.size("w").alias("n"), F.explode("w").alias("word")).join(count, F.col("by").eqNullSafe(F.col("_by")) & (F.col("word") == F.col("_word")))
     order = Window.partitionBy("id").orderBy("df", "word")
-    prefix = ranked.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "word")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "word")
-    pairs = prefix.join(other, "word").filter((F.col("id") < F.col("b")) & (F.col("n") >= F.col("m") * threshold) & (F.col("m") >= F.col("n") * threshold)).select(F.col("id").alias("a"), "b").distinct()
+    prefix = ranked.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1).select("id", "by", "n", "word")
+    other = prefix.select(F.col("id").alias("b"), F.col("by").alias("other_by"), F.col("n").alias("m"), F.col("word").alias("other"))
+    pairs = prefix.join(other, (F.col("word") == F.col("other")) & F.col("by").eqNullSafe(F.col("other_by")))
+    pairs = pairs.filter((F.col("id") < F.col("b")) & (F.col("n") >= F.round(F.col("m") * threshold, 9)) & (F.col("m") >= F.round(F.col("n") * threshold, 9))).select(F.col("id").alias("a"), "b").distinct()
     full = sets.select("id", "w")
     rows = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
     s = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return rows.select("a", "b", s.alias("similarity")).filter(F.col("similarity") > threshold)
-
-
-def greedy_clusters(df: DataFrame, group: str, key: str, text: str, threshold: float) -> DataFrame:
-    """(group, key, seed): in key order each row joins the first seed of its group that it resembles, else becomes one. Order-dependent by definition.
-
-    Groups go to tasks whole, so they must be small by nature (a file's findings, a type's knowledge); `similar_pairs` scales without that.
-    """
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}, seed {df.schema[key].dataType.simpleString()}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple[object, set]] = []
-        out = []
-        for g, k, t in pdf.sort_values(key)[[group, key, text]].itertuples(index=False):
-            own = set((t or "").lower().split())
-            seed = next((s for s, w in seeds if (own | w) and len(own & w) / len(own | w) > threshold), None)
-            if seed is None:
-                seeds.append((k, own))
-                seed = k
-            out.append((g, k, seed))
-        return pd.DataFrame(out, columns=[group, key, "seed"])
-
-    return df.select(group, key, text).groupBy(group).applyInPandas(run, schema)
-
-
-def vote_clusters(votes: DataFrame) -> DataFrame:
-    """(file, pos, seed): first-fit clusters of a file's votes against each cluster's first one: the same finding, or lines at most 5 apart with words alike (.6), or at most 2 apart."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple] = []
-        out = []
-        for file, pos, line, finding, text in pdf.sort_values("pos")[["file", "pos", "line", "finding_id", "description"]].itertuples(index=False):
-            words = set((text or "").lower().split())
-            seed = None
-            for s, at, own, w in seeds:
-                near = line < 0 or at < 0 or abs(line - at) <= 5
-                alike = bool(words and w) and len(words & w) / len(words | w) >= 0.6
-                if finding == own or (near and (alike or (line >= 0 and at >= 0 and abs(line - at) <= 2))):
-                    seed = s
-                    break
-            if seed is None:
-                seeds.append((pos, line, finding, words))
-                seed = pos
-            out.append((file, pos, seed))
-        return pd.DataFrame(out, columns=["file", "pos", "seed"])
-
-    return votes.select("file", "pos", "line", "finding_id", "description").groupBy("file").applyInPandas(run, "file string, pos long, seed long")
+    return rows.select("a", "b", s.alias("similarity")).filter(F.col("similarity") >= threshold if reach else F.col("similarity") > threshold)
 
 
 def sequence_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:

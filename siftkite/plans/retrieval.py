@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftkite.operators import clusters as C
 from siftkite.operators import findings as O
 from siftkite.operators import retrieval as R
 from siftkite.plans.registry import query
@@ -113,13 +114,13 @@ def _(t):
 
 @query("greedy_clusters")
 def _(t):
-    return R.greedy_clusters(t.conversations, "conv_id", "turn", "text", 0.3)
+    return C.greedy_clusters(t.conversations, "conv_id", "turn", "text", 0.3)
 
 
 @query("vote_clusters")
 def _(t):
     f = t.finding.select(F.col("file_path").alias("file"), "pos", F.col("line").cast("long").alias("line"), F.concat(F.lit("F"), (F.col("pos") % 97).cast("string")).alias("finding_id"), "description")
-    return R.vote_clusters(f)
+    return C.vote_clusters(f)
 
 
 @query("snippet_similarity")

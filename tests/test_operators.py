@@ -169,12 +169,6 @@ def test_fusion_divides_by_the_candidates_best(spark):
     assert R.added_words("find xss", R.expand_query("find xss")) == ["OR", "cross-site", "scripting"]
 
 
-def test_greedy_clusters_depend_on_order(spark):
-    rows = [("g", 1, "a b c d"), ("g", 2, "b c d e"), ("g", 3, "c d e f"), ("h", 4, "a b c d")]
-    got = {r.k: r.seed for r in R.greedy_clusters(spark.createDataFrame(rows, "g string, k long, t string"), "g", "k", "t", 0.55).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
-
-
 def test_sequence_similarity(spark):
     rows = [("abc", "abd"), ("", ""), (None, "x")]
     got = [r.ratio for r in R.sequence_similarity(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect()]
@@ -240,12 +234,6 @@ def test_upsert_and_replace(spark):
     assert sorted(r.v for r in W.insert_ignore(old, new, ["k"], "n").collect()) == ["a", "b", "c"]
 
 
-def test_vote_clusters(spark):
-    rows = [("f", 1, 10, "A", "x y z"), ("f", 2, 12, "B", "q"), ("f", 3, 15, "C", "x y z"), ("f", 4, 40, "A", "n"), ("f", 5, 18, "D", "m")]
-    got = {r.pos: r.seed for r in R.vote_clusters(spark.createDataFrame(pd.DataFrame(rows, columns=["file", "pos", "line", "finding_id", "description"]))).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
-
-
 def test_code_blocks_and_features(spark):
     code = "import a\n\ndef f(x):\n    return x\n\nclass B:\n    def g(self):\n        pass\n"
     assert one(spark, T.code_blocks(F.col("t")), t=code) == ["import a", "def f(x):\n    return x", "class B:\n    def g(self):\n        pass"]
