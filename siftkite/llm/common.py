@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +11,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftkite.staging import drop_staged, scratch, shared_dir, stage
+
+__all__ = ["drop_staged", "scratch", "shared_dir", "stage"]
+
 #: Bytes that separate words: [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -25,60 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a folder made once. A cluster must name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            master = spark.sparkContext.master
-            if not (master == "local" or master.startswith("local[")):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siftkite-"))
-            made = spark.sparkContext.getCheckpointDir()
-        base = made
-    return base.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/siftkite-{name}-{uuid.uuid4().hex}"
-
-    def clean() -> None:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session may have ended before; the folder's owner clears it then
-            pass
-
-    atexit.register(clean)
-    return path
-
-
-def stage(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. Lost executors don't lose it.
-
-    `replaces`: a staged table that nothing needs once this one is written; its files are deleted then.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    drop_staged(replaces)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def drop_staged(table: DataFrame | None) -> None:
-    """Delete the files of a staged table that nothing needs any more."""
-    if table is not None and (path := getattr(table, "_staged_at", None)):
-        delete_path(table.sparkSession, path)
-
-
 #: Bits of the map that `marks_of` makes: 8 MB, the bound of what its joins broadcast.
 MARK_BITS = 1 << 26
 #: Bits that bitmap_construct_agg puts into one binary.

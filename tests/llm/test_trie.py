@@ -6,7 +6,8 @@ from collections import Counter
 import oracle
 import pytest
 
-from siftkite.llm import queries, scan, trie
+from siftkite import scan
+from siftkite.llm import queries, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int, rank string"
 
