@@ -179,17 +179,6 @@ def tiered(files: DataFrame, tiers: list[tuple[str, str]], path: str, default: s
     return files.withColumn("tier", tier).withColumn("tier_order", place)
 
 
-def approx_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, radius: float, *, bucket: float = 2.0, tables: int = 4) -> DataFrame:
-    """(query, key, distance) of pairs within an L2 radius by random-projection LSH: approximate, may miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = vectors.select(key, array_to_vector(vector).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(a)
-    pairs = model.approxSimilarityJoin(queries.select(key, array_to_vector(vector).alias("features")), a, radius, "distance")
-    return pairs.select(F.col(f"datasetA.{key}").alias("query"), F.col(f"datasetB.{key}").alias(key), "distance")
-
-
 def sampled_agreement(samples: DataFrame, keys: list[Column], by: str) -> DataFrame:
     """by, n, agreement: the largest group under any of the keyings, over all samples."""
     sizes = None

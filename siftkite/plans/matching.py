@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftkite.operators import matching as M
+from siftkite.operators import neighbours as N
 from siftkite.operators import patterns as P
 from siftkite.operators import usage as U
 from siftkite.plans.registry import query
@@ -99,7 +100,8 @@ def _(t):
 
 @query("approx_neighbours")
 def _(t):
-    return M.approx_neighbours(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding", 1.0)
+    index = N.build_index(t.embeddings)
+    return N.search(index, t.embeddings.filter("vec_id % 50 = 0")).select("query", F.col("key").alias("vec_id"), "distance", "nth")
 
 
 @query("sample_agreement", "with a as (select finding_id, max(n) as m from (select finding_id, decision, count(*) n from vote group by 1, 2) group by 1), b as (select finding_id, max(n) as m from (select finding_id, severity, count(*) n from vote group by 1, 2) group by 1) select a.finding_id, c.n, greatest(a.m, b.m) / c.n as agreement from a join b on a.finding_id = b.finding_id join (select finding_id, count(*) n from vote group by 1) c on c.finding_id = a.finding_id")
