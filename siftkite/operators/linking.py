@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftkite.operators.containment import containing
+from siftkite.staging import stage
+
 
 def supplement(current: DataFrame, extra: DataFrame, threshold: int) -> DataFrame:
     """current, and where it has fewer than `threshold` rows extra too. The columns are those of current."""
@@ -39,13 +42,11 @@ def reachable(sinks: DataFrame, entries: DataFrame, calls: DataFrame, *, path: s
 def first_match(signals: DataFrame, findings: DataFrame, *, key: str, location: str, kind: str, order: str) -> DataFrame:
     """(key, the matched finding's order) of each signal: the first finding by `order` at its location, or whose kind contains the signal's.
 
-    Kinds are compared as distinct values, through all parts of each finding kind, so the work follows the number of kinds.
+    Kinds are compared as distinct values, by the rarest part of the signal's (`containing`). An empty kind is matched by location only.
     """
-    kinds = findings.select(F.lower(kind).alias("whole")).filter("whole is not null").distinct()
-    starts = F.sequence(F.lit(1), F.length("whole"))
-    parts = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("whole") - i + 1), lambda n: F.substr("whole", i, n)))
-    parts = kinds.filter("whole <> ''").select("whole", F.explode(F.array_distinct(F.flatten(parts))).alias("part"))
-    of_kind = findings.groupBy(F.lower(kind).alias("whole")).agg(F.min(order).alias("at")).join(parts, "whole").groupBy("part").agg(F.min("at").alias("by_kind"))
+    kinds = stage(findings.filter(F.col(kind).isNotNull()).groupBy(F.lower(kind).alias("id")).agg(F.min(order).alias("at")), "kinds")
+    parts = containing(kinds.select("id", F.col("id").alias("text")), signals.select(F.lower(kind).alias("pattern")))
+    of_kind = parts.join(kinds, "id").groupBy(F.col("pattern").alias("part")).agg(F.min("at").alias("by_kind"))
     of_place = findings.filter(F.col(location).isNotNull()).groupBy(F.col(location).alias("place")).agg(F.min(order).alias("by_place"))
     out = signals.join(of_place, F.col(location) == F.col("place"), "left").join(of_kind, F.lower(kind) == F.col("part"), "left")
     return out.select(key, F.least("by_place", "by_kind").alias("matched"))
@@ -81,7 +82,7 @@ def resolve_references(references: DataFrame, entities: DataFrame, *, scope: str
     """(key, name) of what each reference (scope, key, reference) stands for among its scope's entities (type, name, seen, pos), null if for nothing.
 
     In turn: for a pronoun the last seen of its type among the `recent` last ones, of equals the first by pos; the entity of that very name, by type in the order of ENTITY_TYPES, then any
-    by pos, then whatever the case; the first by pos whose name contains the reference. The last stage meets through all parts of the names, kept where a reference asks for them.
+    by pos, then whatever the case; the first by pos whose name contains the reference. The last stage is a containment join by the rarest part of a reference.
     """
     asked = references.select(F.col(scope).alias("_s"), F.col(key).alias(key), "reference").withColumn("_low", F.lower(F.trim("reference")))
     known = entities.select(F.col(scope).alias("_s"), "type", "name", "seen", "pos")
@@ -95,11 +96,11 @@ def resolve_references(references: DataFrame, entities: DataFrame, *, scope: str
     rows = rows.join(exact, ["_s", "reference"], "left").withColumn("_fold", F.lower("reference")).join(folded, ["_s", "_fold"], "left")
     rows = rows.withColumn("_found", F.coalesce("by_pronoun", "by_name", "by_fold"))
     open_ = rows.filter(F.col("_found").isNull() & F.col("_low").isNotNull()).select("_s", "_low").distinct()
-    size = F.length("whole")
-    names = known.groupBy("_s", F.lower("name").alias("whole")).agg(F.min(F.struct("pos", "name")).alias("first"))
-    wanted = open_.groupBy("_s").agg(F.collect_set(F.length("_low")).alias("_sizes"))  # lengths, no more than a name's
-    parts = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= size), lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.substr("whole", i + 1, n))))
-    held = names.join(wanted, "_s").select("_s", "first", F.explode(F.array_distinct(parts)).alias("_low")).groupBy("_s", "_low").agg(F.min("first").alias("_first"))
+    names = known.filter("name is not null").groupBy("_s", F.lower("name").alias("whole")).agg(F.min(F.struct("pos", "name")).alias("first"))
+    names = stage(names.withColumn("id", F.monotonically_increasing_id()), "names")
+    held = containing(names.select("id", F.col("whole").alias("text"), F.col("_s").alias("by")), open_.select(F.col("_low").alias("pattern"), F.col("_s").alias("by")))
+    held = held.join(names.select("id", "first"), "id").groupBy(F.col("by").alias("_s"), F.col("pattern").alias("_low")).agg(F.min("first").alias("_first"))
+    held = held.unionByName(names.groupBy("_s").agg(F.min("first").alias("_first")).withColumn("_low", F.lit("")))  # the empty reference is in every name
     rows = rows.join(held, ["_s", "_low"], "left")
     return rows.select(key, F.coalesce("_found", F.col("_first.name")).alias("name"))
 

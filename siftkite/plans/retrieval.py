@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftkite.operators import clusters as C
+from siftkite.operators import containment as K
 from siftkite.operators import findings as O
 from siftkite.operators import retrieval as R
 from siftkite.plans.registry import query
@@ -162,3 +163,25 @@ def _(t):
 def _(t):
     hit = t.finding.filter("cwe_id is not null and confidence >= 0.6").withColumn("similarity", F.round("confidence", 6))
     return O.first_of(hit, ["cwe_id"], [F.desc("similarity"), "pos"]).orderBy(F.desc("similarity"), "pos").limit(5).select("cwe_id", "pos", "similarity")
+
+
+_KNOWLEDGE = "k as (select 'K' || p_partkey::varchar as id, p_name || ' ' || p_type || ' ' || p_size::varchar || case when p_size % 3 = 0 then ' ' || p_brand else '' end as content from part), v as (select 'P' || min(p_partkey)::varchar as id, value from (select p_partkey, p_type as value from part union all select p_partkey, p_brand from part union all select p_partkey, p_name[1:7] from part) group by value)"
+_WORDS = "select content, id, list_sort(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+'))) as w from k"
+
+
+@query(
+    "knowledge_edges",
+    f"""with {_KNOWLEDGE}, s as ({_WORDS}), c as (select w, min(id) as id from s where len(w) > 0 group by w),
+    p as (select a.id as a, b.id as b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as weight from c a join c b on a.id < b.id
+        union all select c.id, s.id, 1.0::double from c join s on s.w = c.w and s.id <> c.id),
+    e as (select a as source, b as target, 'related_to' as relationship, weight, 'related' as short from p where weight > 0.5 union all select b, a, 'related_to', weight, 'related' from p where weight > 0.5
+        union all select k.id, v.id, 'contains_pattern', 0.8::double, 'contains' from k join v on contains(k.content, v.value))
+    select sha256(source || '_' || target || '_' || short)[1:16] as edge_id, source, target, relationship, weight from e""",
+)
+def _(t):
+    part = t.part
+    content = F.concat(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), F.col("p_brand"))).otherwise(""))
+    knowledge = part.select(F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("id"), content.alias("content"))
+    values = part.select("p_partkey", F.explode(F.array("p_type", "p_brand", F.substring("p_name", 1, 7))).alias("value"))
+    patterns = values.groupBy("value").agg(F.concat(F.lit("P"), F.min("p_partkey").cast("string")).alias("id"))
+    return K.knowledge_edges(knowledge, patterns)
