@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftkite.functions.versions import between, order_key
+from siftkite.functions.versions import order_key
+from siftkite.operators.intervals import stab
 
 
 def cve_summary(cve: DataFrame, cvss: DataFrame, kev: DataFrame, exploit: DataFrame, poc: DataFrame, cve_cwe: DataFrame) -> DataFrame:
@@ -53,15 +54,14 @@ def scan_product(cpe: DataFrame, cvss: DataFrame, kev: DataFrame, vendor: str, p
 def scan_product_version(cpe: DataFrame, targets: DataFrame, *, lexicographic: bool = False) -> DataFrame:
     """Distinct (vendor, product, version, cve_id) whose interval holds the target's version.
 
-    Equi join on vendor and product, the interval as a residual over keys made once for each row; empty bounds are none, bounds count by their type.
+    By `stab`, on keys made once for each distinct row; empty bounds are none, bounds count by their type.
     """
     key = (lambda c: c) if lexicographic else order_key
     low, high = F.nullif(F.col("version_start"), F.lit("")), F.nullif(F.col("version_end"), F.lit(""))
-    kinds = (F.col("version_start_type") != "excluding").alias("_from"), (F.col("version_end_type") == "including").alias("_upto")
-    ranges = cpe.select("vendor", "product", "cve_id", key(low).alias("_low"), key(high).alias("_high"), *kinds).distinct()
-    asked = targets.select("vendor", "product", "version").distinct().withColumn("_v", key(F.col("version")))
-    inside = between(F.col("_v"), F.col("_low"), F.col("_high"), F.col("_from"), F.col("_upto"))
-    return ranges.join(asked, ["vendor", "product"]).filter(inside).select("vendor", "product", "version", "cve_id").distinct()
+    kinds = (F.col("version_start_type") != "excluding").alias("low_inclusive"), (F.col("version_end_type") == "including").alias("high_inclusive")
+    ranges = cpe.select("vendor", "product", "cve_id", key(low).alias("low"), key(high).alias("high"), *kinds).distinct()
+    asked = targets.select("vendor", "product", "version").distinct().withColumn("v", key(F.col("version")))
+    return stab(asked, ranges, ["vendor", "product"]).select("vendor", "product", "version", "cve_id").distinct()
 
 
 def cve_detail(cve: DataFrame, cvss: DataFrame, cve_cwe: DataFrame, cwe: DataFrame, exploit: DataFrame, poc: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftkite.functions import versions as V
+from siftkite.operators import intervals as I
 from siftkite.operators import warehouse as W
 from siftkite.plans.registry import query
 from siftkite.plans.roles import TABLES
@@ -219,17 +220,17 @@ def _(t):
     return W.unified({"exploit": t.exploit.select("cve_id", "platform"), "poc": t.poc.select("cve_id", "stars")})
 
 
-@query("version_conflicts", "select ecosystem, name, list_sort(list_distinct(list(version))) as versions from dependency where dependency_type = 'direct' group by 1, 2 having count(distinct version) > 1")
+@query("version_conflicts", "select ecosystem, name, list_sort(list_distinct(list(version))) as versions from dependency group by 1, 2 having count(distinct version) > 1")
 def _(t):
-    out = t.dependency.filter("dependency_type = 'direct'").groupBy("ecosystem", "name").agg(F.array_sort(F.collect_set("version")).alias("versions"))
+    out = t.dependency.groupBy("ecosystem", "name").agg(F.array_sort(F.collect_set("version")).alias("versions"))
     return out.filter(F.size("versions") > 1)
 
 
-@query("dependency_advisories", f"""with adv as (select distinct product as name, cve_id, version_end from cpe where version_end is not null and vendor = 'vendor3' and cve_id in (select cve_id from kev where exploited))
-    select d.pos, d.name, d.version, a.cve_id from dependency d join adv a on 'product' || substr(d.name, 4) = a.name where d.dependency_type = 'direct' and {_KEY.format("d.version")} < {_KEY.format("a.version_end")}""")
+@query("dependency_advisories", f"""with adv as (select distinct product as name, cve_id, version_end from cpe where version_end is not null and cve_id in (select cve_id from kev where exploited)),
+    d as (select distinct name, version from dependency)
+    select d.name, d.version, a.cve_id from d join adv a on 'product' || substr(d.name, 4) = a.name where {_KEY.format("d.version")} < {_KEY.format("a.version_end")}""")
 def _(t):
     known = t.kev.filter("exploited").select("cve_id")
-    advice = t.cpe.filter("version_end is not null and vendor = 'vendor3'").join(known, "cve_id", "left_semi").select(F.col("product").alias("name"), "cve_id", F.concat(F.lit("<"), "version_end").alias("spec")).distinct()
-    deps = t.dependency.filter("dependency_type = 'direct'").withColumn("product", F.concat(F.lit("product"), F.substring("name", 4, 9)))
-    rows = deps.join(advice.withColumnRenamed("name", "product"), "product")
-    return rows.filter(V.matches(F.col("version"), V.spec_range(F.col("spec")))).select("pos", "name", "version", "cve_id")
+    advice = t.cpe.filter("version_end is not null").join(known, "cve_id", "left_semi").select(F.col("product"), "cve_id", F.concat(F.lit("<"), "version_end").alias("spec")).distinct()
+    deps = t.dependency.select("name", "version").distinct().withColumn("product", F.concat(F.lit("product"), F.substring("name", 4, 9)))
+    return I.affected(deps, advice.withColumn("bounds", V.spec_range(F.col("spec"))), ["product"]).select("name", "version", "cve_id")

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from siftkite.staging import stage
 
 
-def prefix_sums(df: DataFrame, group: str | None, order: Sequence[str], sums: Sequence[str] = (), *, at: str = "at") -> DataFrame:
+def prefix_sums(df: DataFrame, group: str | None, order: Sequence[str], sums: Sequence[str] = (), *, at: str = "at", drop: Sequence[str] = ()) -> DataFrame:
     """df with column `at`, a row's number from 0 within its group in the given order, and for each long column c of `sums` the column before_c: its sum over the group's earlier rows.
 
     Sums wrap around at 64 bits, so sums of hashes are hashes of sets. group: a long column without nulls, None for one group of all rows. Ties in `order` are numbered in any order, but once: the sorted
-    rows are staged. Columns group, order and sums must exist; an empty table gives none.
+    rows are staged. Columns group, order and sums must exist; those of `drop` only sort. An empty table gives none.
     """
     nth = "_nth"
     keys = ([group] if group else []) + list(order)
-    rows = df.withColumn(nth, F.monotonically_increasing_id()).repartitionByRange(*keys, nth).sortWithinPartitions(*keys, nth).drop(nth)
+    rows = df.withColumn(nth, F.monotonically_increasing_id()).repartitionByRange(*keys, nth).sortWithinPartitions(*keys, nth).drop(nth, *drop)
     columns = rows.columns
     made = [at, *[f"before_{c}" for c in sums], "_part", "_first"]
     where = [columns.index(c) for c in sums]
