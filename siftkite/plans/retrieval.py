@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftkite.operators import clusters as C
 from siftkite.operators import containment as K
 from siftkite.operators import findings as O
+from siftkite.operators import lineage as G
 from siftkite.operators import retrieval as R
 from siftkite.plans.registry import query
 
@@ -130,28 +131,33 @@ def _(t):
     return R.sequence_similarity(pairs, "p_name", "o_name").select("p_partkey", "other", "ratio")
 
 
-@query("trace_origin", """with a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem group by 1, 2, 3),
-    s as (select distinct l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var from lineitem),
-    h1 as (select s.file, s.line, s.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from s join a on a.file = s.file and a.var = s.var and a.line < s.line and a.line >= s.line - 50 group by 1, 2, 3),
-    h2 as (select h1.file, h1.line, h1.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from h1 join a on a.file = h1.file and a.var = h1.origin and a.line < h1.at and a.line >= h1.at - 50 group by 1, 2, 3)
-    select *, 1 as hop from h1 union all select *, 2 from h2""")
-def _(t):
+def _trace_sql(scope: str) -> str:
+    """From every use by recursion; `scope`: the least line that a lookup from line u.line of a file may reach."""
+    return f"""select * from (with recursive a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem group by 1, 2, 3),
+    b as (select distinct l_suppkey as file, l_orderkey % 500 as line from lineitem where l_partkey % 7 = 0),
+    places as (select distinct file, line from a),
+    u as (select p.file, p.line, greatest(p.line - 48, 2, {scope}) as least from places p left join b on b.file = p.file and b.line < p.line group by p.file, p.line),
+    n as (select u.file, u.line, a.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from u join a on a.file = u.file and a.line < u.line and a.line >= u.least group by 1, 2, 3),
+    h as (select a.file, a.line, a.var, n.at, n.origin, 1 as hop from a join n on n.file = a.file and n.line = a.line and n.var = a.var
+        union all select h.file, h.line, h.var, n.at, n.origin, h.hop + 1 from h join n on n.file = h.file and n.line = h.at and n.var = h.origin)
+    select * from h) x"""
+
+
+def _traced(t, within_methods: bool):
     l, v = t.lineitem, lambda c: F.concat(F.lit("v"), c.cast("string"))
     at = [F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 500).alias("line"), v(F.col("l_partkey") % 4).alias("var")]
     a = l.groupBy(*at).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, v(F.col("l_orderkey") % 4))).alias("source"))
-    return R.trace_origin(a, l.select(*at).distinct(), depth=2)
+    return G.trace_origin(a, l.select(*at).distinct(), l.filter("l_partkey % 7 = 0").select(*at[:2]).distinct() if within_methods else None)
 
 
-@query("trace_origin_whole", """select * from (with recursive a as (select l_suppkey as file, l_orderkey % 500 as line, 'v' || (l_partkey % 4) as var, min(case when l_linenumber % 2 = 0 then 'v' || (l_orderkey % 4) end) as source from lineitem group by 1, 2, 3),
-    n as (select u.file, u.line, u.var, max(a.line) as at, arg_max(struct_pack(s := a.source), a.line).s as origin from (select distinct file, line, v.var from a, (select distinct var from a) v) u join a on a.file = u.file and a.var = u.var and a.line < u.line and a.line >= u.line - 50 group by 1, 2, 3),
-    h as (select a.file, a.line, a.var, n.at, n.origin, 1 as hop from a join n on n.file = a.file and n.line = a.line and n.var = a.var
-        union all select h.file, h.line, h.var, n.at, n.origin, h.hop + 1 from h join n on n.file = h.file and n.line = h.at and n.var = h.origin)
-    select * from h) x""")
+@query("trace_origin", _trace_sql("coalesce(max(b.line), 0)"))
 def _(t):
-    l, v = t.lineitem, lambda c: F.concat(F.lit("v"), c.cast("string"))
-    at = [F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 500).alias("line"), v(F.col("l_partkey") % 4).alias("var")]
-    a = l.groupBy(*at).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, v(F.col("l_orderkey") % 4))).alias("source"))
-    return R.trace_origin(a, l.select(*at).distinct())
+    return _traced(t, True)
+
+
+@query("trace_origin_whole", _trace_sql("0"))
+def _(t):
+    return _traced(t, False)
 
 
 @query("merge_cluster", "select source, count(*) as n, avg(n_chars) as mean_chars, list_sort(list(distinct lang)) as langs, arg_max(doc_id, doc_id) as last from documents group by 1")

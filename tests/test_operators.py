@@ -261,14 +261,6 @@ def test_typosquats_against_all_pairs(spark):
     assert got == {(n, k) for n in names for k in known if distance(n, k) == 1 or (n != k and n in (k.replace("l", "1"), k.replace("s", "5")))}
 
 
-def test_traces_go_on_to_the_end(spark):
-    rows = [("f", i, f"v{i}", f"v{i - 1}" if i > 1 else None) for i in range(1, 16)]
-    a = spark.createDataFrame(rows, "file string, line int, var string, source string")
-    start = spark.createDataFrame([("f", 16, "v15")], "file string, line int, var string")
-    assert sorted((r.hop, r.at, r.origin) for r in R.trace_origin(a, start).collect()) == [(h, 16 - h, f"v{15 - h}" if h < 15 else None) for h in range(1, 16)]
-    assert R.trace_origin(a, start, depth=2).count() == 2
-
-
 def test_similar_classes_keep_every_row(spark):
     texts = {1: "a b c d", 2: "d C b a", 3: "a a b c d", 4: "a b c d e", 5: "e d c b a", 6: "x y", 7: "", 8: None}
     df = spark.createDataFrame(list(texts.items()), "i long, t string")
