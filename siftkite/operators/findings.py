@@ -177,22 +177,6 @@ def false_positive_rate(df: DataFrame) -> DataFrame:
     return whole.unionByName(df.groupBy("severity").agg(F.count("*").alias("n"), F.bround(100 * F.avg(chance), 2).alias("rate")))
 
 
-def top_share(df: DataFrame, score: str, tie: str, share: float) -> DataFrame:
-    """The max(1, floor(share * n)) rows of greatest score, of equals at the cut the first by `tie`. Null scores come last.
-
-    Counts by score find the cut, so no task sorts the rows; only those with the score at the cut are numbered.
-    """
-    n = df.count()
-    k = max(1, int(share * n))
-    counts = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_s").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = counts.withColumn("_before", before).filter(F.col("_before") < k)
-    rows = df.join(cut, F.col(score).eqNullSafe(F.col("_s")))
-    whole, edge = rows.filter(F.col("_before") + F.col("_n") <= k), rows.filter(F.col("_before") + F.col("_n") > k)
-    edge = edge.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy(tie))).filter(F.col("_before") + F.col("_i") <= k).drop("_i")
-    return whole.unionByName(edge).drop("_s", "_n", "_before")
-
-
 def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key, numbered in column nth."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= k)
@@ -217,10 +201,5 @@ def risk_matrix(df: DataFrame, row: Column, column: Column, columns: list[str])
     return out.na.fill(0)
 
 
-def upper_median(values: Column) -> Column:
-    """Element n // 2 of the sorted array."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

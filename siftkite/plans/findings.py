@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from siftkite.functions import findings as X
 from siftkite.operators import findings as O
+from siftkite.operators import selection as Y
 from siftkite.plans.registry import query
 
 _SEV = "(list_position(['critical','high','medium','low','info'], severity) - 1)"
@@ -232,7 +233,7 @@ def _(t):
 
 @query("top_share", "select pos from (select pos, row_number() over (order by confidence desc, pos) n, count(*) over () c from finding) where n <= greatest(1, floor(0.3 * c))")
 def _(t):
-    return O.top_share(t.finding, "confidence", "pos", 0.3).select("pos")
+    return Y.top_share(t.finding, "confidence", "pos", 0.3).select("pos")
 
 
 @query("top_per_file", "select file_path, pos, nth from (select file_path, pos, row_number() over (partition by file_path order by confidence desc, line, pos) nth from finding) where nth <= 3")
@@ -268,7 +269,12 @@ def _(t):
 
 @query("upper_medians", "select finding_id, list_sort(list(confidence))[len(list(confidence)) // 2 + 1] as median, mode_count from (select *, count(*) over (partition by finding_id) as mode_count from vote) group by finding_id, mode_count")
 def _(t):
-    return t.vote.groupBy("finding_id").agg(O.upper_median(F.collect_list("confidence")).alias("median"), F.count("*").alias("mode_count"))
+    return Y.upper_median(t.vote, ["finding_id"], "confidence").select("finding_id", "median", F.col("n").alias("mode_count"))
+
+
+@query("median_rows", "select finding_id, pos, confidence from (select *, row_number() over (partition by finding_id order by confidence, pos) as i, count(*) over (partition by finding_id) as n from vote) where i = n // 2 + 1")
+def _(t):
+    return Y.row_at(t.vote, ["finding_id"], "confidence", "pos", F.floor(F.col("n") / 2)).select("finding_id", "pos", "confidence")
 
 
 @query("position_weighted", "select finding_id, decision, sum(confidence * (1 + (c - nth) / c)) as weight from (select *, row_number() over (partition by finding_id order by pos) nth, count(*) over (partition by finding_id) c from vote) group by 1, 2")

@@ -63,11 +63,6 @@ def test_votes_and_their_ties(spark):
     assert (d["F2"].weighted, d["F2"].weighted_share, d["F2"].level) == ("REJECTED", 0.0, "unanimous")
 
 
-def test_upper_median(spark):
-    df = spark.createDataFrame([([3.0, 1.0, 2.0, 4.0],), ([5.0],)], "v array<double>")
-    assert [r[0] for r in df.select(O.upper_median(F.col("v"))).collect()] == [3.0, 5.0]
-
-
 def test_round_half_even_and_bands(spark):
     assert one(spark, S.composite({k: F.col("s") for k in S.WEIGHTS}), s=80.0) == 80.0
     assert [one(spark, S.to_cvss(F.col("s")), s=v) for v in (100.0, 80.0, 55.0, 25.0, 1.0, 0.0)] == [10.0, 9.0, 7.0, 4.0, 0.1, 0.0]
