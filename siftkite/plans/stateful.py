@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from siftkite.functions import scoring as S
 from siftkite.operators import usage as U
 from siftkite.plans.registry import query
+from siftkite.streaming import duplicates as D
 from siftkite.streaming import signals as G
 
 _ALLOWED = ", ".join(f"'{a}>{b}'" for a, bs in G.TRANSITIONS.items() for b in bs)
@@ -160,3 +161,8 @@ def _(t):
 @query("json_bag", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def _(t):
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("duplicate_signals")
+def _(t):
+    return D.near_duplicates(t.signal, max_age_s=3 * 86400)
