@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftkite.functions import versions as V
+from siftkite.sources.pieces import read_zip
 
 CVE_ID = r"CVE-\d{4}-\d{4,}"
 _TEXTS = "array<struct<lang:string,value:string>>"
@@ -161,19 +161,10 @@ def list_rules(rules: DataFrame, *, language: str | None = None, category: str |
 
 
 def read_zip_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(archive, member, v) of the JSON members of zip files, v parsed by the schema. An archive is read by one task, member by member."""
-    import pandas as pd
-
-    def members(batches):
-        for pdf in batches:
-            for name, content in pdf[["path", "content"]].itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in sorted(x for x in z.namelist() if x.endswith(".json")):
-                        yield pd.DataFrame([(name, m, z.read(m).decode())], columns=["archive", "member", "text"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    rows = files.mapInPandas(members, "archive string, member string, text string")
-    return rows.select("archive", "member", F.from_json("text", schema).alias("v"))
+    """(archive, member, v) of the JSON members of zip files, v parsed by the schema. Members are read in groups by many tasks; the driver reads the archives' directories."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    paths = [re.sub("^file:/(?=[^/])", "file:///", r.path) for r in files.collect()]
+    return read_zip(spark, sorted(paths), ".json").select(F.col("path").alias("archive"), F.col("name").alias("member"), F.from_json("text", schema).alias("v"))
 
 
 # Languages by extension.
