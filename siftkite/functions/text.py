@@ -29,7 +29,10 @@ def mask(text: Column, visible: int = 4) -> Column:
 
 
 # What stands for a secret in examples.
-PLACEHOLDERS = ["changeme", "change_me", "your_password", "yourpassword", "example", "placeholder", "xxx", "todo", "none", "null", "undefined", "test", "dummy"]
+PLACEHOLDERS = [
+    "xxx", "xxx...", "your_password", "your_secret", "***", "****", "*****", "<secret>", "<password>", "${", "${}", "{{", "}}", "${password}", "${secret}", "changeme", "changepassword", "your-key-here",
+    "xxxxxxxx", "xxxxxxxxxxxxxxxx", "xxxxxxxxxxxxx", "example", "test", "null", "none", "undefined",
+]
 
 
 def is_placeholder(value: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftkite.staging import stage
+
 #: Okapi's usual parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -23,22 +24,22 @@ def tokens(text: Column, *, plain: bool = False) -> Column:
 def bm25(docs: DataFrame, query: list[str], key: str, text: str, *, plain: bool = True, top_k: int = 10, positive: bool = True) -> DataFrame:
     """(key, score) of the best top_k documents; the cut comes first, then scores of 0 and less go.
 
-    Only the query's terms are counted, within each row, so documents are not exploded to words; document frequencies and the mean length are
-    one aggregate over the table. A term in more than half of the documents has a small positive weight, EPSILON times the mean.
+    Only the query's terms are counted, within each row, so documents are not exploded to words; texts are read once, as the counts are staged. Document frequencies and the mean length are
+    one aggregate over them. A term in more than half of the documents has a small positive weight, EPSILON times the mean.
     """
     terms = list(dict.fromkeys(query))
     own = tokens(F.col(text), plain=plain)
     rows = docs.select(key, own.alias("_t")).select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", _equals(t))).alias(f"_f{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("_n").alias("len"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
-    if not stats["n"] or not stats["len"]:
-        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
-    idf = [math.log((stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)) for i in range(len(terms))]
-    floor = EPSILON * abs(sum(idf) / max(1, len(idf)))
-    idf = [x if x >= 0 else floor for x in idf]
+    rows = stage(rows, "terms")
+    have = [F.count_if(F.col(f"_f{i}") > 0) for i in range(len(terms))]
+    idf = [F.log((F.count("*") - d + 0.5) / (d + 0.5)) for d in have]
+    floor = EPSILON * F.abs(sum(idf, F.lit(0.0)) / max(1, len(idf)))
+    stats = rows.agg(F.struct(F.avg("_n").alias("len"), *[F.when(x >= 0, x).otherwise(floor).alias(f"idf{i}") for i, x in enumerate(idf)])).scalar()
+    rows = rows.withColumn("_s", stats).filter("_s.len > 0")
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         f = F.col(f"_f{i}")
-        score = score + query.count(t) * idf[i] * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / stats["len"]))
+        score = score + query.count(t) * F.col(f"_s.idf{i}") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_s.len")))
     out = rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top_k)
     return out.filter("score > 0") if positive else out
 
@@ -115,9 +116,8 @@ def fuse_scores(legs: dict[str, tuple[DataFrame, float]], key: str, top_k: int)
     """
     out = None
     for name, (df, weight) in legs.items():
-        top = df.agg(F.max("score").alias("_m"))
-        most = top.first()[0] or 0.0
-        part = df.select(key, (F.col("score") * (weight / most) if most > 0 else F.lit(0.0)).alias(name))
+        most = df.agg(F.max("score")).scalar()
+        part = df.select(key, F.when(most > 0, F.col("score") * (weight / most)).otherwise(F.lit(0.0)).alias(name))
         out = part if out is None else out.join(part, key, "full_outer")
     total = sum((F.coalesce(n, F.lit(0.0)) for n in legs), F.lit(0.0))
     return out.select(key, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in legs], total.alias("score")).orderBy(F.desc("score"), key).limit(top_k)

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftkite.functions.priorities import WARNING_POINTS
-from siftkite.functions.scoring import lookup
+from siftkite.functions.scoring import cost, lookup
 
 
 def breakdown(usage: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Tokens, calls and mean latency by each dimension and in all, in one pass; level has a bit for each dimension that is summed over, the first highest."""
+    """Tokens, cost by the price of each call's model, calls and latency by each dimension and in all, in one pass; level has a bit for each dimension that is summed over, the first highest."""
     sets = [[F.col(d)] for d in dimensions] + [[]]
     bits = sum((F.grouping(d) * (1 << (len(dimensions) - 1 - i)) for i, d in enumerate(dimensions)), F.lit(0))
-    grouped = usage.groupingSets(sets, *dimensions)
-    return grouped.agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.count("*").alias("calls"), F.avg("latency").alias("latency"), bits.alias("level"))
+    priced = usage.withColumn("_cost", cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens")))
+    return priced.groupingSets(sets, *dimensions).agg(
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.sum("_cost").alias("cost_usd"), F.count("*").alias("calls"), F.sum("latency").alias("latency"), bits.alias("level")
+    )
 
 
 def statistics(usage: DataFrame, by: str) -> DataFrame:
@@ -27,13 +29,25 @@ def statistics(usage: DataFrame, by: str) -> DataFrame:
     return out.withColumn(by, F.coalesce(by, F.lit("all")))
 
 
-def roi(usage: DataFrame) -> DataFrame:
-    """Ratios of tokens to files and successes; a denominator of 0 gives null, or infinity where nothing was found at all."""
-    tokens = F.sum("prompt_tokens")
-    none = F.count_if(F.col("agent") == "nobody")
-    return usage.agg(
-        (tokens / 1000).alias("thousand_tokens"), F.try_divide(tokens, F.countDistinct("file_path")).alias("per_file"), F.try_divide(tokens, F.count_if("success")).alias("per_success"),
-        F.when(none == 0, float("inf")).otherwise(F.lit(0.0)).alias("per_none"),
+def roi(usage: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row of what a scan's calls cost for what they found.
+
+    usage: model, prompt_tokens, completion_tokens, file_path, cache_hit; findings: confirmed, eliminated (a false positive that was ruled out). Costs per finding, confirmed finding and eliminated one are infinite where there is none; without
+    files, tokens or look-ups a ratio is 0. What the cache saves is the tokens of its hits at the mean price of a token.
+    """
+    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
+    spent = usage.agg(
+        F.coalesce(F.sum(cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))), F.lit(0.0)).alias("cost"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.countDistinct("file_path").alias("files"),
+        F.count_if("cache_hit").alias("hits"), F.count_if(~F.col("cache_hit")).alias("misses"), F.coalesce(F.sum(F.when(F.col("cache_hit"), tokens)), F.lit(0)).alias("saved"),
+    )
+    found = findings.agg(F.struct(F.count("*").alias("found"), F.count_if("confirmed").alias("confirmed"), F.count_if("eliminated").alias("eliminated"))).scalar()
+    each = lambda n: F.when(F.col(n) > 0, F.round(F.col("cost") / F.col(n), 8)).otherwise(F.lit(float("inf")))
+    rate = lambda n, d, digits: F.when(F.col(d) > 0, F.round(n / F.col(d), digits)).otherwise(F.lit(0.0))
+    both = spent.withColumn("_f", found).select("*", "_f.*", (F.col("hits") + F.col("misses")).alias("asked"))
+    return both.select(
+        F.round(F.col("cost") / F.greatest("files", F.lit(1)), 8).alias("cost_per_file"), each("found").alias("cost_per_finding"), each("confirmed").alias("cost_per_confirmed"), each("eliminated").alias("cost_per_eliminated"),
+        rate(F.col("found") * 1000, "tokens", 6).alias("findings_per_1k"), rate(F.col("confirmed") * 1000, "tokens", 6).alias("confirmed_per_1k"), rate(F.col("hits"), "asked", 4).alias("hit_rate"),
+        rate(F.col("saved") * F.col("cost"), "tokens", 8).alias("saved_usd"), F.col("found").alias("findings"), "confirmed", "eliminated", F.round("cost", 8).alias("cost_usd"), "tokens",
     )
 
 

@@ -213,8 +213,7 @@ _ENTITIES = "select pos % 23 as scope, case pos % 5 when 0 then 'file' when 1 th
     select q.pos, coalesce(one.name, two.name, three.name) as name from q left join one using (scope, reference) left join two using (scope, reference) left join three using (scope, reference)""",
 )
 def _(t):
-    t.signal.createOrReplaceTempView("signal")
-    entities = t.spark.sql(_ENTITIES)
+    entities = t.over(_ENTITIES, "signal")
     asked = t.vote.select("pos", (F.col("pos") % 29).alias("scope"), _pick(REFERENCES).alias("reference"))
     return L.resolve_references(asked, entities, scope="scope", key="pos")
 

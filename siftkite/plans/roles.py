@@ -5,6 +5,7 @@ Each is one SELECT that Spark and DuckDB read alike, so a query and its SQL star
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +36,6 @@ _NEEDS = {"cve": ["orders"], "cvss": ["orders"], "kev": ["orders"], "exploit": [
 
 def with_roles(sql: str) -> str:
     """The SQL with the roles it names put before it, for DuckDB."""
-    import re
-
     named = set(re.findall(r"\b\w+\b", sql))
     parts = [f"{r} as ({q.replace(' as string)', ' as varchar)')})" for r, q in ROLES.items() if r in named]
     if not parts:
@@ -53,12 +52,16 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:
-            for t in _NEEDS[name]:
-                getattr(self, t).createOrReplaceTempView(t)
-            return self.spark.sql(ROLES[name])
+            return self.over(ROLES[name], *_NEEDS[name])
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         raise AttributeError(name)
 
+    def over(self, sql: str, *names: str) -> DataFrame:
+        """A SELECT whose FROM clauses name tables or roles, run on these and not on the session's views of the names."""
+        for n in names:
+            sql = re.sub(rf"\bfrom {n}\b", f"from {{{n}}}", sql)
+        return self.spark.sql(sql, **{n: getattr(self, n) for n in names})
+
 
 __all__ = ["ROLES", "Tables", "with_roles"]

@@ -55,7 +55,10 @@ def _(t):
     return G.temperature(t.signal, "signal_id", F.lit("2024-01-31").cast("timestamp"), hits=70, days=0.5)
 
 
-@query("cost_breakdown", "select agent, step, model, sum(prompt_tokens + completion_tokens) as tokens, count(*) as calls, avg(latency) as latency, grouping(agent) * 4 + grouping(step) * 2 + grouping(model) as level from usage group by grouping sets ((agent), (step), (model), ())")
+_COST = "round(prompt_tokens / 1000.0::double * case when model like 'gpt-4o-mini%' then 0.00015::double when model like 'gpt-4o%' then 0.005::double when model like 'deepseek%' then 0.00027::double else 0.001::double end + completion_tokens / 1000.0::double * case when model like 'gpt-4o-mini%' then 0.0006::double when model like 'gpt-4o%' then 0.015::double when model like 'deepseek%' then 0.0011::double else 0.002::double end, 10)"
+
+
+@query("cost_breakdown", f"select agent, step, model, sum(prompt_tokens + completion_tokens) as tokens, sum({_COST}) as cost_usd, count(*) as calls, sum(latency) as latency, grouping(agent) * 4 + grouping(step) * 2 + grouping(model) as level from usage group by grouping sets ((agent), (step), (model), ())")
 def _(t):
     return U.breakdown(t.usage, ["agent", "step", "model"])
 
@@ -70,9 +73,17 @@ def _(t):
     return U.statistics(t.usage, "step")
 
 
-@query("roi", "select sum(prompt_tokens) / 1000 as thousand_tokens, sum(prompt_tokens) / count(distinct file_path) as per_file, sum(prompt_tokens) / nullif(count(*) filter (success), 0) as per_success, case when count(*) filter (agent = 'nobody') = 0 then 'Infinity'::double else 0 end as per_none from usage")
+@query(
+    "roi",
+    f"""with u as (select sum({_COST}) as cost, sum(prompt_tokens + completion_tokens) as tokens, count(distinct file_path) as files, count(*) filter (cache_hit) as hits, count(*) as asked, sum(prompt_tokens + completion_tokens) filter (cache_hit) as saved from usage),
+    f as (select count(*) as found, count(*) filter (status = 'CONFIRMED') as confirmed, count(*) filter (status = 'REJECTED') as eliminated from finding)
+    select round(cost / files, 8) as cost_per_file, round(cost / found, 8) as cost_per_finding, round(cost / confirmed, 8) as cost_per_confirmed, round(cost / eliminated, 8) as cost_per_eliminated,
+    round(found * 1000 / tokens, 6) as findings_per_1k, round(confirmed * 1000 / tokens, 6) as confirmed_per_1k, round(hits / asked, 4) as hit_rate, round(saved * cost / tokens, 8) as saved_usd,
+    found as findings, confirmed, eliminated, round(cost, 8) as cost_usd, tokens::bigint as tokens from u, f""",
+)
 def _(t):
-    return U.roi(t.usage)
+    found = t.finding.select(F.coalesce(F.col("status") == "CONFIRMED", F.lit(False)).alias("confirmed"), F.coalesce(F.col("status") == "REJECTED", F.lit(False)).alias("eliminated"))
+    return U.roi(t.usage, found)
 
 
 @query("daily_trend", "select cast(ts as date) as day, count(*) as n from events group by 1")
