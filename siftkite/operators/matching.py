@@ -146,7 +146,11 @@ def fuse_lines(legs: dict[str, tuple[DataFrame, float]]) -> DataFrame:
 
 def merge_keyed(parts: DataFrame, key: str, sums: list[str], flags: list[str], lists: list[str]) -> DataFrame:
     """Sums added, flags or-ed, lists united and sorted, by key."""
-    return parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], *[F.bool_or(c).alias(c) for c in flags], *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists])
+    out = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], *[F.bool_or(c).alias(c) for c in flags])
+    for c in lists:
+        united = parts.select(F.col(key).alias("_key"), F.explode_outer(c).alias("_x")).groupBy("_key").agg(F.array_sort(F.collect_set("_x")).alias(c))
+        out = out.join(united, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return out
 
 
 def incremental(recent: DataFrame, modified: DataFrame, key: str, changed: str, since) -> DataFrame:

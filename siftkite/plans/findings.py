@@ -40,7 +40,7 @@ PLAIN_FILTERS = {
     "filter_score_range": ("confidence between 0.25 and 0.5", lambda t: t.finding.filter(F.col("confidence").between(0.25, 0.5))),
     "filter_hallucinations": ("not (is_hallucination and coalesce(confidence, 1.0) < 0.2)", lambda t: t.finding.filter(~(F.col("is_hallucination") & (F.coalesce("confidence", F.lit(1.0)) < 0.2)))),
     "filter_high_risk": ("severity in ('critical', 'high') and source is not null", lambda t: t.finding.filter(F.col("severity").isin("critical", "high") & F.col("source").isNotNull())),
-    "filter_path_pattern": ("regexp_matches(file_path, 'd[0-4]/F[0-9]+5[.]py$')", lambda t: t.finding.filter(F.col("file_path").rlike("d[0-4]/F[0-9]+5[.]py$"))),
+    "filter_path_pattern": ("regexp_matches(file_path, 'd[0-4]/F[0-9]*[13][.]py$')", lambda t: t.finding.filter(F.col("file_path").rlike("d[0-4]/F[0-9]*[13][.]py$"))),
 }
 for _name, (_where, _fn) in PLAIN_FILTERS.items():
     query(_name, f"select pos, severity, confidence from finding where {_where}")(lambda t, f=_fn: f(t).select("pos", "severity", "confidence"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftkite.plans.roles import Tables, with_roles
 
-MODULES = ("warehouse", "findings", "scalars", "retrieval", "stateful", "matching", "priorities", "rules", "surfaces", "assessments")
+MODULES = ("warehouse", "findings", "scalars", "retrieval", "stateful", "matching", "priorities", "rules", "surfaces", "assessments", "markup")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -81,9 +81,20 @@ def _(t):
     return t.documents.select("doc_id", kind.alias("kind"), T.coverage(F.col("text"), ["the", "und", "que", "der"]).alias("coverage"))
 
 
-@query("tool_severities", "select distinct o_orderpriority, case when contains(o_orderpriority, '1') then 'medium' else 'medium' end as severity from orders")
+_LEVEL = "case pos % 7 when 0 then ' HIGH ' when 1 then 'error' when 2 then 'note' when 3 then cast(pos % 11 as string) when 4 then 'odd' when 5 then severity else 'Warning' end"
+_TOOL = "case when pos % 2 = 0 then 'bandit' else 'scanner' end"
+
+
+@query(
+    "tool_severities",
+    f"""with x as (select distinct {_LEVEL.replace("as string", "as varchar")} as level, {_TOOL} as tool from finding)
+    select level, tool, case when tool = 'bandit' and upper(level) in ('HIGH', 'MEDIUM', 'LOW') then lower(level) when lower(trim(level)) = 'error' then 'high' when lower(trim(level)) = 'warning' then 'medium' when lower(trim(level)) in ('note', 'none') then case lower(trim(level)) when 'note' then 'low' else 'info' end
+        when try_cast(level as double) >= 9 then 'critical' when try_cast(level as double) >= 7 then 'high' when try_cast(level as double) >= 4 then 'medium' when try_cast(level as double) > 0 then 'low' when try_cast(level as double) is not null then 'info'
+        when lower(trim(level)) in ('critical', 'high', 'medium', 'low', 'info') then lower(trim(level)) else 'medium' end as severity from x""",
+)
 def _(t):
-    return t.orders.select("o_orderpriority", X.tool_severity(F.col("o_orderpriority"), F.lit("scanner")).alias("severity")).distinct()
+    rows = t.finding.select(F.expr(_LEVEL).alias("level"), F.expr(_TOOL).alias("tool")).distinct()
+    return rows.withColumn("severity", X.tool_severity(F.col("level"), F.col("tool")))
 
 
 @query("cvss_bands", "select cve_id, case when score is null then 'medium' when score >= 9 then 'critical' when score >= 7 then 'high' when score >= 4 then 'medium' else 'low' end as band from cvss")
@@ -100,14 +111,15 @@ def _(t):
     return t.dependency.select("version", key.alias("key"), (key < V.version_key(F.lit("3.5"))).alias("old")).distinct()
 
 
-_REQ = "case pos % 5 when 0 then '>=1.4, <3' when 1 then '~=2.3.1' when 2 then '==' || version when 3 then '<=' || version else version end"
+_REQ = "case pos % 5 when 0 then '>=1.4, <3' when 1 then '~=2.3.1' when 2 then '==2.5' when 3 then '<=4.1' else '3.7' end"
 
 
 @query("version_specs", f"""with d as (select pos, version, {_REQ} as spec, list_concat({_PARTS.format('version')}, [0,0,0,0,0,0,0,0]::bigint[])[1:8] as k from dependency)
-    select pos, spec, case pos % 5 when 0 then k >= [1,4,0,0,0,0,0,0]::bigint[] and k < [3,0,0,0,0,0,0,0]::bigint[] when 1 then k >= [2,3,1,0,0,0,0,0]::bigint[] and k < [2,4,0,0,0,0,0,0]::bigint[] else true end as fits from d""")
+    select pos, spec, case pos % 5 when 0 then k >= [1,4,0,0,0,0,0,0]::bigint[] and k < [3,0,0,0,0,0,0,0]::bigint[] when 1 then k >= [2,3,1,0,0,0,0,0]::bigint[] and k < [2,4,0,0,0,0,0,0]::bigint[]
+        when 2 then k = [2,5,0,0,0,0,0,0]::bigint[] when 3 then k <= [4,1,0,0,0,0,0,0]::bigint[] else k = [3,7,0,0,0,0,0,0]::bigint[] end as fits from d""")
 def _(t):
     v = F.col("version")
-    spec = F.when(F.col("pos") % 5 == 0, ">=1.4, <3").when(F.col("pos") % 5 == 1, "~=2.3.1").when(F.col("pos") % 5 == 2, F.concat(F.lit("=="), v)).when(F.col("pos") % 5 == 3, F.concat(F.lit("<="), v)).otherwise(v)
+    spec = F.when(F.col("pos") % 5 == 0, ">=1.4, <3").when(F.col("pos") % 5 == 1, "~=2.3.1").when(F.col("pos") % 5 == 2, "==2.5").when(F.col("pos") % 5 == 3, "<=4.1").otherwise("3.7")
     return t.dependency.withColumn("spec", spec).select("pos", "spec", V.matches(v, V.spec_range(F.col("spec"))).alias("fits"))
 
 
@@ -214,10 +226,15 @@ def _(t):
     return t.usage.select("pos", S.cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost"))
 
 
-@query("evidence_confidence")
+@query(
+    "evidence_confidence",
+    """with g as (select rule_id, file_path, count(*) as n, avg(coalesce(confidence, 0.5::double)) as m, coalesce(stddev_pop(coalesce(confidence, 0.5::double)), 0) as d,
+        0.15::double * count(*) filter (length(code_snippet) > 10) + 0.1::double * count(*) filter (file_path not in ('N/A', 'Unknown', '')) as context, 0.15::double * count(*) filter (length(description) > 20) as clarity from finding group by 1, 2)
+    select rule_id, file_path, least(0.95::double, (case when n <= 3 then 0.3::double when n <= 6 then 0.5::double else 0.7::double end * 0.4::double + m * 0.3::double + least(context, 0.3::double) + least(clarity, 0.3::double))
+        * case when d < 0.05::double and m > 0.7::double then 0.85::double else 1 end) as confidence from g""",
+)
 def _(t):
-    item = F.struct(F.col("confidence"), F.col("code_snippet"), F.col("file_path").alias("location"), F.col("description").alias("reason"))
-    return t.finding.groupBy("rule_id", "file_path").agg(F.sort_array(F.collect_list(item)).alias("items")).select("rule_id", "file_path", S.evidence_confidence(F.col("items")).alias("confidence"))
+    return t.finding.groupBy("rule_id", "file_path").agg(S.evidence_score(F.col("confidence"), F.col("code_snippet"), F.col("file_path"), F.col("description")).alias("confidence"))
 
 
 @query("file_scores", "select path, round(round_even(0.3::double * r + 0.25::double + 0.2::double * o, 3), 3) as priority, least(1.0::double, r * case when r > 0.7::double then 1.1::double when r > 0.5::double then 1.05::double else 1 end) as adjusted from (select path, (pos % 11)::double / 10 as r, least(0.7::double, 0.1::double * (pos % 9)) + least(0.3::double, 0.05::double * (pos % 8)) as o from file)")

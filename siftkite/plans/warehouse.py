@@ -81,9 +81,9 @@ def _(t):
     return W.cve_detail(t.cve, t.cvss, t.cve_cwe, t.cwe, t.exploit, t.poc)
 
 
-@query("exploits_of", "select * from exploit where cve_id = 'CVE-2020-1000016'")
+@query("exploits_of", "select * from exploit where cve_id = 'CVE-2020-1000007'")
 def _(t):
-    return W.exploits_of(t.exploit, "CVE-2020-1000016")
+    return W.exploits_of(t.exploit, "CVE-2020-1000007")
 
 
 @query("pocs_of", "select * from poc where cve_id = 'CVE-2020-1000007'")

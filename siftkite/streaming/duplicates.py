@@ -62,6 +62,7 @@ class Place:
 def _keyed(events: DataFrame) -> DataFrame:
     """place: the location in lower case; a signal without one is a place by itself, as nothing is its duplicate."""
     low = F.lower(F.coalesce("location", F.lit("")))
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.select(F.when(low == "", F.concat(F.lit("\0"), F.coalesce("signal_id", F.lit("")))).otherwise(low).alias("place"), "ts", "pos", "signal_id", "description").filter("ts is not null")
 
 
