@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftkite.operators import matching as M
 from siftkite.operators import neighbours as N
 from siftkite.operators import patterns as P
+from siftkite.operators import typed as Z
 from siftkite.operators import usage as U
 from siftkite.plans.registry import query
 
@@ -153,3 +154,10 @@ def _(t):
 def _(t):
     d = U.daily(t.events, "ts").select(F.datediff("day", F.lit("2024-01-01").cast("date")).alias("x"), "n")
     return d.agg(F.count("*").alias("days"), F.regr_slope("n", "x").alias("slope"))
+
+
+@query("typed_merge")
+def _(t):
+    """Every vote of a finding as a nested sample."""
+    json = F.to_json(F.struct("decision", "severity", "confidence", F.array("agent_id").alias("agents"), F.struct("token_cost", F.struct("execution_time_ms").alias("time")).alias("cost")))
+    return Z.merge_typed(t.vote.select("finding_id", "pos", F.col("confidence").alias("weight"), json.alias("json")), "finding_id")

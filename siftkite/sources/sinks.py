@@ -54,12 +54,12 @@ def html(df: DataFrame, title: str, limit: int) -> str:
     return f"<!DOCTYPE html><html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{''.join(f'<th>{escape(c)}</th>' for c in df.columns)}</tr>{rows}</table></body></html>"
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """(result): each finding as a SARIF result in JSON, its fingerprint path:line:rule."""
+def sarif_results(findings: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(keep, result): each finding as a SARIF result in JSON, its fingerprint path:line:rule."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     where = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     print_ = F.struct(F.concat_ws(":", "file_path", "line", "rule_id").alias("primary"))
-    return findings.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(where).alias("locations"), print_.alias("fingerprints"))).alias("result"))
+    return findings.select(*keep, F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(where).alias("locations"), print_.alias("fingerprints"))).alias("result"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
