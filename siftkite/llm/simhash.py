@@ -301,6 +301,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Texts and shingles in a piece of a large candidate group. A task holds two pieces at most.
 PIECE_TEXTS, PIECE_SHINGLES = 4_000, 1_000_000
+#: Sets in a piece of a hot shard.
+PIECE_SETS = 2_000
 #: Prefix hashes in a bucket.
 BUCKET_HASHES = 1_000_000
 #: Longs of a copy's fingerprint, and the differing bits up to which two of them are compared. Sets 0.8 alike differ in 39 of 256 bits on average (deviation 6; the worst small
@@ -432,7 +434,7 @@ def set_prints(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
-    """(shard, doc_id): a shard is the sets that share a prefix hash and are near in size, two or more. Every pair that can be alike is in one."""
+    """(shard, doc_id, hot): a shard is the sets that share a prefix hash and are near in size, two or more. Every pair that can be alike is in one. hot: there are over PIECE_SETS."""
     total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(count, math.ceil(total / 8 / BUCKET_HASHES))
@@ -466,7 +468,7 @@ def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
         _, some = np.unique(sums, return_index=True)
         heads, sizes = heads[some], sizes[some]
         shard = _mixed(h[heads] + n[heads].view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(shard, sizes)), pa.array(ids[gather_runs(heads, sizes)])], names=["shard", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(shard, sizes)), pa.array(ids[gather_runs(heads, sizes)]), pa.array(np.repeat(sizes > PIECE_SETS, sizes))], names=["shard", "doc_id", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -481,34 +483,58 @@ def prefix_members(sets: DataFrame, similarity: float) -> DataFrame:
             yield give(held)
 
     dealt = sets.select("doc_id", "n", "prefix").mapInArrow(lean(deal), "bucket long, hash binary, id binary, n binary")
-    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "shard long, doc_id long")
+    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "shard long, doc_id long, hot boolean")
 
 
 def candidate_links(sets: DataFrame, shards: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that span, within each shard, the classes of sets whose fingerprints are within radius of each other, found by the shard's BK-tree.
 
-    A shard is narrow: 48 bytes a set. Of one with many sets those near its first are linked at once, as copies are; the rest are searched.
+    A shard is narrow: 48 bytes a set. Of one with many sets those near its first are linked at once, as copies are; the rest are searched. Of hot shards each set first meets
+    the shard's first one, in a join; then those that are not near it are the queries, in pieces of PIECE_SETS, and each piece of them meets the tree of each piece of the shard. So a task's unit has two pieces, whatever the shard's size,
+    and a shard of copies of one text has no queries left.
     """
     names = [f"p{k}" for k in range(COPY_PARTS)]
-    count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = shards.join(sets.select("doc_id", *names), "doc_id").select("shard", "doc_id", *names)
-    keyed = keyed.repartition(count, "shard").sortWithinPartitions("shard", "doc_id")
+    shards = stage(shards, "shards")
+    prints = sets.select("doc_id", *names)
+    cold = shards.filter("not hot").join(prints, "doc_id").select("shard", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), "doc_id", *names)
+
+    hot = stage(shards.filter("hot").join(prints, "doc_id").select("shard", "doc_id", *names), "hot")
+    first = hot.groupBy("shard").agg(F.min_by(F.struct("doc_id", *[F.col(p).alias(f"q{p}") for p in names]), "doc_id").alias("f")).select(F.col("shard").alias("of"), F.col("f.doc_id").alias("first"), *[f"f.q{p}" for p in names])
+    gap = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p}"))) for p in names), F.lit(0))
+    met = stage(hot.join(first, F.col("shard") == F.col("of")).select("shard", "doc_id", *names, "first", (gap <= radius).alias("near")), "met", replaces=hot)
+    led = met.filter("near and doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    pieces = lambda n: F.ceil(n / PIECE_SETS).cast("int")
+    cut = met.groupBy("shard").agg(pieces(F.count("*")).alias("trees"), pieces(F.count_if(~F.col("near"))).alias("asks")).filter("asks > 0").select(F.col("shard").alias("of"), "trees", "asks")
+    placed = met.join(cut, F.col("shard") == F.col("of"))
+    piece = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    trees = placed.select("shard", piece("trees", 1).alias("low"), every("asks").alias("high"), F.lit(0).alias("side"), "doc_id", *names)
+    asks = placed.filter("not near").select("shard", every("trees").alias("low"), piece("asks", 2).alias("high"), F.lit(1).alias("side"), "doc_id", *names)
+    return led.unionByName(_tree_links(cold, radius)).unionByName(_tree_links(trees.unionByName(asks), radius))
+
+
+def _tree_links(units: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of the units (shard, low, high) of rows with side, doc_id and fingerprint: of side 1's rows with side 0's, or where there is no side 1 of all."""
+    count = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["shard", "low", "high"]
+    keyed = units.repartition(count, *keys).sortWithinPartitions(*keys, "side", "doc_id")
 
     def give(rows: np.ndarray) -> pa.RecordBatch:
-        groups = np.cumsum(np.concatenate([[False], rows[1:, 0] != rows[:-1, 0]]))
-        a, b = link_rows(groups, np.zeros(len(rows), np.int64), np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius)
-        both = np.unique(np.stack([rows[a, 1], rows[b, 1]], axis=1), axis=0)
+        groups = np.cumsum(np.concatenate([[False], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
+        a, b = link_rows(groups, rows[:, 3], np.ascontiguousarray(rows[:, 5:]).view(np.uint64), radius)
+        both = np.unique(np.stack([rows[a, 4], rows[b, 4]], axis=1), axis=0)
+        both = both[both[:, 0] != both[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            held.append(np.stack([np.asarray(c) for c in batch.columns], axis=1))
+            held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1))
             size += batch.num_rows
-            if size >= 100_000:  # all whole shards so far; the last one may go on
+            if size >= 100_000:  # all whole units so far; the last one may go on
                 rows = np.concatenate(held)
-                if cut := int(np.flatnonzero(rows[:, 0] != rows[-1, 0]).max(initial=-1)) + 1:
+                if cut := int(np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1)).max(initial=-1)) + 1:
                     yield give(rows[:cut])
                 held, size = [rows[cut:]], len(rows) - cut
         if size:

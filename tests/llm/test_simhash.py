@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from siftkite.llm import simhash
@@ -172,7 +173,9 @@ def brute_copies(texts, words=5, similarity=0.8):
     return {i: find(i) for i in sets}
 
 
-def test_copies_of_one_base_meet_it(spark):
+@pytest.mark.parametrize("hot", [2_000, 30])
+def test_copies_of_one_base_meet_it(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "PIECE_SETS", hot)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
     texts = {500: " ".join(base)}
@@ -196,3 +199,30 @@ def test_no_pair_just_alike_is_missed(spark):
         texts |= {2 * g: " ".join(words[:104]), 2 * g + 1: " ".join(words[11:])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {i: i - i % 2 for i in texts}
+
+
+def test_a_hot_shard_of_unrelated_sets_and_copies(spark, monkeypatch):
+    """Sets that share nothing but a shard, a group of copies among them and pairs beyond the first one's reach: the links are those of all pairs, in units of two pieces."""
+    monkeypatch.setattr(simhash, "PIECE_SETS", 50)
+    rng = np.random.default_rng(9)
+    points = rng.integers(0, 1 << 63, (400, 4)).astype(np.uint64)
+    points[300:] = points[rng.integers(0, 3, 100)]
+    points[:, 1] ^= np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)
+    ids = rng.permutation(400)
+    names = [f"p{k}" for k in range(4)]
+    sets = spark.createDataFrame([(int(i), *[int(x) for x in p.view(np.int64)]) for i, p in zip(ids, points, strict=True)], ["doc_id", *names])
+    for hot in (True, False):
+        shards = spark.createDataFrame([(7, int(i), hot) for i in ids] + [(8, int(i), False) for i in ids[:5]], "shard long, doc_id long, hot boolean")
+        got = {r.node: r.root for r in simhash.star_labels(simhash.candidate_links(sets, shards, 92)).collect()}
+        root = {int(i): int(i) for i in ids}
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a in range(400):
+            for b in np.flatnonzero(np.bitwise_count(points ^ points[a]).sum(axis=1) <= 92):
+                low, high = sorted((find(int(ids[a])), find(int(ids[b]))))
+                root[high] = low
+        assert got == {i: find(i) for i in root if find(i) != i} and len(got) > 90
