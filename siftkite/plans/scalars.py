@@ -11,6 +11,7 @@ from siftkite.functions import text as T
 from siftkite.functions import versions as V
 from siftkite.operators import matching as M
 from siftkite.operators import patterns as P
+from siftkite.operators import screening as SC
 from siftkite.plans.registry import query
 
 
@@ -249,3 +250,44 @@ def _(t):
     near = F.collect_list(F.when(F.col("sink"), F.col("line"))).over(Window.partitionBy("path").orderBy("line").rowsBetween(-15, 15))  # 31 lines at most
     score = F.array_max(F.transform("near", lambda s: 1 / (1 + 0.15 * (F.col("line") - s) * (F.col("line") - s))))
     return rows.withColumn("near", near).select("path", "line", F.coalesce(score, F.lit(0.0)).alias("proximity"))
+
+
+_RULES = [("card", "[0-9]{16}", 0.5, "CWE-312"), ("mail", "[a-z]+@[a-z]+", 0.3, "CWE-359"), ("token", "token *= *.", 0.75, "CWE-798"), ("word", "tion[.]$", 0.22, "CWE-1")]
+_NAMED = "case pos % 6 when 0 then replace(path, '/d', '/auth_d') when 1 then replace(path, '/d', '/db_config') when 2 then path || '.lock' when 3 then path || '.XML' else path end"
+
+
+def _screen_sql() -> str:
+    from siftkite.operators import screening as C
+
+    lists = {k: "(" + ", ".join(f"'{e}'" for e in v) + ")" for k, v in (("high", C.HIGH_EXTENSIONS), ("medium", C.MEDIUM_EXTENSIONS), ("off", C.SKIPPED_EXTENSIONS))}
+    boosts = " + ".join(f"case when regexp_matches(name, '{p}') then {w}::double else 0 end" for p, w in C.NAME_BOOSTS)
+    counts = ", ".join(f"len(list_filter(lines, lambda x: regexp_matches(x, '{r}'))) as c{i}" for i, (_, r, _, _) in enumerate(_RULES))
+    worst = ", ".join(f"case when c{i} > 0 then {w}::double else 0 end" for i, (_, _, w, _) in enumerate(_RULES))
+    kinds = " + ".join(f"(c{i} > 0)::int" for i in range(len(_RULES)))
+    return f"""with f as (select {_NAMED} as path, string_split(content, chr(10)) as every from file),
+    n as (select path, regexp_extract(path, '([^/]*)$', 1) as name, len(every) as n, list_filter(every, lambda x: not regexp_matches(x, '^\\s*(#|//|/\\*|\\*|''|<!--|\\{{#)')) as lines from f),
+    e as (select *, lower(regexp_extract(name, '[^.]([.][^.]+)$', 1)) as ext from n),
+    c as (select path, name, ext, n, {counts} from e),
+    r as (select *, {kinds} as kinds, {" + ".join(f"c{i}" for i in range(len(_RULES)))} as hits, greatest(case when ext in {lists['high']} then 0.05::double when ext in {lists['medium']} then 0.02::double else 0 end + {boosts}, {worst}) as worst from c),
+    s as (select *, case when kinds >= 3 then least(worst + 0.15::double, 1) when kinds >= 2 then least(worst + 0.08::double, 1) else worst end * case when n < 10 and hits = 0 then 0.5::double else 1 end as risk, ext in {lists['off']} as skipped from r)
+    select path, round(case when skipped then 1 else risk end, 9) as risk, case when skipped then 0 else kinds end as rules, case when skipped then 0 else hits end as hits, case when skipped then 0 else kinds end as weaknesses,
+    case when skipped or round(risk, 9) < 0.2 then 'skip' when round(risk, 9) >= 0.6 then 'fast_confirm' else 'proceed' end as decision from s"""
+
+
+@query("tier_screen", _screen_sql())
+def _(t):
+    catalog = [P.Pattern(name, regex, weight=weight) for name, regex, weight, _ in _RULES]
+    return SC.tier_screen(t.file.withColumn("path", F.expr(_NAMED)), catalog, {name: cwe for name, _, _, cwe in _RULES})
+
+
+_FAMILIES = {"a": ["the ", "of[.]", "tion"], "b": ["que", "les", "euxqu"], "c": ["und ", "der", "[0-9]{4}"], "d": ["root", "ADMIN", "@"]}
+_SCORES = ", ".join("(" + " + ".join(f"regexp_matches(text, '(?i){x}')::int" for x in v) + f") as {k}" for k, v in _FAMILIES.items())
+
+
+@query(
+    "family_levels",
+    f"""with s as (select doc_id, {_SCORES} from documents), h as (select *, a + b + c + d as total, (a >= 3)::int + (b >= 3)::int + (c >= 3)::int + (d >= 3)::int as high from s)
+    select doc_id, a, b, c, d, total, case when high >= 2 or total >= 8 then 'high' when high >= 1 or total >= 4 then 'medium' else 'low' end as level from h""",
+)
+def _(t):
+    return SC.family_levels(t.documents, F.col("text"), _FAMILIES).select("doc_id", *_FAMILIES, "total", "level")
