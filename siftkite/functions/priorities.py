@@ -204,3 +204,24 @@ def exploit_score(kind: Column, context: Column, payload: Column, severity: Colu
     bypass = F.when(n == 0, 0.95).when(n == 1, 0.7).when(n == 2, 0.5).when(n <= 4, 0.3).otherwise(0.1)
     portable = clamp(lookup(kind, PORTABILITY, 0.5) - hits(ENVIRONMENT) * 0.05, 0.0, 1.0)
     return _share(plain * 0.3 + access * 0.25 + bypass * 0.25 + portable * 0.2)
+
+
+# Weights of each strategy's scores, least totals of the levels.
+STRATEGIES = {
+    "balanced": {"business": 0.25, "complexity": 0.25, "security": 0.30, "change_frequency": 0.20},
+    "security_first": {"business": 0.15, "complexity": 0.15, "security": 0.50, "change_frequency": 0.20},
+    "complexity_first": {"business": 0.20, "complexity": 0.40, "security": 0.20, "change_frequency": 0.20},
+    "business_first": {"business": 0.40, "complexity": 0.20, "security": 0.20, "change_frequency": 0.20},
+    "change_frequency_first": {"business": 0.20, "complexity": 0.20, "security": 0.20, "change_frequency": 0.40},
+    "api_first": {"business": 0.0, "complexity": 0.15, "security": 0.25, "change_frequency": 0.0, "port_config": 0.30, "api_route": 0.25, "security_config": 0.05},
+}
+LEVELS = [(0.8, "critical"), (0.6, "high"), (0.4, "medium"), (0.2, "low")]
+
+
+def strategy_total(strategy: str) -> Column:
+    """The weighted sum of the columns that the strategy names, to nine digits."""
+    return F.round(sum((F.coalesce(c, F.lit(0.0)) * w for c, w in STRATEGIES[strategy].items() if w), F.lit(0.0)), 9)
+
+
+def priority_level(total: Column) -> Column:
+    return reduce(lambda out, b: out.when(total >= b[0], b[1]), LEVELS[1:], F.when(total >= LEVELS[0][0], LEVELS[0][1])).otherwise("info")

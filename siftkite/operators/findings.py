@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftkite.functions import findings as X
+from siftkite.functions import priorities as Q
+from siftkite.scan import prefix_sums
 
 
 def at_least(df: DataFrame, value: Column, order: list[str], least: str, *, falling: bool = False) -> DataFrame:
@@ -177,6 +179,14 @@ def false_positive_rate(df: DataFrame) -> DataFrame:
     return whole.unionByName(df.groupBy("severity").agg(F.count("*").alias("n"), F.bround(100 * F.avg(chance), 2).alias("rate")))
 
 
+def ranked_files(files: DataFrame, strategies: list[str], *, key: str = "path", tie: str = "pos") -> DataFrame:
+    """(key, strategy, total, level, rank) of every file by each strategy: the greatest total first, of equals the first by `tie`. Missing scores count 0. Ranks come from one sort over all tasks."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("_s"), F.lit(s).alias("strategy"), Q.strategy_total(s).alias("total")) for i, s in enumerate(strategies)])).alias("e")
+    rows = files.select(F.col(key), F.col(tie).alias("_tie"), each).select(key, "_tie", "e.*", (-F.col("e.total")).alias("_order"))
+    ranks = prefix_sums(rows, "_s", ["_order", "_tie"], at="_at", drop=["_order", "_tie"])
+    return ranks.select(key, "strategy", "total", Q.priority_level(F.col("total")).alias("level"), (F.col("_at") + 1).alias("rank"))
+
+
 def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key, numbered in column nth."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftkite.functions import priorities as P
 from siftkite.operators import linking as L
+from siftkite.operators import findings as O
 from siftkite.plans.registry import query
 
 _LANGUAGE = "case lang when 'en' then 'python' when 'fr' then 'typescript' when 'de' then 'java' else 'yaml' end"
@@ -161,3 +162,20 @@ def _(t):
     findings = t.finding.groupBy((F.col("pos") % 50).alias("report_id")).agg(F.collect_list(F.struct("severity")).alias("findings"))
     records = t.vote.groupBy((F.col("pos") % 50).alias("report_id")).agg(F.collect_list(F.struct(F.col("token_cost").alias("total_tokens"))).alias("token_records"))
     return L.flat_report(findings.join(records, "report_id"))
+
+
+_PARTS = {"business": "(pos % 11) / 10.0", "complexity": "(size % 1000) / 1000.0", "security": "(pos % 7) / 6.0", "change_frequency": "(pos % 13) / 12.0", "port_config": "(pos % 3) / 2.0", "api_route": "(pos % 5) / 4.0", "security_config": "(pos % 2) / 1.0"}
+
+
+def _totals() -> str:
+    one = lambda w: " + ".join(f"{_PARTS[c].replace('.0', '.0::double')} * {x}::double" for c, x in w.items() if x)
+    return " union all ".join(f"select path, pos, '{s}' as strategy, round({one(w)}, 9) as total from file" for s, w in P.STRATEGIES.items())
+
+
+@query(
+    "ranked_files",
+    f"""select path, strategy, total, case when total >= 0.8 then 'critical' when total >= 0.6 then 'high' when total >= 0.4 then 'medium' when total >= 0.2 then 'low' else 'info' end as level,
+    row_number() over (partition by strategy order by total desc, pos) as rank from ({_totals()})""",
+)
+def _(t):
+    return O.ranked_files(t.file.withColumns({c: F.expr(e + "D") for c, e in _PARTS.items()}), list(P.STRATEGIES))
