@@ -169,3 +169,22 @@ def _nodes(begin: DataFrame, alike: DataFrame) -> DataFrame:
     inputs = edges.groupBy("at").agg(F.collect_set("input").alias("inputs"))
     every = begin.select(F.explode(F.array(2 * F.col("at"), F.when(F.col("line") >= 0, 2 * F.col("at") + 1))).alias("at")).filter("at is not null")
     return every.join(inputs, "at", "left").select("at", (F.col("at") % 2 == 0).alias("nor"), F.coalesce("inputs", F.array().cast("array<long>")).alias("inputs"))
+
+
+def merged_knowledge(items: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(id, type, content, source, confidence, tags, metadata, n): the items of each first-fit cluster of one type as one.
+
+    items: id (text, unique), pos (their order, unique), type, content, source, confidence, tags (array), metadata (map). A cluster's content is its items' with blanks between, its tags are all of theirs in order of the text, its confidence is their mean, of metadata the last item's value
+    counts; source is "merged_learning" and id the first 16 hex digits of the SHA-256 of `merged_` and the ids joined by `_`. An item alone stays as it is. What a cluster holds is in one row, as it is one item.
+    """
+    seeds = greedy_clusters(items, "type", "pos", "content", threshold).select(F.col("pos").alias("_pos"), F.col("seed").alias("_seed"))
+    rows = stage(items.join(seeds, F.col("pos") == F.col("_pos")).drop("_pos"), "clustered")
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    out = rows.groupBy("_seed").agg(F.count("*").alias("n"), F.min_by("id", "pos").alias("first"), F.min_by("type", "pos").alias("type"), F.array_join(ordered("content"), " ").alias("content"), F.min_by("source", "pos").alias("source"), F.avg("confidence").alias("confidence"), F.array_join(ordered("id"), "_").alias("ids"))
+    tags = rows.select("_seed", F.explode("tags").alias("t")).groupBy("_seed").agg(F.array_sort(F.collect_set("t")).alias("tags"))
+    pairs = rows.select("_seed", "pos", F.explode("metadata").alias("k", "v")).groupBy("_seed", "k").agg(F.max_by("v", "pos").alias("v"))
+    metadata = pairs.groupBy("_seed").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
+    out = out.join(tags, "_seed", "left").join(metadata, "_seed", "left")
+    many = F.col("n") > 1
+    name = F.when(many, F.substring(F.sha2(F.concat(F.lit("merged_"), "ids"), 256), 1, 16)).otherwise(F.col("first"))
+    return out.select(name.alias("id"), "type", "content", F.when(many, "merged_learning").otherwise(F.col("source")).alias("source"), "confidence", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "n")

@@ -160,9 +160,17 @@ def _(t):
     return _traced(t, False)
 
 
-@query("merge_cluster", "select source, count(*) as n, avg(n_chars) as mean_chars, list_sort(list(distinct lang)) as langs, arg_max(doc_id, doc_id) as last from documents group by 1")
+@query("merge_cluster")
 def _(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.array_sort(F.collect_set("lang")).alias("langs"), F.max_by("doc_id", "doc_id").alias("last"))
+    """The parts as items of knowledge, clustered by their words within a type and merged."""
+    part = t.part
+    words = F.concat_ws(" ", "p_name", "p_brand", (F.col("p_size") % 5).cast("string"))
+    return C.merged_knowledge(
+        part.select(
+            F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("type"), words.alias("content"), F.lit("catalog").alias("source"), (F.col("p_size") / 100).alias("confidence"),
+            F.split("p_name", " ").alias("tags"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("metadata"),
+        )
+    )
 
 
 @query("best_per_key", "select cwe_id, pos, similarity from (select cwe_id, pos, round(confidence, 6) as similarity, row_number() over (partition by cwe_id order by round(confidence, 6) desc, pos) n from finding where cwe_id is not null and confidence >= 0.6) where n = 1 order by similarity desc, pos limit 5")

@@ -104,3 +104,13 @@ def test_scan_is_shared(spark):
     df = spark.createDataFrame([(2, 5), (1, 3), (2, 4)], "g long, v long")
     out = scan.prefix_sums(df, "g", ["v"], ["v"]).collect()
     assert sorted((r.g, r.v, r["at"], r.before_v) for r in out) == [(1, 3, 0, 0), (2, 4, 0, 0), (2, 5, 1, 4)]
+
+
+def test_clusters_become_one_item(spark):
+    import hashlib
+
+    rows = [("a", 1, "t", "x y z", "s", 0.5, ["q", "p"], {"k": "1", "m": "1"}), ("b", 2, "t", "x y z w", "s", 0.75, ["p"], {"k": "2"}), ("c", 3, "t", "other", "s", 0.1, None, None), ("d", 4, "u", "x y z", "s", 0.2, [], {})]
+    df = spark.createDataFrame(rows, "id string, pos long, type string, content string, source string, confidence double, tags array<string>, metadata map<string,string>")
+    got = {(r.id, r.type, r.content, r.source, r.confidence, tuple(r.tags), tuple(sorted(r.metadata.items())), r.n) for r in C.merged_knowledge(df).collect()}
+    merged = hashlib.sha256(b"merged_a_b").hexdigest()[:16]
+    assert got == {(merged, "t", "x y z x y z w", "merged_learning", 0.625, ("p", "q"), (("k", "2"), ("m", "1")), 2), ("c", "t", "other", "s", 0.1, (), (), 1), ("d", "u", "x y z", "s", 0.2, (), (), 1)}
