@@ -89,7 +89,17 @@ def _(t):
     return t.pages.select("page_id", F.round(F.get(e, F.lit(0)), 9).alias("first"), F.size(e).alias("n"))
 
 
-@query("hybrid_search")
+def _hybrid_sql() -> str:
+    legs = {"embedding": ("n", 0.5), "bm25": ("b", 0.3), "rule": ("l", 0.2)}
+    scaled = ", ".join(f"{t}2 as (select doc_id, case when (select max(score) from {t}) > 0 then score * {w}::double / (select max(score) from {t}) else 0 end as v from {t})" for t, w in legs.values())
+    shown = ", ".join(f"coalesce({t}2.v, 0) as {name}" for name, (t, _) in legs.items())
+    return f"""with b as ({_bm25_sql(_TERMS, 30)}), n as (select e.vec_id as doc_id, {_COS} as score from embeddings e, embeddings q where q.vec_id = 3 order by score desc, e.vec_id limit 30),
+    l as (select doc_id, quality::double as score from labels order by score desc, doc_id limit 30), {scaled},
+    k as (select doc_id from n union select doc_id from b union select doc_id from l), j as (select doc_id, {shown} from k left join n2 using (doc_id) left join b2 using (doc_id) left join l2 using (doc_id))
+    select *, embedding + bm25 + rule as score from j order by round(embedding + bm25 + rule, 12) desc, doc_id limit 10"""
+
+
+@query("hybrid_search", _hybrid_sql())
 def _(t):
     text = R.bm25(t.documents, _TERMS, "doc_id", "text", top_k=30)
     near = R.nearest(t.embeddings, _vector(t, 3), k=30).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
