@@ -200,6 +200,20 @@ def conflicts(df: DataFrame, gap: float = 0.3) -> DataFrame:
     return pairs.select(F.col("a.signal_id").alias("signal_id"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), F.explode(kinds).alias("kind"))
 
 
+def conflict_counts(df: DataFrame, gap: float = 0.3) -> DataFrame:
+    """(signal_id, state, confidence, n, first_pos, n_state, n_confidence) of each kind of result of a signal: how many of its other results have another state, and how many a confidence that differs by more than the gap.
+
+    Pairs are counted, not made: results are counted by kind before any window sees them. Confidences are compared to nine digits; null ones are in no confidence conflict, null states are a state.
+    """
+    kinds = df.groupBy("signal_id", "state", "confidence").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).withColumn("_c", F.round(F.col("confidence") * 1_000_000_000).cast("long"))
+    of = Window.partitionBy("signal_id")
+    step = round(gap * 1_000_000_000)
+    near = F.sum(F.when(F.col("_c").isNotNull(), F.col("n"))).over(of.orderBy("_c").rangeBetween(-step, step))
+    other = F.sum("n").over(of) - F.sum("n").over(Window.partitionBy("signal_id", "state"))
+    apart = F.when(F.col("_c").isNull(), 0).otherwise(F.sum(F.when(F.col("_c").isNotNull(), F.col("n"))).over(of) - near)
+    return kinds.select("signal_id", "state", "confidence", "n", "first_pos", other.alias("n_state"), apart.alias("n_confidence"))
+
+
 def consensus(df: DataFrame, spread: float = 0.2) -> DataFrame:
     """Signals and whether their confidences agree: the largest and least at most `spread` apart."""
     return df.groupBy("signal_id").agg(F.count("*").alias("n"), (F.max("confidence") - F.min("confidence") <= spread + 1e-12).alias("agreed"))

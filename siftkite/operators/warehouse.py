@@ -182,10 +182,13 @@ def graph_of(cve_cwe: DataFrame, cpe: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def attack_chains(edges: DataFrame, first: str, second: str, ends: list[str], limit: int) -> DataFrame:
-    """Two hops: a -first-> sink <-second- b for the sinks in `ends`."""
-    left = edges.filter((F.col("type") == first) & F.col("dst").isin(ends)).select(F.col("src").alias("source"), F.col("dst").alias("sink"))
-    right = edges.filter(F.col("type") == second).select(F.col("src").alias("cve"), F.col("dst").alias("sink"))
-    return left.join(right, "sink").select("source", "sink", "cve").orderBy("source", "sink", "cve").limit(limit)
+    """Two hops: a -first-> sink <-second- b for the sinks in `ends`, the first `limit` by source, sink and cve.
+
+    Of each sink only the first `limit` sources and cves can be among them, so no more meet.
+    """
+    near = lambda df, c: df.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("sink").orderBy(c))).filter(F.col("_n") <= limit).drop("_n")
+    of = lambda kind, c: near(edges.filter((F.col("type") == kind) & F.col("dst").isin(ends)).select(F.col("src").alias(c), F.col("dst").alias("sink")), c)
+    return of(first, "source").join(of(second, "cve"), "sink").select("source", "sink", "cve").orderBy("source", "sink", "cve").limit(limit)
 
 
 def graph_context(edges: DataFrame) -> DataFrame:

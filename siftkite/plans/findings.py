@@ -262,6 +262,16 @@ def _(t):
     return O.conflicts(t.signal)
 
 
+@query(
+    "conflict_counts",
+    """with k as (select signal_id, state, confidence, count(*) as n, min(pos) as first_pos from signal group by 1, 2, 3)
+    select a.signal_id, a.state, a.confidence, any_value(a.n) as n, any_value(a.first_pos) as first_pos, coalesce(sum(b.n) filter (b.state <> a.state), 0)::bigint as n_state, coalesce(sum(b.n) filter (round(abs(b.confidence - a.confidence), 9) > 0.3::double), 0)::bigint as n_confidence
+    from k a join k b on a.signal_id = b.signal_id group by 1, 2, 3""",
+)
+def _(t):
+    return O.conflict_counts(t.signal)
+
+
 @query("consensus", "select signal_id, count(*) as n, max(confidence) - min(confidence) <= 0.2 + 1e-12 as agreed from signal group by 1")
 def _(t):
     return O.consensus(t.signal)
