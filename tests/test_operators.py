@@ -290,3 +290,19 @@ def test_evidence_of_two_rows_is_that_of_a_scan_in_order(spark):
         spread = (((last - (first + (last - first) / 2)) * (last - first)) / 2) ** 0.5
         full = 0.12 + (first + last) / 2 * 0.3 + 0.3
         assert abs(got[a] - min(0.95, full * (0.85 if spread < 0.05 and (first + last) / 2 > 0.7 else 1.0))) < 1e-12
+
+
+@pytest.mark.parametrize("threshold, reach", [(0.0, False), (0.3, True), (1 / 3, True), (0.3333333333, False), (0.5, False), (0.8, False), (1.0, True)])
+def test_similar_sets_are_those_of_all_pairs(spark, threshold, reach):
+    """Sets on both sides of SHORT, common words in most of them."""
+    rng = random.Random(3)
+    sets = [(i, sorted({f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 11, 12, 20, 30]))}), rng.choice(["x", None])) for i in range(160)]
+    likeness = {(a, b): len({*x} & {*y}) / len({*x} | {*y}) for a, x, p in sets for b, y, q in sets if a < b and p == q and {*x} & {*y}}
+    got = {(r.a, r.b): r.similarity for r in R.similar_sets(spark.createDataFrame(sets, "id long, w array<string>, by string"), threshold, reach=reach).collect()}
+    assert got == {k: s for k, s in likeness.items() if (s >= threshold if reach else s > threshold)}
+
+
+def test_sets_of_few_kinds_of_words_make_few_candidates(spark):
+    """32,000 sets of four words, each of which thousands have: a join on single words would make over a hundred million pairs."""
+    sets = spark.range(32_000).selectExpr("id", "array(concat('a', id % 8), concat('b', id div 8 % 8), concat('c', id div 64 % 10), concat('d', id div 640)) as w")
+    assert R.similar_sets(sets, 0.5).count() == 32_000 * (7 + 7 + 9 + 49) // 2
