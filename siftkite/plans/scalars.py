@@ -9,6 +9,7 @@ from siftkite.functions import findings as X
 from siftkite.functions import scoring as S
 from siftkite.functions import text as T
 from siftkite.functions import versions as V
+from siftkite.operators import retrieval as R
 from siftkite.operators import matching as M
 from siftkite.operators import patterns as P
 from siftkite.operators import screening as SC
@@ -53,10 +54,11 @@ def _(t):
 
 @query("near_names", "select a.p_partkey, b.p_partkey as other, levenshtein(a.p_name, b.p_name) as distance, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) as similarity from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
 def _(t):
-    a = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    b = a.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("o_name"), "p_brand", "p_type", "p_size")
-    rows = a.join(b, ["p_brand", "p_type", "p_size"]).filter("p_partkey < other")
-    return rows.select("p_partkey", "other", T.edit_distance(F.col("p_name"), F.col("o_name")).alias("distance"), T.edit_similarity(F.col("p_name"), F.col("o_name")).alias("similarity"))
+    part, by = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"]
+    pairs = R.pairs_within(part, by, "p_partkey", {"p_partkey": "other", "p_name": "o_name"})
+    a, b = F.col("p_name"), F.col("o_name")
+    rows = R.by_kind(pairs, part.select(*by, "p_name").distinct(), "p_name", "o_name", by, lambda x: x.select(a, b, T.edit_distance(a, b).alias("distance"), T.edit_similarity(a, b).alias("similarity")))
+    return rows.select("p_partkey", "other", "distance", "similarity")
 
 
 @query("typosquatting", "with known as (select distinct p_name as k from part where p_type = 'ECONOMY'), n as (select distinct case when p_size % 2 = 0 then p_name || 's' else replace(p_name, 'l', '1') end as name from part) select name, k as similar_to from n join known on levenshtein(name, k) = 1 or (name = replace(k, 'l', '1') and name <> k)")

@@ -306,3 +306,20 @@ def test_sets_of_few_kinds_of_words_make_few_candidates(spark):
     """32,000 sets of four words, each of which thousands have: a join on single words would make over a hundred million pairs."""
     sets = spark.range(32_000).selectExpr("id", "array(concat('a', id % 8), concat('b', id div 8 % 8), concat('c', id div 64 % 10), concat('d', id div 640)) as w")
     assert R.similar_sets(sets, 0.5).count() == 32_000 * (7 + 7 + 9 + 49) // 2
+
+
+def test_pairs_within_a_large_group_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"g{i % 20}", f"n{i % 7}") for i in range(600)], "k long, g string, name string")
+    pairs = R.pairs_within(rows, ["g"], "k", {"k": "other", "name": "o_name"}, piece=20)
+    got = [(r.k, r.other, r["name"], r.o_name) for r in pairs.collect()]
+    of = {r.k: (r.g, r["name"]) for r in rows.collect()}
+    assert sorted(got) == [(a, b, of[a][1], of[b][1]) for a in of for b in of if a < b and of[a][0] == of[b][0]]
+    assert pairs.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_score_of_texts_is_found_once_for_each_kind(spark):
+    rows = spark.createDataFrame([(i, 1, None if i == 5 else f"n{i % 2}") for i in range(8)], "k long, g long, name string")
+    pairs = R.pairs_within(rows, ["g"], "k", {"k": "other", "name": "o_name"})
+    asked = []
+    got = R.by_kind(pairs, rows.select("g", "name").distinct(), "name", "o_name", ["g"], lambda x: asked.append(x.count()) or R.sequence_similarity(x, "name", "o_name"))
+    assert got.count() == 28 and asked == [9] and {(r["name"], r.o_name): r.ratio for r in got.collect()}["n0", "n1"] == 0.5
