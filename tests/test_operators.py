@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftkite.functions import findings as X
 from siftkite.functions import scoring as S
@@ -323,3 +324,18 @@ def test_a_score_of_texts_is_found_once_for_each_kind(spark):
     asked = []
     got = R.by_kind(pairs, rows.select("g", "name").distinct(), "name", "o_name", ["g"], lambda x: asked.append(x.count()) or R.sequence_similarity(x, "name", "o_name"))
     assert got.count() == 28 and asked == [9] and {(r["name"], r.o_name): r.ratio for r in got.collect()}["n0", "n1"] == 0.5
+
+
+def test_nearest_each_is_that_of_row_by_row(spark, monkeypatch):
+    """Blocks smaller than a group, ties, copies, zero, null, broken and shorter vectors."""
+    monkeypatch.setattr(R, "BLOCK", 20)
+    rng = random.Random(5)
+    vector = lambda i: {7: None, 8: [1.0, None, 2.0], 9: [1.0, 2.0], 10: [0.0] * 3, 11: [float("nan"), 1.0, 2.0]}.get(i, [float(rng.randint(-2, 2)) for _ in range(3)])
+    df = spark.createDataFrame([(i, vector(i), i % 3 if i % 11 else None) for i in range(240)], "vec_id long, embedding array<float>, label int")
+    queries = df.filter("vec_id % 5 = 0 or vec_id < 12")
+    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), F.col("label").alias("_by"))
+    rows = df.join(q, (F.col("label") == F.col("_by")) & (F.col("vec_id") != F.col("query"))).select("query", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("_q")), 9).alias("similarity"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id"))
+    key = lambda r: (r.query, r.nth, r.vec_id, repr(r.similarity))
+    assert sorted(map(key, R.nearest_each(df, queries).collect())) == sorted(map(key, rows.withColumn("nth", place).filter("nth <= 5").collect()))
+    assert "cogroup" in R.nearest_each(df, queries)._jdf.queryExecution().optimizedPlan().toString().lower()
