@@ -75,3 +75,26 @@ def test_frames(spark):
     assert R.text_rules(empty, TEXT_RULES).count() == 0 and R.line_rules(empty, LINE_RULES).count() == 0
     other = spark.createDataFrame([("p", "eval(response.text)")], "name string, body string")
     assert [r.path for r in R.line_rules(other, LINE_RULES, path="name", content="body").collect()] == ["p"]
+
+
+def test_expressions_are_tried_only_where_their_words_are():
+    class Any(R._Words):
+        def may_match(self, pattern):
+            return True
+
+    letters = {"s": "ſ", "i": "İ", "k": "K"}
+    texts = [t for t, _ in HITS] + [t.upper() for t, _ in HITS] + ["".join(letters.get(c, c) for c in t) for t, _ in HITS] + ["prınt(password)", "DEſ.new(x)", "", "İıſK"]
+    for text in texts:
+        for rule in TEXT_RULES:
+            assert list(R.text_hits(text, rule)) == list(R.text_hits(text, rule, Any(text)))
+    assert R.needs(r"(?i:a(?:bc|De)+x?\s(?:foo|ba.))") == (frozenset({"a"}), frozenset({"bc", "de"}), frozenset({"foo", "ba"}))
+    words = R._Words("a quiet text")
+    assert not any(words.may_match(p) for r in TEXT_RULES if r.rule_id in ("sql_injection", "xss", "weak_crypto", "unlogged_event") for p in r.patterns)
+
+
+def test_lines_of_one_file_are_dealt_to_all_tasks(spark):
+    rows = [("p", "x = 1\nEVAL(reſponse.text)\nprınt(message.content)" if n % 2 else "plain") for n in range(400)]
+    df = spark.createDataFrame(rows, "path string, content string").coalesce(1)
+    assert R.line_rules(df, LINE_RULES).rdd.getNumPartitions() > 1 and R.text_rules(df, TEXT_RULES).rdd.getNumPartitions() > 1
+    got = R.line_rules(df, LINE_RULES).groupBy("rule_id", "line").count().collect()
+    assert {(r.rule_id, r.line): r["count"] for r in got} == {("unvalidated_output", 2): 200, ("safety_filter_missing", 3): 200}
