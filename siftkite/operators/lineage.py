@@ -76,18 +76,25 @@ def nearest_assignment(uses: DataFrame, given: DataFrame, boundaries: DataFrame
 def trace_origin(given: DataFrame, starts: DataFrame, boundaries: DataFrame | None = None, *, reach: int | None = REACH) -> DataFrame:
     """(file, line, var, hop, at, origin): from each use of a variable back to its nearest assignment, and on through plain copies, each time from the line reached, within the method that it is in.
 
-    given: file, line, var, source (the variable that is copied, or null: the trace ends there), unique in its first three. Where each copy leads to is looked up once, for all of them; a hop is then an equi join, and there are hops until no
-    trace is open, as lines only go down.
+    given: file, line, var, source (the variable that is copied, or null: the trace ends there), unique in its first three. Where each copy leads to is looked up once, for all of them; then tables of 2, 4, 8... hops at once are made
+    from each other until no trace is that long. The traces are filled in from the widest hops down, so n hops take about 2 log2(n) joins, and no more rows are made than twice the result and these tables.
     """
     given = stage(given.select("file", "line", "var", "source"), "given")
     found = stage(nearest_assignment(starts.select("file", "line", "var").distinct(), given, boundaries, reach=reach), "first")
     copies = given.filter("source is not null").select("file", "line", F.col("source").alias("var")).distinct()
     step = stage(nearest_assignment(copies, given, boundaries, reach=reach).filter("mark_at is not null").select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("var").alias("_v"), F.col("mark_at").alias("_at"), F.col("source").alias("_origin")), "steps")
-    now = found.filter("mark_at is not null").select("file", "line", "var", F.lit(1).alias("hop"), F.col("mark_at").alias("at"), F.col("source").alias("origin"))
-    out, hop = now, 1
-    while not now.filter("origin is not null").isEmpty():
-        hop += 1
-        now = now.filter("origin is not null").join(step, (F.col("file") == F.col("_f")) & (F.col("at") == F.col("_l")) & (F.col("origin") == F.col("_v")))
-        now = stage(now.select("file", "line", "var", F.lit(hop).alias("hop"), F.col("_at").alias("at"), F.col("_origin").alias("origin")), "hop")
-        out = out.unionByName(now)
+    out = found.filter("mark_at is not null").select("file", "line", "var", F.lit(1).alias("hop"), F.col("mark_at").alias("at"), F.col("source").alias("origin"))
+    hops = [step]
+    while True:
+        on = hops[-1].select(F.col("_f").alias("_g"), F.col("_l").alias("_m"), F.col("_v").alias("_w"), F.col("_at").alias("_to"), F.col("_origin").alias("_from"))
+        ends = hops[-1].filter("_origin is not null")
+        twice = ends.join(on, (F.col("_f") == F.col("_g")) & (F.col("_at") == F.col("_m")) & (F.col("_origin") == F.col("_w")))
+        twice = stage(twice.select("_f", "_l", "_v", F.col("_to").alias("_at"), F.col("_from").alias("_origin")), "hops")
+        if twice.isEmpty():
+            break
+        hops.append(twice)
+    for k in reversed(range(len(hops))):
+        more = out.filter("origin is not null").join(hops[k], (F.col("file") == F.col("_f")) & (F.col("at") == F.col("_l")) & (F.col("origin") == F.col("_v")))
+        more = more.select("file", "line", "var", (F.col("hop") + 2**k).cast("int").alias("hop"), F.col("_at").alias("at"), F.col("_origin").alias("origin"))
+        out = out.unionByName(stage(more, "traces"))
     return out

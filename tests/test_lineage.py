@@ -72,3 +72,14 @@ def test_a_long_chain_and_the_line_of_the_use(spark):
     own = spark.createDataFrame([("f", 15, "v15"), ("f", 3, "v15")], "file string, line long, var string")
     got = {r.line: r.mark_at for r in G.nearest_assignment(own, a, spark.createDataFrame([("f", 15)], "file string, line long"), reach=None, strict=False).collect()}
     assert got == {15: 15, 3: None}
+
+
+def test_long_traces_take_few_tables(spark, monkeypatch):
+    rows = [("f", i, f"v{i}", f"v{i - 1}" if i > 2 else None) for i in range(2, 103)]
+    a = spark.createDataFrame(rows, "file string, line long, var string, source string")
+    start = spark.createDataFrame([("f", 103, "v102"), ("f", 60, "v59"), ("g", 9, "v8")], "file string, line long, var string")
+    made, stage = [], G.stage
+    monkeypatch.setattr(G, "stage", lambda df, name, *more: (made.append(name), stage(df, name, *more))[1])
+    got = sorted((r.line, r.hop, r["at"], r.origin) for r in G.trace_origin(a, start).collect())
+    assert got == sorted((n, h, n - h, f"v{n - h - 1}" if n - h > 2 else None) for n in (60, 103) for h in range(1, n - 1))
+    assert sum(name in ("hop", "hops", "traces") for name in made) < 20
