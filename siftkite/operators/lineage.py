@@ -80,10 +80,13 @@ def trace_origin(given: DataFrame, starts: DataFrame, boundaries: DataFrame | No
     from each other until no trace is that long. The traces are filled in from the widest hops down, so n hops take about 2 log2(n) joins, and no more rows are made than twice the result and these tables.
     """
     given = stage(given.select("file", "line", "var", "source"), "given")
-    found = stage(nearest_assignment(starts.select("file", "line", "var").distinct(), given, boundaries, reach=reach), "first")
-    copies = given.filter("source is not null").select("file", "line", F.col("source").alias("var")).distinct()
-    step = stage(nearest_assignment(copies, given, boundaries, reach=reach).filter("mark_at is not null").select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("var").alias("_v"), F.col("mark_at").alias("_at"), F.col("source").alias("_origin")), "steps")
-    out = found.filter("mark_at is not null").select("file", "line", "var", F.lit(1).alias("hop"), F.col("mark_at").alias("at"), F.col("source").alias("origin"))
+    starts = starts.select("file", "line", "var").distinct()
+    copies = given.filter("source is not null").select("file", "line", F.col("source").alias("var"))
+    # uses and copies are looked up together, as what is above a name does not depend on which it is
+    near = stage(nearest_assignment(starts.union(copies).distinct(), given, boundaries, reach=reach).filter("mark_at is not null"), "near")
+    step = near.select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("var").alias("_v"), F.col("mark_at").alias("_at"), F.col("source").alias("_origin"))
+    found = near.join(starts, ["file", "line", "var"], "left_semi")
+    out = stage(found, "first").select("file", "line", "var", F.lit(1).alias("hop"), F.col("mark_at").alias("at"), F.col("source").alias("origin"))
     hops = [step]
     while True:
         on = hops[-1].select(F.col("_f").alias("_g"), F.col("_l").alias("_m"), F.col("_v").alias("_w"), F.col("_at").alias("_to"), F.col("_origin").alias("_from"))
