@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from siftkite.functions.versions import order_key
 from siftkite.operators.intervals import stab
+from siftkite.staging import stage, tasks_for
 
 
 def cve_summary(cve: DataFrame, cvss: DataFrame, kev: DataFrame, exploit: DataFrame, poc: DataFrame, cve_cwe: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def scan_product_version(cpe: DataFrame, targets: DataFrame, *, lexicographic: b
     kinds = (F.col("version_start_type") != "excluding").alias("low_inclusive"), (F.col("version_end_type") == "including").alias("high_inclusive")
     ranges = cpe.select("vendor", "product", "cve_id", key(low).alias("low"), key(high).alias("high"), *kinds).distinct()
     asked = targets.select("vendor", "product", "version").distinct().withColumn("v", key(F.col("version")))
-    return stab(asked, ranges, ["vendor", "product"]).select("vendor", "product", "version", "cve_id").distinct()
+    hit = stage(stab(asked, ranges, ["vendor", "product"]).select("vendor", "product", "version", "cve_id"), "hits")
+    return hit.repartition(tasks_for(hit), *hit.columns).distinct()
 
 
 def cve_detail(cve: DataFrame, cvss: DataFrame, cve_cwe: DataFrame, cwe: DataFrame, exploit: DataFrame, poc: DataFrame) -> DataFrame:
