@@ -19,6 +19,13 @@ def at_least(df: DataFrame, value: Column, order: list[str], least: str, *, fall
     return df.filter(own <= bound if falling else own >= bound)
 
 
+def steady_mean(value: Column) -> Column:
+    """The mean of a double column, the same in any order of its rows: decimals are summed, which rounds nothing, where every value is one of 18 places; else doubles in the order at hand."""
+    exact = value.try_cast("decimal(28,18)")
+    whole = F.bool_and(F.coalesce(exact.cast("double") == value, value.isNull()))
+    return F.when(F.coalesce(whole, F.lit(True)), F.avg(exact).cast("double")).otherwise(F.avg(value))
+
+
 def first_of(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key by the order, which should be total."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
@@ -134,7 +141,7 @@ def fuse(df: DataFrame, key: list[str]) -> DataFrame:
     """One row for each location: most severe (low at least), mean confidence, distinct sources and rules, rows by severity and mean confidence by source."""
     low = X.SEVERITIES.index("low")
     out = df.groupBy(*key).agg(
-        F.least(F.min(X.severity_order(F.col("severity"))), F.lit(low)).alias("_o"), F.avg("confidence").alias("confidence"), F.count("*").alias("n"),
+        F.least(F.min(X.severity_order(F.col("severity"))), F.lit(low)).alias("_o"), steady_mean(F.col("confidence")).alias("confidence"), F.count("*").alias("n"),
         F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("rule_id")).alias("rules"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in X.SEVERITIES],
     )
@@ -143,7 +150,7 @@ def fuse(df: DataFrame, key: list[str]) -> DataFrame:
 
 def confidence_by_source(df: DataFrame, key: list[str]) -> DataFrame:
     """A map of each source's mean confidence by location."""
-    means = df.groupBy(*key, F.coalesce("source", F.lit("Unknown")).alias("source")).agg(F.avg("confidence").alias("mean"))
+    means = df.groupBy(*key, F.coalesce("source", F.lit("Unknown")).alias("source")).agg(steady_mean(F.col("confidence")).alias("mean"))
     return means.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "mean")))).alias("confidence_by_source"))
 
 

@@ -4,6 +4,7 @@ import datetime
 import math
 import random
 from difflib import SequenceMatcher
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -339,3 +340,15 @@ def test_nearest_each_is_that_of_row_by_row(spark, monkeypatch):
     key = lambda r: (r.query, r.nth, r.vec_id, repr(r.similarity))
     assert sorted(map(key, R.nearest_each(df, queries).collect())) == sorted(map(key, rows.withColumn("nth", place).filter("nth <= 5").collect()))
     assert "cogroup" in R.nearest_each(df, queries)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 0.7, 0.29, 0.57, 0.83, 0.01, 0.99, 0.58] * 24 + [0.4] * 8
+    rows = [("f", "a", v, "low", "r") for v in values]
+    odd = [("g", "a", 1e300, "low", "r"), ("g", "a", 1e300, "low", "r"), ("h", None, None, "low", "r"), ("i", "b", 1e-25, "low", "r"), ("i", "b", None, "low", "r"), ("j", "b", float("nan"), "low", "r")]
+    exact = float(sum(map(Fraction, map(str, values)), Fraction()) / len(values))
+    for order in (rows, sorted(rows), sorted(rows, reverse=True)):
+        df = spark.createDataFrame(order + odd, "file_path string, source string, confidence double, severity string, rule_id string").coalesce(1)
+        means = {r.file_path: r.confidence_by_source for r in O.confidence_by_source(df, ["file_path"]).collect()}
+        assert means["f"] == {"a": exact} and means["g"] == {"a": 1e300} and means["h"] == {"Unknown": None} and means["i"] == {"b": 1e-25} and means["j"]["b"] != means["j"]["b"]
+        assert {r.file_path: r.confidence for r in O.fuse(df, ["file_path"]).collect()}["f"] == exact
