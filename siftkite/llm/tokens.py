@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -19,15 +20,15 @@ _SPLITTERS = [
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = "!-&(-/:-@\\[-`{-~"
-#: Words made of these parts alone, which the tokenizer splits in just this way (apostrophes start contractions, so they go the general way).
-_PLAIN = re.compile(f"(?:[{_LETTERS}]|[{_MARKS}]|[0-9])+")
-_PARTS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|[0-9]")
+#: What is in no plain word. Plain words are made of these letters and marks and of digits, which the tokenizer splits in just this way (apostrophes start contractions, "<|" special tokens, so they go the general way).
+_OTHER = re.compile(f"[^{_LETTERS}{_MARKS}0-9\n]|<[|]")
+_PARTS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|[0-9]|\n")
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so that a text's ids are those of its words, one after another.
 
-    The tokenizer itself encodes each distinct word once: its BPE model the plain parts, the whole tokenizer all other words.
+    The tokenizer itself encodes each distinct word once: its BPE model the parts of plain words, many words at a time, the whole tokenizer each other word.
     """
 
     def __init__(self, path: str):
@@ -35,9 +36,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = self.splits_on_space()
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.by_word else None
-        self.letters = {c: split(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} if split else {}
+        self.letters = {chr(c): split(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} if split else {}
         self.reset()
 
     def splits_on_space(self) -> bool:
@@ -54,31 +56,46 @@ class WordEncoder:
         self.count = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.parts: dict[str, list[int]] = {}
-
-    def word_ids(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        for part in _PARTS.findall(text.lower()):
-            known = self.parts.get(part)
-            if known is None:
-                known = [x.id for x in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.letters))]
-                if len(self.parts) >= 100_000:
-                    self.parts.clear()
-                self.parts[part] = known
-            ids += known
-        return ids
+
+    def plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all plain words, one after another, and how many each has. Each distinct part goes to the BPE model once."""
+        parts = _PARTS.findall("\n".join(texts).lower() + "\n")  # words hold no white space, so a line end ends a word
+        number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+        spelled = "\n".join(number)
+        if not spelled.isascii():
+            for letter, by_bytes in self.letters.items():
+                spelled = spelled.replace(letter, by_bytes)
+        # the separator is itself a part, which this split makes two empty ones
+        end, spelled = number["\n"], spelled.split("\n")
+        said = [*map(self.model.tokenize, spelled[:end]), [], *map(self.model.tokenize, spelled[end + 2 :])]
+        count = np.fromiter(map(len, said), np.int64, len(said))
+        flat = np.array([x.id for ids in said for x in ids], np.uint32)
+        at = np.cumsum(count) - count
+        which = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        length = count[which]
+        return flat[gather_runs(at[which], length)], np.diff(np.cumsum(length)[which == end], prepend=0)
 
     def learn(self, words: list[bytes]) -> None:
-        ids = [self.word_ids(w) for w in words]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for w in ids for x in w), np.uint32, int(count.sum()))
+        joined = b"\n".join(words).decode()
+        texts = joined.split("\n")
+        if _OTHER.search(joined):
+            plain = np.fromiter((_OTHER.search(t) is None for t in texts), bool, len(texts))
+        else:
+            plain = np.ones(len(texts), bool)
+        count = np.zeros(len(texts), np.int64)
+        others = [self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in np.flatnonzero(~plain)]
+        count[~plain] = [len(ids) for ids in others]
+        flat = np.array([x for ids in others for x in ids], np.uint32)
+        if plain.any():
+            ids, count[plain] = self.plain_ids([t for t, is_plain in zip(texts, plain.tolist(), strict=True) if is_plain])
+            flat = np.concatenate([ids, flat])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        at = np.zeros(len(texts), np.int64)
+        at[order] = np.cumsum(count[order]) - count[order]
         first, last = len(self.known), len(self.known) + len(words)
         self.pool, self.at, self.count = (x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)]) for x, n in ((self.pool, self.used + len(flat)), (self.at, last), (self.count, last)))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.at[first:last], self.count[first:last] = self.used + np.cumsum(count) - count, count
+        self.at[first:last], self.count[first:last] = self.used + at, count
         self.used += len(flat)
         self.known.update(zip(words, range(first, last), strict=True))
 
@@ -94,9 +111,10 @@ class WordEncoder:
         words, which = distinct_words(buf, starts, ends)
         if len(self.known) > KEPT_WORDS:
             self.reset()
-        if new := [w for w in words if w not in self.known]:
-            self.learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.learn([words[i] for i in new.tolist()])
         length = self.count[place][which]
         ids = self.pool[gather_runs(self.at[place][which], length)]
         sums = np.concatenate([[0], np.cumsum(length)])

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -82,3 +83,23 @@ def test_packing(spark):
             assert [r.length for r in pieces] == binary_lengths(pieces[0].doc_tokens, 2048)
             assert all(crc(r.ids) == r.ids_crc32 and len(r.ids) == r.length for r in pieces)
     assert sum(r.length for r in out) == sum(len(expected(t)) for _, t in rows)
+
+
+def test_words_learned_together_have_the_ids_of_each_alone():
+    from siftkite.llm.tokens import WordEncoder
+
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice(["a", "the", "ß", "É", "ÿ", "9", "10", ".", "!!", "<", "_"]) for _ in range(rng.randrange(1, 6))) for _ in range(3000)} | {"<|endoftext|>", "it's", "日本", "×", "µ", "a\x85b", "`´"})
+    encoder, whole = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    wanted = {w: whole.encode(w, add_special_tokens=False).ids for w in words}
+    for some in (words, words[:1], [w for w in words if w.isascii() and "'" not in w and "<|" not in w], ["日本"]):
+        encoder.reset()
+        encoder.learn([w.encode() for w in some])
+        got = [encoder.pool[a : a + n].tolist() for a, n in zip(encoder.at, encoder.count[: len(some)])]
+        assert got == [wanted[w] for w in some]
+    ids, count = encoder.plain_ids(["the9", "it.", "the9"])  # all in one call
+    assert ids.tolist() == wanted_ids(whole, "the9 it. the9") and count.sum() == len(ids) and count[0] == count[2]
+
+
+def wanted_ids(tokenizer, text):
+    return tokenizer.encode(text, add_special_tokens=False).ids
