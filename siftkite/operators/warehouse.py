@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftkite import staging
 from siftkite.functions.versions import order_key
 from siftkite.operators.intervals import stab
 from siftkite.staging import stage, tasks_for
@@ -93,14 +94,33 @@ def search_vulnerabilities(cve: DataFrame, cvss: DataFrame, cve_cwe: DataFrame,
 
 
 def cwe_with_cves(cwe: DataFrame, cve_cwe: DataFrame, cvss: DataFrame, top: int) -> DataFrame:
-    """Each CWE with how many CVEs it has, their average, largest and least score (0 where none), and its best `top` CVEs in order."""
-    scored = cve_cwe.select("cve_id", "cwe_id").distinct().join(cvss.select("cve_id", "score"), "cve_id", "left")
-    best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("cwe_id").orderBy(F.col("score").desc_nulls_last(), "cve_id"))).filter(F.col("nth") <= top)
-    lists = best.groupBy("cwe_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "cve_id"))), lambda x: x["cve_id"]).alias("top_cves"))
+    """Each CWE with how many CVEs it has, their average, largest and least score (0 where none), and its best `top` CVEs in order.
+
+    Pairs are dealt to as many tasks as they ask for, first by CVE, then by CWE; a CWE of more pairs than a task's rows goes in pieces.
+    """
+    links = stage(cve_cwe.select("cve_id", "cwe_id").filter("cwe_id is not null").distinct(), "links")
+    tasks = tasks_for(links)
+    counts = links.groupBy("cwe_id").agg(F.count("cve_id").alias("cves"), F.count("*").alias("_pairs"))
+    large = counts.filter(F.col("_pairs") > staging.TASK_ROWS).select("cwe_id", F.lit(True).alias("_large"))  # few: all rows by TASK_ROWS at most
+    scored = links.repartition(tasks, "cve_id").join(cvss.select("cve_id", "score"), "cve_id", "left").join(F.broadcast(large), "cwe_id", "left")
+    scored = scored.withColumn("_piece", F.when(F.col("_large"), F.pmod(F.xxhash64("cve_id"), F.lit(tasks))).otherwise(0)).repartition(tasks, "cwe_id", "_piece")
+    nth = F.row_number().over(Window.partitionBy("cwe_id", "_piece").orderBy(F.col("score").desc_nulls_last(), "cve_id"))
+    place = F.struct(F.isnull("score").alias("none"), (~F.isnan("score")).alias("number"), (-F.col("score")).alias("rest"), "cve_id")
+    pieces = scored.withColumn("_nth", nth).groupBy("cwe_id", "_piece").agg(F.sum("score").alias("total"), F.count("score").alias("n"), F.max("score").alias("most"), F.min("score").alias("least"), F.collect_list(F.when(F.col("_nth") <= top, place)).alias("best"))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top)
+    stats = pieces.repartition(tasks, "cwe_id").groupBy("cwe_id").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("avg_score"), F.max("most").alias("max_score"), F.min("least").alias("min_score"), F.transform(best, lambda x: x["cve_id"]).alias("top_cves"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    out = cwe.select("cwe_id", "name").join(counts, "cwe_id", "left").join(stats, "cwe_id", "left")
+    return out.select("cwe_id", "name", F.coalesce("cves", F.lit(0)).alias("cves"), zero("avg_score"), zero("max_score"), zero("min_score"), "top_cves")
+
+
+def cwe_scores(cve_cwe: DataFrame, cvss: DataFrame) -> DataFrame:
+    """Each CWE of the links with the average, largest and least score of its links (0 where none), its CVEs and those of them with a score's row. A pair is put together where its CVE's scores are, so that only sums move."""
+    rows = cve_cwe.join(cvss.select("cve_id", "score", F.lit(1).alias("there")), "cve_id", "left")
+    pairs = rows.groupBy("cwe_id", "cve_id").agg(F.sum("score").alias("total"), F.count("score").alias("n"), F.max("score").alias("most"), F.min("score").alias("least"), F.max("there").alias("there"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    stats = scored.groupBy("cwe_id").agg(F.countDistinct("cve_id").alias("cves"), zero(F.avg("score")).alias("avg_score"), zero(F.max("score")).alias("max_score"), zero(F.min("score")).alias("min_score"))
-    out = cwe.select("cwe_id", "name").join(stats, "cwe_id", "left").join(lists, "cwe_id", "left")
-    return out.select("cwe_id", "name", F.coalesce("cves", F.lit(0)).alias("cves"), zero(F.col("avg_score")).alias("avg_score"), zero(F.col("max_score")).alias("max_score"), zero(F.col("min_score")).alias("min_score"), "top_cves")
+    mean = F.try_divide(F.sum("total"), F.sum("n"))
+    return pairs.groupBy("cwe_id").agg(zero(mean).alias("avg_score"), zero(F.max("most")).alias("max_score"), zero(F.min("least")).alias("min_score"), F.count("cve_id").alias("cves"), F.count("there").alias("scored"))
 
 
 def keyword_cwes(cwe: DataFrame, keywords: list[str], limit: int) -> DataFrame:

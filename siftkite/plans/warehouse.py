@@ -142,9 +142,7 @@ def _(t):
 
 @query("cwe_scores", "select b.cwe_id, coalesce(avg(s.score), 0) as avg_score, coalesce(max(s.score), 0) as max_score, coalesce(min(s.score), 0) as min_score, count(distinct b.cve_id) as cves, count(distinct s.cve_id) as scored from cve_cwe b left join cvss s on s.cve_id = b.cve_id group by 1")
 def _(t):
-    rows = t.cve_cwe.join(t.cvss.select("cve_id", "score", F.lit(1).alias("there")), "cve_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.groupBy("cwe_id").agg(zero(F.avg("score")).alias("avg_score"), zero(F.max("score")).alias("max_score"), zero(F.min("score")).alias("min_score"), F.countDistinct("cve_id").alias("cves"), F.countDistinct(F.when(F.col("there") == 1, F.col("cve_id"))).alias("scored"))
+    return W.cwe_scores(t.cve_cwe, t.cvss)
 
 
 @query("table_counts", " union all ".join(f"select '{x}' as table_name, count(*) as n from {x}" for x in TABLES))

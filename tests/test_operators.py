@@ -352,3 +352,26 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
         means = {r.file_path: r.confidence_by_source for r in O.confidence_by_source(df, ["file_path"]).collect()}
         assert means["f"] == {"a": exact} and means["g"] == {"a": 1e300} and means["h"] == {"Unknown": None} and means["i"] == {"b": 1e-25} and means["j"]["b"] != means["j"]["b"]
         assert {r.file_path: r.confidence for r in O.fuse(df, ["file_path"]).collect()}["f"] == exact
+
+
+def test_links_are_dealt_to_as_many_tasks_as_they_ask_for(spark, sf, monkeypatch):
+    from siftkite import staging
+    from siftkite.plans.roles import Tables
+
+    t = Tables(spark, sf)
+    plain = sorted(map(tuple, t.cve_cwe.collect()))
+    monkeypatch.setattr(staging, "TASK_ROWS", 100)
+    assert t.cve_cwe.rdd.getNumPartitions() == -(-t.lineitem.count() // 100) and sorted(map(tuple, t.cve_cwe.collect())) == plain
+
+    links = [(f"C{n}", "hot") for n in range(900)] + [(f"C{n}", f"W{n % 7}") for n in range(50)] * 2 + [("C1", None), ("none", "W8"), ("void", "W9"), ("nan", "W0")]
+    scores = [(f"C{n}", n % 40 / 4) for n in range(0, 900, 2)] + [("C2", 9.75), ("C898", 9.75), ("void", None), ("nan", float("nan"))]
+    cwe = spark.createDataFrame([(w, w.lower()) for w in ["hot", "bare", "W8", "W9", *(f"W{n}" for n in range(7))]], "cwe_id string, name string")
+    out = W.cwe_with_cves(cwe, spark.createDataFrame(links, "cve_id string, cwe_id string"), spark.createDataFrame(scores, "cve_id string, score double"), 3)
+    got = {r.cwe_id: r for r in out.collect()}
+    for w in cwe.toPandas().cwe_id:
+        own = sorted({c for c, x in links if x == w})
+        joined = [(c, s) for c in own for s in ([s for k, s in scores if k == c] or [None])]
+        joined.sort(key=lambda x: (x[1] is None, x[1] == x[1], -(x[1] or 0.0), x[0]))
+        values = [s for _, s in joined if s is not None]
+        assert (got[w].cves, got[w].top_cves) == (len(own), [c for c, _ in joined[:3]] or None)
+        assert w == "W0" or (got[w].avg_score, got[w].max_score, got[w].min_score) == ((pytest.approx(sum(values) / len(values)), max(values), min(values)) if values else (0, 0, 0))
