@@ -56,3 +56,36 @@ def test_merges_are_those_of_the_rule(spark):
     want = {g: merged(vs) for g, vs in groups.items()} | {601: "kept"}
     assert got == want
     assert T.merge_typed(df.limit(0), "g").count() == 0
+
+
+def test_equal_weights_are_equal_whatever_their_sums_order(spark):
+    rows = [("v", 1, 0.3, '"b"'), ("v", 2, 0.1, '"a"'), ("v", 3, 0.2, '"a"'), ("m", 1, 0.1, "1"), ("m", 2, 0.2, "3"), ("m", 3, -0.3, "5")]
+    df = spark.createDataFrame(rows, "g string, pos int, weight double, json string").coalesce(1)
+    assert {r.g: json.loads(r.json) for r in T.merge_typed(df, "g").collect()} == {"v": "b", "m": 1}
+
+
+def test_json_as_it_came(spark):
+    """White space, empty values and text after the value."""
+    cases = {"{ }": {}, "[ ]": [], ' { "a" : 1.0 } ': {"a": 1}, '{} {"a":1}': {}, '{"b": [1, 2 ]} x': {"b": [1, 2]}, "[\n]": [], '{\t"a":{ }}': {"a": {}}}
+    rows = [(f"{name}{n}", i, 1.0, name) for name in cases for n in (1, 2) for i in range(n)]
+    rows += [("vote", 1, 1.0, '"x"'), ("vote", 2, 1.0, '{ "a":1 }'), ("vote", 3, 1.0, '{"a": 1}')]
+    df = spark.createDataFrame(rows, "g string, pos int, weight double, json string")
+    got = {r.g: r.json for r in T.merge_typed(df, "g").collect()}
+    assert {g: json.loads(j) for g, j in got.items() if g != "vote"} == {f"{name}{n}": v for name, v in cases.items() for n in (1, 2)}
+    assert got["vote"] == '{"a":1}'
+
+
+def test_equal_values_are_one_row_of_the_next_level(spark, monkeypatch):
+    staged = []
+    own = T.stage
+
+    def counted(df, name, *rest):
+        out = own(df, name, *rest)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "stage", counted)
+    rows = [(i % 2, i, 1.0, json.dumps({"s": "ab"[i % 4 // 2], "l": [i % 3], "o": {"n": i % 5}})) for i in range(600)]
+    got = T.merge_typed(spark.createDataFrame(rows, "g int, pos int, weight double, json string").repartition(4), "g").collect()
+    assert {r.g: json.loads(r.json) for r in got} == {0: {"s": "a", "l": [0, 2, 1], "o": {"n": 2}}, 1: {"s": "a", "l": [1, 0, 2], "o": {"n": 2}}}
+    assert staged[0] == 600 and max(staged[1:]) <= 30
