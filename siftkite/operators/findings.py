@@ -26,6 +26,13 @@ def steady_mean(value: Column) -> Column:
     return F.when(F.coalesce(whole, F.lit(True)), F.avg(exact).cast("double")).otherwise(F.avg(value))
 
 
+def ordered_means(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, mean) of a double column, added up by each key in the order of a column that is unique there, as a scan in that order does: to the last bit the same, however the rows lie. A running sum needs no group in memory."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select(*keys, order, value, F.sum(value).over(so_far).alias("_sum"))
+    return rows.groupBy(*keys).agg(F.try_divide(F.max_by("_sum", order), F.count(value)).alias("mean"))
+
+
 def first_of(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key by the order, which should be total."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
@@ -148,9 +155,11 @@ def fuse(df: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumn("severity", F.element_at(F.array(*map(F.lit, X.SEVERITIES)), F.col("_o").cast("int") + 1)).drop("_o")
 
 
-def confidence_by_source(df: DataFrame, key: list[str]) -> DataFrame:
-    """A map of each source's mean confidence by location."""
-    means = df.groupBy(*key, F.coalesce("source", F.lit("Unknown")).alias("source")).agg(steady_mean(F.col("confidence")).alias("mean"))
+def confidence_by_source(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """A map of each source's mean confidence by location; with `order` the means are `ordered_means`, else the same in any order of rows."""
+    df = df.withColumn("source", F.coalesce("source", F.lit("Unknown")))
+    by = [*key, "source"]
+    means = ordered_means(df, by, "confidence", order) if order else df.groupBy(*by).agg(steady_mean(F.col("confidence")).alias("mean"))
     return means.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "mean")))).alias("confidence_by_source"))
 
 

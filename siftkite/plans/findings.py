@@ -158,7 +158,7 @@ def _(t):
 
 @query("confidence_by_source", "select file_path, list(s order by s) as sources, list(m order by s) as means from (select file_path, coalesce(source, 'Unknown') as s, avg(confidence) as m from finding group by 1, 2) group by 1")
 def _(t):
-    return O.confidence_by_source(t.finding, ["file_path"]).select("file_path", F.map_keys("confidence_by_source").alias("sources"), F.map_values("confidence_by_source").alias("means"))
+    return O.confidence_by_source(t.finding, ["file_path"], "pos").select("file_path", F.map_keys("confidence_by_source").alias("sources"), F.map_values("confidence_by_source").alias("means"))
 
 
 @query("fuse_union", "select rule_id, count(*) as n, max(confidence) as confidence from (select rule_id, confidence from finding where source = 'ai' union all select rule_id, confidence from finding where source = 'static' union all select rule_id, confidence from finding where source = 'tool') group by 1")

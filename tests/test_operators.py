@@ -354,6 +354,32 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
         assert {r.file_path: r.confidence for r in O.fuse(df, ["file_path"]).collect()}["f"] == exact
 
 
+def test_means_by_source_add_up_in_the_order_of_positions(spark):
+    rng = random.Random(4)
+    rows = [(i, f"f{rng.randint(0, 2)}", rng.choice(["a", None]), rng.randint(0, 100) / 100 if i % 9 else None) for i in range(400)] + [(900, "g", "a", None)]
+    sums = {}
+    for _, f, s, x in rows:
+        total, n = sums.setdefault((f, s or "Unknown"), (0.0, 0))
+        sums[f, s or "Unknown"] = (total, n) if x is None else (total + x, n + 1)
+    want = {k: total / n if n else None for k, (total, n) in sums.items()}
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "pos long, file_path string, source string, confidence double").repartition(5)
+    got = {(r.file_path, s): x for r in O.confidence_by_source(df, ["file_path"], "pos").collect() for s, x in r.confidence_by_source.items()}
+    assert got == want
+
+
+def test_confidence_by_source_has_the_digits_of_its_sql(spark, sf):
+    """Lists of doubles are compared as they are, so all digits count."""
+    import oracle
+
+    from siftkite.plans import registry
+
+    con = oracle.connect(sf)
+    con.execute("set threads = 1")
+    got = registry.queries()["confidence_by_source"](spark, sf).select("file_path", "sources", "means").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"select file_path, sources, means from ({registry.oracle_sql()['confidence_by_source']})").fetchall())
+
+
 def test_links_are_dealt_to_as_many_tasks_as_they_ask_for(spark, sf, monkeypatch):
     from siftkite import staging
     from siftkite.plans.roles import Tables
