@@ -173,6 +173,10 @@ def cost(model: Column, prompt: Column, completion: Column) -> Column:
     return F.round(prompt / 1000 * p["prompt"] + completion / 1000 * p["completion"], 10)
 
 
+#: A group whose values spread less than FLAT around a mean above AGREED agrees too well.
+FLAT, AGREED = 0.05, 0.7
+
+
 def evidence_confidence(items: Column) -> Column:
     """An array of (confidence, code_snippet, location, reason): quantity, mean quality, context and path clarity; lowered when all agree too well."""
     n = F.size(items)
@@ -195,13 +199,39 @@ def evidence_score(confidence: Column, snippet: Column, location: Column, reason
     the steps decide on which side.
     """
     n, value = F.count("*"), F.coalesce(confidence, F.lit(0.5))
-    holds = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
-    context = 0.15 * holds(F.length(snippet) > 10) + 0.1 * holds(~location.isin("N/A", "Unknown", ""))
-    base = F.when(n <= 3, 0.3).when(n <= 6, 0.5).otherwise(0.7)
     mean, spread = F.avg(value), F.stddev_pop(value)
     if order is not None:
         first, last = F.min_by(value, order), F.max_by(value, order)
         spread = F.when(n == 2, F.sqrt((last - (first + (last - first) / 2)) * (last - first) / 2)).otherwise(spread)
-    score = base * 0.4 + mean * 0.3 + F.least(context, F.lit(0.3)) + F.least(0.15 * holds(F.length(reason) > 20), F.lit(0.3))
-    flat = (F.when(n < 2, 0.0).otherwise(spread) < 0.05) & (mean > 0.7)
+    return evidence_total(n, mean, spread, *evidence_points(snippet, location, reason))
+
+
+def evidence_points(snippet: Column, location: Column, reason: Column) -> tuple[Column, Column]:
+    """Context and path clarity of a group's rows, as aggregates."""
+    holds = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    return 0.15 * holds(F.length(snippet) > 10) + 0.1 * holds(~location.isin("N/A", "Unknown", "")), 0.15 * holds(F.length(reason) > 20)
+
+
+def evidence_total(n: Column, mean: Column, spread: Column, context: Column, clarity: Column) -> Column:
+    """The score of a group from its count, mean, spread and points."""
+    base = F.when(n <= 3, 0.3).when(n <= 6, 0.5).otherwise(0.7)
+    score = base * 0.4 + mean * 0.3 + F.least(context, F.lit(0.3)) + F.least(clarity, F.lit(0.3))
+    flat = (F.when(n < 2, 0.0).otherwise(spread) < FLAT) & (mean > AGREED)
     return F.least(F.lit(0.95), score * F.when(flat, 0.85).otherwise(1.0))
+
+
+def near_bound(mean: Column, spread: Column) -> Column:
+    """Whether the last bits of a mean or spread, and so the order in which they are added up, may decide on the score."""
+    return (F.abs(mean - AGREED) < 1e-9) | (F.abs(spread - FLAT) < 1e-9)
+
+
+def scan_steps(values: Column) -> Column:
+    """(mean, spread) of an array of doubles by a sum and Welford's steps from the first to the last."""
+    double = lambda x: F.lit(x).cast("double")
+    start = F.struct(double(0).alias("n"), double(0).alias("sum"), double(0).alias("mean"), double(0).alias("square"))
+
+    def step(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), (a["sum"] + x).alias("sum"), mean.alias("mean"), (a["square"] + (x - mean) * (x - a["mean"])).alias("square"))
+
+    return F.aggregate(values, start, step, lambda a: F.struct(F.try_divide(a["sum"], a["n"]).alias("mean"), F.sqrt(F.try_divide(a["square"], a["n"])).alias("spread")))

@@ -9,6 +9,7 @@ from siftkite.functions import findings as X
 from siftkite.functions import scoring as S
 from siftkite.functions import text as T
 from siftkite.functions import versions as V
+from siftkite.operators import findings as O
 from siftkite.operators import retrieval as R
 from siftkite.operators import matching as M
 from siftkite.operators import patterns as P
@@ -237,7 +238,7 @@ def _(t):
         * case when d < 0.05::double and m > 0.7::double then 0.85::double else 1 end) as confidence from g""",
 )
 def _(t):
-    return t.finding.groupBy("rule_id", "file_path").agg(S.evidence_score(F.col("confidence"), F.col("code_snippet"), F.col("file_path"), F.col("description"), order=F.col("pos")).alias("confidence"))
+    return O.evidence_by(t.finding, ["rule_id", "file_path"], "confidence", "code_snippet", "file_path", "description", "pos")
 
 
 @query("file_scores", "select path, round(round_even(0.3::double * r + 0.25::double + 0.2::double * o, 3), 3) as priority, least(1.0::double, r * case when r > 0.7::double then 1.1::double when r > 0.5::double then 1.05::double else 1 end) as adjusted from (select path, (pos % 11)::double / 10 as r, least(0.7::double, 0.1::double * (pos % 9)) + least(0.3::double, 0.05::double * (pos % 8)) as o from file)")

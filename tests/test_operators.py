@@ -294,6 +294,26 @@ def test_evidence_of_two_rows_is_that_of_a_scan_in_order(spark):
         assert abs(got[a] - min(0.95, full * (0.85 if spread < 0.05 and (first + last) / 2 > 0.7 else 1.0))) < 1e-12
 
 
+def test_evidence_of_many_rows_is_that_of_a_scan_in_order(spark):
+    """Spreads of 0.05 and means of 0.7 but for the last bits, of four rows and more, in any order and over several tasks; other groups, a null key and null values."""
+    rng = random.Random(6)
+    groups = {(f"r{a}", k): rng.sample([a] * k + [a + 10] * k, 2 * k) for a in range(60, 90) for k in (2, 3, 8)} | {("m", k): [70] * k for k in range(3, 30)} | {("n", k): [50, 90, 70] * k for k in range(2, 20)}
+    groups |= {(None, 1): [90, 80, 80, 90], ("o", 1): [None, 20, 90], ("o", 2): [71]}
+    rows = [(i, g, k, None if x is None else x / 100) for i, (g, k, x) in enumerate((g, k, x) for (g, k), values in groups.items() for x in values)]
+    texts = [F.lit("long enough to count").alias("snippet"), F.lit("N/A").alias("location"), F.lit("").alias("reason")]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "pos long, g string, k int, x double").select("*", *texts).repartition(7)
+    got = {(r.g, r.k): r.confidence for r in O.evidence_by(df, ["g", "k"], "x", "snippet", "location", "reason", "pos").collect()}
+    want = {}
+    for (g, k), values in groups.items():
+        total = mean = square = 0.0
+        for n, x in enumerate((0.5 if x is None else x / 100 for x in values), 1):
+            new = mean + (x - mean) / n
+            total, square, mean = total + x, square + (x - new) * (x - mean), new
+        full = (0.3 if n <= 3 else 0.5 if n <= 6 else 0.7) * 0.4 + total / n * 0.3 + min(0.15 * n, 0.3)
+        want[g, k] = min(0.95, full * (0.85 if math.sqrt(square / n) < 0.05 and total / n > 0.7 else 1.0))
+    assert got == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("threshold, reach", [(0.0, False), (0.3, True), (1 / 3, True), (0.3333333333, False), (0.5, False), (0.8, False), (1.0, True)])
 def test_similar_sets_are_those_of_all_pairs(spark, threshold, reach):
     """Sets on both sides of SHORT, common words in most of them."""
