@@ -11,6 +11,7 @@ from siftkite.operators import linking as L
 from siftkite.operators import matching as M
 from siftkite.operators import patterns as O
 from siftkite.plans.registry import query
+from siftkite.staging import spread, stage
 
 BUSINESS = ["main", "app", "server", "client", "core", "engine", "manager", "service", "controller", "handler", "client"]
 FOLDERS = ["src/Main/app_core", "app/config/security", "lib/util/dto", "api/user_service", "x/repository", "port/gateway", "web/login", "plain"]
@@ -233,8 +234,9 @@ def _(t):
 @query("mapped_lines")
 def _(t):
     """Every line of every text, every other one said to be three lines further down; every fifth with white space doubled, every seventh cut to its first two thirds."""
-    lines = t.file.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    files = stage(spread(t.file.select("path", "content")), "files")  # dealt to all tasks once, and read many times
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     n = F.length("text")
     snippet = F.when(F.col("i") % 7 == 3, F.substr("text", F.lit(1), (n * 2 / 3).cast("int"))).when(F.col("i") % 5 == 2, F.regexp_replace("text", " ", "  ")).otherwise(F.col("text"))
     asked = lines.select(F.concat_ws(":", "path", "i").alias("key"), "path", snippet.alias("snippet"), F.when(F.col("i") % 2 == 0, F.col("i") + 1).otherwise(F.col("i") + 4).alias("reported"))
-    return M.map_lines(asked, t.file)
+    return M.map_lines(asked, files)

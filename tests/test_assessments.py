@@ -103,6 +103,22 @@ def test_lines_map_as_defined(spark):
     assert len({v[1] for v in got.values()}) == 3
 
 
+def test_a_block_of_lines_goes_to_python_once_and_not_for_each_snippet(spark):
+    """Windows for each snippet took hundreds of times the text; a file that is there twice answers twice, as a join of the two does."""
+    texts = spark.createDataFrame([("a", "\n".join(f"load value {i} of table {i * i}" for i in range(120)))] * 2 + [("b", "x = 1\ny = 2")], "path string, content string")
+    asked = spark.createDataFrame([(k, "a", f"load valu {k} of table {k * k}", k + 1) for k in range(60)] + [(90, "b", "y  =  2", 1), (91, "c", "y", 1)], "key int, path string, snippet string, reported int")
+    out = M.map_lines(asked, texts, reach=5)
+    assert sorted((r.key, r.line, r.status) for r in out.collect()) == sorted([(k, k + 1, "EXACT") for k in range(60)] * 4 + [(90, 2, "ADJUSTED"), (91, -1, "NOT_FOUND")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_white_space_goes_as_in_spark(spark):
+    texts = ["", " ", "\x85", " a\t", "a \x85", "a \u2028", " \x85 ", "a\x85\x85", "\xa0 a\xa0", "\x1c a \x1c", "a \r\u2029", "\u2029", "a\x0b\f\r"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", F.regexp_replace("x", r"^\s+|\s+$", "").alias("t"))
+    assert {r.i: r.t for r in got.collect()} == {i: M._trimmed(x) for i, x in enumerate(texts)}
+
+
 def test_code_keywords():
     assert M.code_keywords("def load(x): return Token(this)") == ["load", "load", "token", "return "]
 
