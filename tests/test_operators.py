@@ -324,6 +324,21 @@ def test_similar_sets_are_those_of_all_pairs(spark, threshold, reach):
     assert got == {k: s for k, s in likeness.items() if (s >= threshold if reach else s > threshold)}
 
 
+def test_large_sets_that_are_not_alike_are_not_written_out(spark):
+    """Sets of 200 words of a vocabulary of 600 meet on many words; their maps tell nearly all of the pairs apart before any is shuffled."""
+    rng = random.Random(9)
+    sets = [(i, sorted(rng.sample([f"w{n}" for n in range(600)], 200))) for i in range(300)] + [(900, sorted(f"w{n}" for n in range(200))), (901, sorted(f"w{n}" for n in range(20, 200)))]
+    out = R.similar_sets(spark.createDataFrame(sets, "id long, w array<string>"), 0.5)
+    assert [tuple(r) for r in out.collect()] == [(900, 901, 0.9)]
+    found, nodes = [], [out._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if "Aggregate" in node.nodeName() and "keys=[a#" in node.toString().split("\n")[0]:
+            found.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.plan()] if "QueryStage" in node.nodeName() else [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.children().apply(i) for i in range(node.children().size())]
+    assert found and max(found) < 100
+
+
 def test_sets_of_few_kinds_of_words_make_few_candidates(spark):
     """32,000 sets of four words, each of which thousands have: a join on single words would make over a hundred million pairs."""
     sets = spark.range(32_000).selectExpr("id", "array(concat('a', id % 8), concat('b', id div 8 % 8), concat('c', id div 64 % 10), concat('d', id div 640)) as w")
