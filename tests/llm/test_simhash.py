@@ -191,6 +191,17 @@ def test_copies_of_one_base_meet_it(spark, monkeypatch, hot):
         assert {r.doc_id: r.component_id for r in simhash.near_copies(df, tree_size=size).collect()} == want
 
 
+@pytest.mark.parametrize("marks", ["none", "half", "all"])
+def test_copies_do_not_depend_on_the_map_of_common_shingles(spark, sf, monkeypatch, marks):
+    """The map comes from a sample of the texts and sets only the order of a text's hashes, so that shards are small: the groups are those of all pairs under any map."""
+    size = simhash.COMMON_BITS // 8
+    made = {"none": np.zeros(size, np.uint8), "half": np.random.default_rng(1).integers(0, 256, size, dtype=np.uint8), "all": np.full(size, 255, np.uint8)}[marks]
+    monkeypatch.setattr(simhash, "common_shingles", lambda rows, words: made)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = brute_copies({r.doc_id: r.text or "" for r in docs.collect()})
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want and len(set(want.values())) < len(want)
+
+
 def test_no_pair_just_alike_is_missed(spark):
     rng = random.Random(8)
     texts = {}
